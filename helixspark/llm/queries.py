@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from helixspark.llm import decontaminate, jaccard
+from helixspark.llm import decontaminate, jaccard, packing, tokens, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_query,
+        "op3_best_fit_packing": packing.op3_query,
         "op4_ngram_jaccard": jaccard.op4_query,
+        "op8_token_counts": tokens.op8_query,
         "op10_decontaminate": decontaminate.op10_query,
     }
 
