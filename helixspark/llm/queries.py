@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixspark.llm import decontaminate, jaccard, lines, packing, quality, rules, tokens, toxicity, urls
+from helixspark.llm import decontaminate, jaccard, lines, packing, quality, rules, suffix, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_line_dedup": lines.op2_query,
         "op3_best_fit_packing": packing.op3_query,
         "op4_ngram_jaccard": jaccard.op4_query,
+        "op5_suffix_dedup": suffix.op5_query,
         "op6_url_filter": urls.op6_query,
         "op7_quality_rules": rules.op7_query,
         "op8_token_counts": tokens.op8_query,
