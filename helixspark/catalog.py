@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from helixspark.plans import registry, strand_queries  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
 
 
 def flagship(spark, sf_dir: str):
