@@ -318,3 +318,50 @@ SELECT a.d, coalesce(n, 0) n, CAST(sum(coalesce(n, 0)) OVER (ORDER BY a.d) AS BI
 def ed_histogram(spark, sf):
     j = fixture.reads(spark, sf).join(fixture.centers(spark, sf), "cluster_id").select(F.levenshtein("center", "read").alias("d"))
     return evaluate.ed_histogram(j)
+
+
+@query("scan_evaluation", R + " SELECT cluster_id case_id, center, read_idx, read FROM reads JOIN centers USING (cluster_id)")
+def scan_evaluation(spark, sf):
+    path = folder(spark, "cases")
+    r = fixture.reads(spark, sf).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("read_idx", "read"))).alias("r")).join(fixture.centers(spark, sf), "cluster_id")
+    # a case ends with two blank lines: two more line ends after its last line
+    r.orderBy("cluster_id").select(F.concat("center", F.lit("\n*****\n"), F.array_join("r.read", "\n"), F.lit("\n\n")).alias("value")).write.text(path)
+    return text.scan_evaluation(spark, path)
+
+
+@query("scan_toolkit", R + ", u AS (SELECT cluster_id, read_idx, read FROM reads) SELECT cluster_id, read_idx, read, repeat('I', length(read)) quality FROM u")
+def scan_toolkit(spark, sf):
+    path = folder(spark, "toolkit")
+    r = fixture.reads(spark, sf).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("read_idx", "read"))).alias("r"))
+    lines = F.array_join(F.transform("r", lambda x: F.concat(x["read"], F.lit(","), F.repeat(F.lit("I"), F.length(x["read"])))), "\n")
+    body = r.select("cluster_id", F.concat(F.size("r").cast("string"), F.lit("\n"), lines).alias("value"))
+    head = r.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).cast("long").alias("cluster_id"), "value")
+    head.unionByName(body).orderBy("cluster_id").select("value").write.text(path)
+    return text.scan_toolkit(spark, path)
+
+
+@query("scan_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def scan_csv(spark, sf):
+    path = folder(spark, "csv")
+    table(spark, sf, "nation").coalesce(1).write.csv(path, header=True)
+    return text.scan_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("scan_json", "SELECT conv_id, turn, role FROM conversations")
+def scan_json(spark, sf):
+    path = folder(spark, "json")
+    table(spark, sf, "conversations").select("conv_id", "turn", "role").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns")).write.json(path)
+    rows = text.scan_json(spark, path, "conv_id long, turns array<struct<turn:bigint,role:string>>", multi_line=False)
+    return rows.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role")
+
+
+@query("write_sequences", C + " SELECT cluster_id, center sequence FROM centers")
+def write_sequences(spark, sf):
+    path = folder(spark, "sequences")
+    text.write_sequences(fixture.centers(spark, sf), path, seq="center")
+    return text.numbered_lines(spark, path).select((F.col("line_no") + 1).alias("cluster_id"), F.col("value").alias("sequence"))
+
+
+@query("markdown_table", "SELECT '| ' || n_name || ' | ' || n_nationkey || ' |' line FROM nation")
+def markdown_table(spark, sf):
+    return text.markdown(table(spark, sf, "nation"), "n_name", "n_nationkey")

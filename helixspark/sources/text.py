@@ -73,3 +73,62 @@ def parse_run_log(text) -> dict:
     """Typed columns of a run log; what is missing is null, an unknown policy ``unknown``."""
     out = {k: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast(kind) for k, (p, kind) in LOG_FIELDS.items()}
     return out | {"policy": F.coalesce(out["policy"], F.lit("unknown"))}
+
+
+def scan_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, center, read_idx, read) of cases of a center line, a line of stars, and reads; two blank lines end a case."""
+    cases = numbered_lines(spark, path, "\n\n\n").where(F.trim("value") != "")
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    return cases.select((F.col("line_no") + 1).alias("case_id"), F.get(lines, F.lit(0)).alias("center"), F.posexplode(F.slice(lines, 3, F.size(lines))).alias("read_idx", "read"))
+
+
+def scan_toolkit(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster_id, read_idx, read, quality) of files with a number of clusters, then for each its number of reads and ``read,quality`` lines.
+
+    Lines without a comma begin clusters, so the numbers need not be followed one after the other.
+    """
+    lines = numbered_lines(spark, path).where("line_no > 0 and trim(value) <> ''").withColumn("head", (~F.col("value").contains(",")).cast("int"))
+    # the lines before a block's own are counted by block, and the heads within it in order
+    block = lines.withColumn("b", F.floor(F.col("line_no") / 65536))
+    sums = block.groupBy("b").agg(F.sum("head").alias("h"))
+    sums = sums.select("b", F.coalesce(F.sum("h").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = Window.partitionBy("b").orderBy("line_no")
+    numbered = block.withColumn("h", F.sum("head").over(own)).join(F.broadcast(sums), "b").withColumn("cluster_id", F.col("h") + F.col("base")).where("head = 0")
+    parts = F.split("value", ",", 2)
+    order = Window.partitionBy("cluster_id").orderBy("line_no")
+    return numbered.select("cluster_id", (F.row_number().over(order) - 1).alias("read_idx"), parts[0].alias("read"), F.trim(parts[1]).alias("quality"))
+
+
+def scan_csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
+    """A CSV with a header and a given schema; a mark before the first name is dropped, and required columns must be there."""
+    names = [x.split()[0] for x in schema.split(",")]
+    header = spark.read.text(path).limit(1).first()
+    there = [x.strip().lstrip("﻿").strip('"') for x in header.value.split(",")] if header else []
+    if missing := [c for c in required or names if c not in there]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    kinds = {x.split()[0]: x.split(None, 1)[1] for x in (y.strip() for y in schema.split(","))}
+    return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in there)).select(*names)
+
+
+def scan_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """JSON documents of any folder below path, with a given schema: one a file, or one a line."""
+    return spark.read.json(path, schema=schema, multiLine=multi_line, recursiveFileLookup=True)
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def write_sequences(strands: DataFrame, path: str, key: str = "cluster_id", seq: str = "sequence") -> None:
+    """One strand a line, in the order of clusters (part files in the order of their names)."""
+    strands.orderBy(key).select(F.col(seq).alias("value")).write.text(path)
+
+
+def write_diagnostics(rows: DataFrame, path: str) -> None:
+    rows.orderBy("cluster_id").write.csv(path, header=True)
+
+
+def markdown(rows: DataFrame, *columns: str) -> DataFrame:
+    """Lines of a Markdown table's body."""
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |")).alias("line"))
