@@ -110,3 +110,15 @@ def test_scan_text(spark, tmp_path):
     (tmp_path / "bad.txt").write_text(f"{sep}\nACXT\n")
     with pytest.raises(Exception, match="not a read"):
         text.scan_clusters(spark, str(tmp_path / "bad.txt"), validate=True).collect()
+
+
+def test_stream(spark, tmp_path):
+    from helixspark.streaming.clusters import stream_guides
+
+    r = random.Random(6)
+    strands = [strand(r) for _ in range(3)]
+    for i, c in enumerate(strands):
+        spark.createDataFrame([(i, [c] * 3)], "cluster_id long, reads array<string>").write.parquet(str(tmp_path / f"in/{i}"))
+    stream_guides(spark, str(tmp_path / "in/*"), str(tmp_path / "out"), str(tmp_path / "state"), 110).awaitTermination()
+    got = {x.cluster_id: x.sequence for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == dict(enumerate(strands))
