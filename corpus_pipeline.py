@@ -19,8 +19,8 @@ from helixspark.llm.runtime import written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    out = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.where("quality.keep").select(*docs.columns)
+    good = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select("doc_id")
+    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,14 @@ def partitions(spark: SparkSession) -> int:
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, under fixed names, so that other columns cannot clash."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h, doc_id, text, y): at most ``most`` labelled texts of each class, by the hash h of their ids.
+
+    The ids are chosen before any text is read, and are what is broadcast: 2 x most of them.
+    """
+    ids = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("doc_id is not null and y is not null")
+    ids = ids.withColumn("h", F.xxhash64("doc_id"))
+    picked = [ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(most) for y in (0, 1)]
+    return id_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("h", "doc_id", "text", "y")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textops
-from helixspark.llm.runtime import id_text
+from helixspark.llm.runtime import id_text, sample_rows
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Both dictionaries end with it and each window begins with it, so every window is a compressed block and its length
@@ -199,16 +199,6 @@ def _score(shared):
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str | None, int]]:
-    """At most ``most`` labelled texts of each class, by the hash of their ids; the ids are chosen before texts are read."""
-    ids = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("doc_id is not null and y is not null")
-    ids = ids.withColumn("h", F.xxhash64("doc_id"))
-    picked = [ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(most) for y in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x most ids
-    rows = id_text(docs, id_col, text_col).join(chosen, "doc_id").select("h", "doc_id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))]
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole texts for toxicity.
 
@@ -219,7 +209,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
     Returns doc_id, score (0 to 1) and windows (the count). Null and empty texts have no windows and the lowest score;
     without labels of a class the scores are the labels' rate.
     """
-    model = fit(labelled_sample(docs, labels, label, sample, id_col, text_col))
+    rows = sample_rows(docs, labels, label, sample, id_col, text_col).collect()
+    model = fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return id_text(docs, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double, windows long")
 
