@@ -10,11 +10,12 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.functions.sequence import boundary_signature
+from helixspark.functions.sequence import boundary_signature, kmer_code
 from helixspark.operators import calibrate, kmers, routing
 from helixspark.operators.kernels import align as A
 from helixspark.operators.kernels import decode as D
@@ -87,22 +88,20 @@ def alignments(pairs: DataFrame) -> DataFrame:
 
 
 def markov(guides: DataFrame, k: int) -> D.Model:
-    """The model's counts on the driver, for broadcast: at most 4 ** (k + 1) edges, whatever the number of guides."""
-    rows = kmers.markov_model(guides, k).toPandas()
-    parts = {kind: dict(zip(g["kmer"], g["n"].tolist(), strict=True)) for kind, g in rows.groupby("kind")}
-    return D.Model(k, parts.get("edge", {}), parts.get("node", {}), parts.get("suffix", {}))
+    """The model's counts as arrays, for broadcast: 4 ** (k + 1) edges and twice 4 ** k nodes, whatever the number of guides."""
+    rows = kmers.markov_model(guides, k).select("kind", kmer_code(F.col("kmer")).alias("code"), "n").toPandas()
+    tables = []
+    for kind, size, dtype in (("edge", k + 1, np.uint16), ("node", k, np.uint32), ("suffix", k, np.uint32)):
+        own = rows[rows["kind"] == kind]
+        counts = np.zeros(4**size, dtype)
+        counts[own["code"].to_numpy()] = np.minimum(own["n"].to_numpy(), np.iinfo(dtype).max)
+        tables.append(D.Table(counts))
+    return D.Model(k, *tables)
 
 
 def permuted(model: D.Model, seed: int) -> D.Model:
-    """The model with each table's counts dealt anew to its keys."""
-    import random
-
-    def deal(table: dict[str, int], salt: int) -> dict[str, int]:
-        keys, counts = sorted(table), [table[x] for x in sorted(table)]
-        random.Random(f"{seed}:{salt}").shuffle(counts)
-        return dict(zip(keys, counts, strict=True))
-
-    return D.Model(model.k, deal(model.edges, 1), deal(model.nodes, 2), deal(model.suffixes, 3))
+    """The model with each table's counts dealt anew to its k-mers."""
+    return D.Model(model.k, *(t.dealt(3 * seed + i) for i, t in enumerate((model.edges, model.nodes, model.suffixes))))
 
 
 def context(clusters: DataFrame, guides: DataFrame, p: Params) -> dict:

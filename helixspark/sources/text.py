@@ -19,7 +19,7 @@ def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None)
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("file", "block").orderBy("id")
-    return lines.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(blocks), ["file", "block"]).select((F.col("base") + F.col("k")).alias("line_no"), "value")
+    return lines.withColumn("k", F.row_number().over(own) - 1).join(blocks, ["file", "block"]).select((F.col("base") + F.col("k")).alias("line_no"), "value")
 
 
 def write_clusters(reads: DataFrame, path: str, separator: str = SEPARATOR) -> None:
@@ -93,7 +93,7 @@ def scan_toolkit(spark: SparkSession, path: str) -> DataFrame:
     sums = block.groupBy("b").agg(F.sum("head").alias("h"))
     sums = sums.select("b", F.coalesce(F.sum("h").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = Window.partitionBy("b").orderBy("line_no")
-    numbered = block.withColumn("h", F.sum("head").over(own)).join(F.broadcast(sums), "b").withColumn("cluster_id", F.col("h") + F.col("base")).where("head = 0")
+    numbered = block.withColumn("h", F.sum("head").over(own)).join(sums, "b").withColumn("cluster_id", F.col("h") + F.col("base")).where("head = 0")
     parts = F.split("value", ",", 2)
     order = Window.partitionBy("cluster_id").orderBy("line_no")
     return numbered.select("cluster_id", (F.row_number().over(order) - 1).alias("read_idx"), parts[0].alias("read"), F.trim(parts[1]).alias("quality"))
