@@ -173,8 +173,10 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
         if f1 > best + 1e-9:
             best, threshold = f1, t
     n = np.array([min(4, int((g >= threshold).sum())) for g, _ in table], dtype=int)
+    # a count's rate is drawn to that of all texts, or of all texts with a window beyond the threshold
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    scores = [float((y[n == c].sum() + rate) / ((n == c).sum() + 1)) for c in range(5)]
+    some = (y[n > 0].sum() + rate) / ((n > 0).sum() + 1)
+    scores = [float((y[n == c].sum() + (some if c else rate)) / ((n == c).sum() + 1)) for c in range(5)]
     return Model(ordinary, toxic, threshold, tuple(np.maximum.accumulate(scores).tolist()))
 
 
