@@ -11,7 +11,9 @@ anchor with its bytes to the left (length - k) and right (length) decides all st
    lengths of common prefixes between neighbours. A stack scan yields the tree of common-prefix intervals. An interval
    whose occurrences differ to the left is a maximal repeat, and belongs with all its occurrences; each occurrence is
    covered as far to the left as it agrees with any earlier one of the interval.
-4. Covered spans return to their documents.
+4. An anchor with very many contexts (the edge of a passage in a third of all texts) is hot: instead of its contexts,
+   the hashes of the strings that it is the least anchor of are dealt out, after a task has settled its own repeats.
+5. Covered spans return to their documents.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from helixspark.llm.runtime import id_text, partitions, written
 K = 24
 _HIT = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("ask", "u1"), ("a", "<u8")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
+_CHUNK = 1 << 13
 
 
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -45,6 +48,13 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+def _gram_hash(prefix: np.ndarray, n: int) -> np.ndarray:
+    h = (prefix[K:] - prefix[:-K]) * textops.inverse_powers(n - K + 1) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h
+
+
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
     """(row, byte position in the row, anchor hash, context hash) of the anchors of rows of ``length`` bytes or more."""
     w = length - K + 1
@@ -52,8 +62,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
     if len(buf) < length:
         return none
     prefix = textops.prefix_hash(buf.astype(np.uint64) + np.uint64(1))
-    start = np.arange(len(buf) - K + 1)
-    h = textops.span_hash(prefix, start, start + K)
+    h = _gram_hash(prefix, len(buf))
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = row[: len(h)] == row[K - 1 :]
     h[~inside] = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -72,9 +81,11 @@ def _bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _split(at: np.ndarray, rows: np.ndarray):
+    if not len(at):
+        return
     order = np.argsort(at, kind="stable")
     at, rows = at[order], rows[order]
-    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else []
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
         yield int(at[a]), rows[a:b].tobytes()
 
@@ -132,8 +143,11 @@ def _post(length: int, buckets: int):
     return run
 
 
-def _contexts(buckets: int):
-    """In an anchor bucket: occurrences whose context an earlier one has; one of each context where there are several."""
+def _contexts(buckets: int, hot: int):
+    """In an anchor bucket: occurrences whose context an earlier one has; one of each context where there are several.
+
+    ``ask`` is 0 for the first kind, else 1, or 2 where an anchor has more than ``hot`` contexts.
+    """
     low = np.uint64((1 << 56) - 1)
     top = np.uint64(64 - (buckets.bit_length() - 1))
 
@@ -158,10 +172,10 @@ def _contexts(buckets: int):
             order, new = _first(a, c, doc, pos)
             a, doc, pos = a[order], doc[order], pos[order]
             _, inverse = np.unique(a, return_inverse=True)
-            several = np.bincount(inverse, weights=new)[inverse] > 1 if len(a) else new
-            keep = ~new | several
+            n = np.bincount(inverse, weights=new)[inverse] if len(a) else np.zeros(0)
+            keep = ~new | (n > 1)
             hits = np.zeros(int(keep.sum()), _HIT)
-            hits["doc"], hits["pos"], hits["ask"] = doc[keep], pos[keep], new[keep]
+            hits["doc"], hits["pos"], hits["ask"] = doc[keep], pos[keep], (new * np.where(n > hot, 2, 1))[keep]
             hits["a"] = (a[keep] & low) | (np.uint64(b) << top)
             out += list(_split(_bucket_of(hits["doc"], buckets), hits))
         return pa.table([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["to", "data"])
@@ -187,23 +201,57 @@ def _around(length: int) -> np.dtype:
 
 def _by_doc(data: list[bytes]):
     hits = np.sort(textops.unpacked(data, _HIT), order=["doc", "pos"])
-    cut = np.flatnonzero(np.concatenate(([True], hits["doc"][1:] != hits["doc"][:-1]))) if len(hits) else []
+    if not len(hits):
+        return {}
+    cut = np.flatnonzero(np.concatenate(([True], hits["doc"][1:] != hits["doc"][:-1])))
     return {int(hits["doc"][a]): hits[a:b] for a, b in zip(cut, [*cut[1:], len(hits)], strict=True)}
 
 
+_WINDOW = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+
+
+def _windows(buf: np.ndarray, doc: int, pos: np.ndarray, length: int) -> np.ndarray:
+    """The strings of ``length`` bytes whose least k-gram is at one of pos, by hash."""
+    prefix = textops.prefix_hash(buf.astype(np.uint64) + np.uint64(1))
+    h = _gram_hash(prefix, len(buf))
+    low = _sliding(h, length - K + 1, np.minimum)
+    at = np.unique(np.concatenate([_owned(low, h, p, length, len(buf)) for p in pos.tolist()]))
+    out = np.zeros(len(at), _WINDOW)
+    out["h"], out["doc"], out["start"] = textops.span_hash(prefix, at, at + length), doc, at
+    return out
+
+
+def _owned(low: np.ndarray, h: np.ndarray, p: int, length: int, n: int) -> np.ndarray:
+    j = np.arange(max(0, p - (length - K)), min(p, n - length) + 1)
+    return j[low[j] == h[p]]
+
+
+def _repeated(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each hash, and the spans of the others."""
+    rows = np.sort(rows, order=["h", "doc", "start"])
+    new = np.concatenate(([True], rows["h"][1:] != rows["h"][:-1])) if len(rows) else np.zeros(0, bool)
+    spans = np.zeros(int((~new).sum()), _SPAN)
+    spans["doc"], spans["start"], spans["end"] = rows["doc"][~new], rows["start"][~new], rows["start"][~new] + length
+    return rows[new], spans
+
+
 def _fetch(length: int, buckets: int):
-    """The bytes around the occurrences that anchors ask for."""
+    """What anchors ask for: the bytes around occurrences (kind 0), or for hot anchors the hashes of all strings around
+    them (kind 1), where a task settles its own repeats (kind 2: spans, by document bucket)."""
     kind = _around(length)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked = {d: h[h["ask"] == 1] for d, h in _by_doc(left.column("data").to_pylist()).items()}
-        unz, parts = zstandard.ZstdDecompressor(), []
+        asked = {d: h[h["ask"] > 0] for d, h in _by_doc(left.column("data").to_pylist()).items()}
+        unz, parts, wide = zstandard.ZstdDecompressor(), [], []
         for doc, blob in zip(right.column("doc_id").to_pylist(), right.column("z").to_pylist(), strict=True):
             h = asked.get(doc)
             if h is None or not len(h):
                 continue
             buf = np.frombuffer(unz.decompress(blob), np.uint8)
+            if (h["ask"] == 2).any():
+                wide.append(_windows(buf, doc, h["pos"][h["ask"] == 2].astype(np.int64), length))
+                h = h[h["ask"] == 1]
             padded = np.concatenate((np.zeros(length, np.uint8), buf, np.zeros(length, np.uint8)))
             pos = h["pos"].astype(np.int64)
             rows = np.zeros(len(h), kind)
@@ -213,8 +261,12 @@ def _fetch(length: int, buckets: int):
             rows["right"] = padded[(pos + length)[:, None] + np.arange(length)]
             parts.append(rows)
         rows = np.concatenate(parts) if parts else np.zeros(0, kind)
-        out = list(_split((rows["a"] >> shift).astype(np.int64), rows))
-        return pa.table([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "data"])
+        out = [(b, 0, x) for b, x in _split((rows["a"] >> shift).astype(np.int64), rows)]
+        if wide:
+            first, spans = _repeated(np.concatenate(wide), length)
+            out += [(b, 1, x) for b, x in _split((first["h"] >> shift).astype(np.int64), first)]
+            out += [(b, 2, x) for b, x in _split(_bucket_of(spans["doc"], buckets), spans)]
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "kind", "data"])
 
     return run
 
@@ -247,19 +299,32 @@ def _left_reach(lefts: list[bytes]) -> list[int]:
         at = bisect.bisect_left(seen, s)
         best = 0
         for o in seen[max(0, at - 1) : at + 1]:
-            n = 0
-            for p, q in zip(s, o, strict=False):
-                if p != q:
-                    break
-                n += 1
-            best = max(best, n)
+            n = min(len(s), len(o))
+            differ = int.from_bytes(s[:n]) ^ int.from_bytes(o[:n])
+            best = max(best, n - (differ.bit_length() + 7) // 8)
         out.append(best)
         seen.insert(at, s)
     return out
 
 
+def _reach(rows: np.ndarray, side: str, n: str) -> np.ndarray:
+    """For each row the longest common prefix of a side with any other row of its anchor: neighbours in order decide."""
+    width = rows[side].shape[1]
+    wide = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = rows[side]
+    keys = wide.view(">u8").astype(np.uint64)
+    order = np.lexsort((*(keys[:, i] for i in range(keys.shape[1] - 1, -1, -1)), rows["a"]))
+    s = rows[order]
+    near = np.where(s["a"][1:] == s["a"][:-1], _common(s[side][1:], s[side][:-1], np.minimum(s[n][1:], s[n][:-1])), 0)
+    out = np.zeros(len(rows), np.int64)
+    out[order] = np.maximum(np.concatenate(([0], near)), np.concatenate((near, [0])))
+    return out
+
+
 def covered(rows: np.ndarray, length: int) -> np.ndarray:
     """The spans that repeat earlier strings of ``length`` bytes or more around the anchors of rows (_around)."""
+    if len(rows):  # rows that can be in no repeat that is long enough leave at once
+        rows = rows[_reach(rows, "left", "nl") + _reach(rows, "right", "nr") >= length]
     rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["a"]))]
     a = rows["a"]
     cut = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, int)
@@ -299,7 +364,18 @@ def _cover(length: int, buckets: int):
     kind = _around(length)
 
     def run(table: pa.Table) -> pa.Table:
-        spans = covered(textops.unpacked(table.column("data").to_pylist(), kind), length)
+        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+        own = [textops.unpacked([x for k, x in zip(kinds, data, strict=True) if k == i], t) for i, t in enumerate((kind, _WINDOW, _SPAN))]
+        del data
+        rows = own[0]
+        order = np.argsort(rows["a"], kind="stable")
+        a = rows["a"][order]
+        parts, lo = [np.zeros(0, _SPAN)], 0
+        while lo < len(a):  # some whole anchors at a time: what sorting takes does not grow with the bucket
+            hi = int(np.searchsorted(a, a[min(lo + _CHUNK, len(a)) - 1], side="right"))
+            parts.append(covered(rows[order[lo:hi]], length))
+            lo = hi
+        spans = np.concatenate([*parts, _repeated(own[1], length)[1], own[2]])
         out = list(_split(_bucket_of(spans["doc"], buckets), spans))
         return pa.table([pa.array([x for x, _ in out], pa.int32()), pa.array([1] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["to", "kind", "data"])
 
@@ -341,27 +417,28 @@ def _apply(length: int, keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, hot: int = 20000) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts earlier.
 
     Texts are UTF-8 bytes (null: empty); earlier means a smaller doc_id, or the same document and an earlier start;
     overlaps count, matches never cross documents, and strings are judged on the input.
 
     Returns doc_id, n_bytes, n_removed, starts and ends of the maximal removed runs, kept_sha256, and kept (the other
-    bytes; null where nothing was removed, or without ``keep_bytes``). A text equal to an earlier one loses all its
+    bytes; null where nothing was removed, or without ``keep_bytes``). An anchor with more than ``hot`` different
+    contexts is not sorted in one task: the strings around it are dealt out by their own hashes. A text equal to an earlier one loses all its
     bytes if it has ``length`` or more. doc_id must be unique and not null; an empty table gives an empty result.
     """
     if not 2 * K <= length <= 255:
         raise ValueError(f"length must be between {2 * K} and 255")
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
-    buckets = 1 << max(4, (partitions(spark) - 1).bit_length())
+    buckets = 1 << max(4, (4 * partitions(spark) - 1).bit_length())
     text = F.coalesce(F.col("text"), F.lit(""))
     meta = written(rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "texts")
     posted = rows.mapInArrow(_post(length, buckets), "bucket int, kind int, data binary")
-    hits = written(posted.groupBy("bucket").applyInArrow(_contexts(buckets), "to int, data binary"), "hits")
+    hits = written(posted.groupBy("bucket").applyInArrow(_contexts(buckets, hot), "to int, data binary"), "hits")
     texts = rows.mapInArrow(_texts(buckets), "to int, doc_id long, z binary").groupBy("to")
-    around = hits.groupBy("to").cogroup(texts).applyInArrow(_fetch(length, buckets), "bucket int, data binary")
+    around = hits.groupBy("to").cogroup(texts).applyInArrow(_fetch(length, buckets), "bucket int, kind int, data binary")
     spans = around.groupBy("bucket").applyInArrow(_cover(length, buckets), "to int, kind int, data binary")
     all_ = written(hits.withColumn("kind", F.lit(0)).select("to", "kind", "data").unionByName(spans), "spans")
     changed = all_.groupBy("to").cogroup(texts).applyInArrow(_apply(length, keep_bytes), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string, kept binary")

@@ -72,6 +72,10 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return _power(_RINV, n, "rinv")
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * _power(_RINV, len(prefix), "rinv")[start] + (end - start).astype(np.uint64) * _C)
 
