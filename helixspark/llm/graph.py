@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-    return moved.where(F.col("a") != F.col("b")).distinct()
+    moved = moved.where(F.col("a") != F.col("b"))
+    return moved if large else moved.distinct()  # the small step meets repeats of an edge in one place anyway
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,3 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
         mark = (row.n, row.s)
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+
+
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, component) with more edges (a, b): only components that the edges join are worked on."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = written(comp.join(ends, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component")), "cc")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    joined = edges.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    top = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return written(nodes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "cc")

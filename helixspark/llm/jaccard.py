@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textops
-from helixspark.llm.graph import components
+from helixspark.llm.graph import components, merged
 from helixspark.llm.runtime import id_text, partitions, written
 
 #: A token is hot, and last in every order, if at least this share of the texts has it; so there are at most
@@ -135,9 +135,11 @@ def _post(k: int, buckets: int, hot: np.ndarray):
 
 
 def _split(at: np.ndarray, rows: np.ndarray):
+    if not len(at):
+        return
     order = np.argsort(at, kind="stable")
     at, rows = at[order], rows[order]
-    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else []
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
         yield int(at[a]), rows[a:b]
 
@@ -205,7 +207,7 @@ def _prefixes(num: int, den: int):
         out = []
         c = rows["c"]
         cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, int)
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(c)], strict=True):
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(c)).tolist() if len(c) else [], strict=True):
             own = rows[a:b]
             n, t, d = int(own["t"][0]), own["t"][1:], own["d"][1:]  # d is 0 in the class's own record, which is first
             rare = n - len(t)
@@ -341,8 +343,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
         pairs = written(_candidates(post, sets, comp, num, den, nearest), "pairs")
         if pairs.isEmpty():  # no pair of different components is left, at any setting of nearest
             break
-        links = written(links.unionByName(_links(pairs, sets, num, den, True)).distinct(), "links")
-        comp = components(links)
+        new = written(_links(pairs, sets, num, den, True), "links")
+        if not new.isEmpty():
+            comp = merged(comp, new)
     low = table.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low")).join(comp.withColumnRenamed("node", "class"), "class", "left")
     low = low.withColumn("component", F.coalesce("component", "class"))
     root = low.groupBy("component").agg(F.min("low").alias("root"))
