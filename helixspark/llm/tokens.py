@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.llm.runtime import id_text
+from helixspark.llm.runtime import written
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -71,6 +71,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str =
     """
     # counting before the exchange: a task sends each length once, so a common length is no hot key
     hist = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_lengths(vocabulary), "length long").groupBy("length").agg(F.count("*").alias("n_docs"))
+    hist = written(hist, "lengths")  # it is used twice; texts are encoded once
     hist = hist.withColumn("g", F.expr("length div 1024"))
     own = Window.partitionBy("g").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("n_in", F.sum("n_docs").over(own)).withColumn("t_in", F.sum(F.col("n_docs") * F.col("length")).over(own))
