@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.functions.sequence import base_id, dense_index, normalize_seq
+from helixspark.sources.scratch import frozen
 
 
 @dataclass(frozen=True)
@@ -56,14 +57,16 @@ def mutate(strand: Column, key: Column, channel: Channel) -> Column:
 
 def simulate_reads(strands: DataFrame, copies: Column, channel: Channel = Channel()) -> DataFrame:
     """(cluster_id, read_idx, read) for strands(cluster_id, center, ...); the first copies of more copies are the same."""
-    each = strands.withColumn("read_idx", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
+    # few bytes but much work: a given number of partitions is not coalesced
+    n = int(strands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = strands.repartition(n, "cluster_id").withColumn("read_idx", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
     key = F.concat(F.col("cluster_id").cast("string"), F.lit(":"), F.col("read_idx").cast("string"))
     return each.select("cluster_id", "read_idx", mutate(F.col("center"), key, channel).alias("read"))
 
 
 def reads(spark: SparkSession, sf_dir: str, channel: Channel = Channel()) -> DataFrame:
-    """5 to 16 reads of each center."""
-    return simulate_reads(centers(spark, sf_dir), 5 + F.col("doc_id") % 12, channel)
+    """5 to 16 reads of each center, drawn once: queries use them several times."""
+    return frozen(simulate_reads(centers(spark, sf_dir), 5 + F.col("doc_id") % 12, channel), "reads")
 
 
 CENTERS_SQL = """centers AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) cluster_id, doc_id, center
