@@ -13,6 +13,27 @@ from helixspark.llm.runtime import sample_rows, written
 
 _SPACE = " \t\n\x0b\x0c\r"
 _FEATURES = ("symbols", "bars", "upper", "digits", "marks", "word_length", "size", "stutter", "variety")
+_RUN = 200
+
+
+def variety(words):
+    """The mean share of different words over all runs of ``_RUN`` words (or the whole text, where it has fewer); 0 without words.
+
+    A run has one different word less for each pair of neighbouring occurrences of a word inside it, so the pairs less
+    than a run apart are summed, each as often as runs hold it. Words are sorted by 33 bits of their hash and their
+    position (30 bits: a string has fewer words); hashes can only meet by chance inside a run.
+    """
+    n = F.size(words)
+    run = F.least(n, F.lit(_RUN))
+    at = F.sort_array(F.transform(words, lambda w, i: F.shiftrightunsigned(F.xxhash64(w), 31).bitwiseAND((1 << 33) - 1) * (1 << 30) + i))
+
+    def runs_with(a, b):
+        p = a.bitwiseAND((1 << 30) - 1)
+        return F.when(b - a < run, F.least(p, n - run) - F.greatest(p + (b - a) - run + 1, F.lit(0)) + 1).otherwise(0)
+
+    pairs = F.zip_with(F.slice(at, 1, F.greatest(n - 1, F.lit(1))), F.slice(at, 2, F.greatest(n - 1, F.lit(1))), runs_with)
+    less = F.aggregate(pairs, F.lit(0).cast("long"), lambda x, y: x + y)
+    return F.when(n == 0, 0.0).when(n == 1, 1.0).otherwise(1 - less / ((n - run + 1).cast("double") * run))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -38,7 +59,7 @@ def features(docs: DataFrame) -> DataFrame:
             F.log1p(F.size("words").cast("double")).alias("size"),
             # words equal to the one before: neighbours are compared as two arrays, without a lookup for each word
             (F.when(F.size("words") < 2, 0).otherwise(F.size(F.filter(F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(1))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))), lambda a, b: a == b), lambda x: x))) / n).alias("stutter"),
-            (F.size(F.array_distinct(F.slice("words", 1, 200))) / F.greatest(F.least(F.size("words"), F.lit(200)), F.lit(1)).cast("double")).alias("variety"),
+            variety(F.col("words")).alias("variety"),
         ),
     ).drop("words")
 

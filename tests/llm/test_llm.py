@@ -188,6 +188,21 @@ def test_quality(spark):
     assert classify_quality(docs.limit(0), labels).count() == 0
 
 
+def test_variety_reads_whole_text(spark):
+    from helixspark.llm.quality import features
+
+    def brute(t):
+        w = (t or "").split()
+        run = min(200, len(w))
+        return sum(len(set(w[i : i + run])) for i in range(len(w) - run + 1)) / (len(w) - run + 1) / run if w else 0.0
+
+    start = " ".join(f"a{i}" for i in range(200))
+    texts = [start, f"{start} {'buy now ' * 400}", f"{start} {' '.join(words(800, 3, 10**6))}", " ".join(words(199, 1, 60)), " ".join(words(201, 2, 60)), "a a", "a", ""]
+    got = {r.doc_id: r.variety for r in features(frame(spark, texts)).select("doc_id", "f.variety").collect()}
+    assert all(abs(got[i] - brute(t)) < 1e-9 for i, t in enumerate(texts))
+    assert got[1] < 0.5 < 0.95 < got[2]
+
+
 def test_line_dedup_keeps_columns(spark, edge_texts):
     from helixspark.llm.lines import dedup_lines
 
