@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; a document that consists of nothing else goes with them."""
+    """Later repeats of runs of lines and of long single lines go; a document that consists of nothing else goes with them."""
     out = dedup_lines(docs)
     left = out.where((F.col("line_stats.n_removed") == 0) | (F.col("line_stats.n_removed") < F.col("line_stats.n_lines")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -17,16 +17,26 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _windows(run: int) -> str:
-    """For each run of lines: its number, its winnowed fingerprint (the least line hash) with position, and its hashes."""
-    hashes = f"transform({_LINES}, x -> named_struct('h1', xxhash64(x.line), 'h2', xxhash64(1, x.line)))"
-    mins = _let("array_min(transform(w, x -> x.h1))", "f", f"named_struct('i', i, 'f', f, 'p', i + array_position(transform(w, x -> x.h1), f) - 1, 'k1', xxhash64(transform(w, x -> x.h1)), 'k2', xxhash64(transform(w, x -> x.h2)))")
+def _windows(run: int, long_line: int | None) -> str:
+    """For each run of lines: its number, its winnowed fingerprint (the least line hash) with position, its hashes and size.
+
+    A line of ``long_line`` words or more is a run of its own besides.
+    """
+    words = "size(filter(split(x.line, '[\\\\x20\\\\x09-\\\\x0D]+'), y -> y <> ''))"
+    far = "false" if long_line is None or run == 1 else f"length(x.line) >= {2 * long_line - 1} AND {words} >= {long_line}"
+    hashes = f"transform({_LINES}, x -> named_struct('h1', xxhash64(x.line), 'h2', xxhash64(1, x.line), 'far', {far}))"
+    mins = _let("array_min(transform(w, x -> x.h1))", "f", f"named_struct('i', i, 'f', f, 'p', i + array_position(transform(w, x -> x.h1), f) - 1, 'k1', xxhash64(transform(w, x -> x.h1)), 'k2', xxhash64(transform(w, x -> x.h2)), 'm', {run})")
     each = f"transform(sequence(0, size(h) - {run}), i -> {_let(f'slice(h, i + 1, {run})', 'w', mins)})"
-    return _let(hashes, "h", f"CASE WHEN size(h) < {run} THEN NULL ELSE {each} END")
+    runs = f"CASE WHEN size(h) < {run} THEN NULL ELSE {each} END"
+    if far == "false":
+        return _let(hashes, "h", runs)
+    own = "transform(filter(transform(h, (x, i) -> named_struct('i', i, 'x', x)), y -> y.x.far), y -> named_struct('i', y.i, 'f', y.x.h1, 'p', cast(y.i AS bigint), 'k1', xxhash64(array(y.x.h1)), 'k2', xxhash64(array(y.x.h2)), 'm', 1))"
+    return _let(hashes, "h", f"concat(coalesce({runs}, array()), {own})")
 
 
-def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, starts): the starts of runs of ``min_run`` lines that occur earlier, counted among lines with a word.
+def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = None) -> DataFrame:
+    """(doc_id, starts, singles): the starts of runs of ``min_run`` lines that occur earlier, counted among lines with a
+    word, and the lines of ``long_line`` words or more that occur earlier by themselves.
 
     Winnowing: each run's fingerprint is its least line hash, so two equal runs always share one. Only fingerprints at
     two places or more are joined back; a match is extended to both sides by comparing all line hashes of the runs that
@@ -35,32 +45,34 @@ def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", te
     row for each place.
     """
     rows = id_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    places = written(rows.select("doc_id", F.expr(f"inline({_windows(min_run)})")), "lines")
+    places = written(rows.select("doc_id", F.expr(f"inline({_windows(min_run, long_line)})")), "lines")
     at = F.struct("doc_id", "p")
     often = places.groupBy("f").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("f")
     kept = places.join(often, "f")
     first = kept.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = kept.join(first, ["k1", "k2"]).where(F.struct("doc_id", "i") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("starts"))
+    of = lambda m: F.array_sort(F.collect_set(F.when(m, F.col("i"))))
+    return later.groupBy("doc_id").agg(of(F.col("m") == min_run).alias("starts"), of(F.col("m") != min_run).alias("singles"))
 
 
-def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Delete later repeats of runs of at least ``min_run`` lines.
+def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = 50) -> DataFrame:
+    """Delete later repeats of runs of at least ``min_run`` lines, and of single lines of ``long_line`` words or more.
 
     A line with a word goes if it is in a run of ``min_run`` or more such lines (blank lines between them do not count)
-    that also occurs earlier: in a document of a smaller doc_id, or further up in the same one. Runs may overlap, and
-    are judged on the input. Blank lines stay.
+    that also occurs earlier: in a document of a smaller doc_id, or further up in the same one. So does a line of
+    ``long_line`` words (between ASCII white space) or more, whatever its neighbours; None leaves that out. Runs may
+    overlap, and are judged on the input, so the first place of a run or long line stays. Blank lines stay.
 
     Returns the columns of docs with the text replaced, and line_stats: struct(n_lines, n_removed, n_runs), where
     n_lines counts lines with a word. A null text stays null with no lines; empty texts stay empty; rows with a null
     doc_id are kept as they are; doc_id must be unique otherwise. An empty table gives an empty result.
     """
     taken = {c.lower() for c in docs.columns}
-    key, starts = (next(f"{x}_{i}" for i in range(99) if f"{x}_{i}" not in taken) for x in ("dedup_id", "dedup_starts"))
-    found = repeated_lines(docs, min_run, id_col, text_col).select(F.col("doc_id").alias(key), F.col("starts").alias(starts))
+    key, starts, singles = (next(f"{x}_{i}" for i in range(99) if f"{x}_{i}" not in taken) for x in ("dedup_id", "dedup_starts", "dedup_singles"))
+    found = repeated_lines(docs, min_run, id_col, text_col, long_line).select(F.col("doc_id").alias(key), F.col("starts").alias(starts), F.col("singles").alias(singles))
     joined = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(key), "left").drop(key)
     lines = _LINES.replace("(text,", f"(`{text_col}`,")
-    gone = f"array_distinct(flatten(transform({starts}, s -> sequence(s, s + {min_run - 1}))))"
+    gone = f"array_union(flatten(transform({starts}, s -> sequence(s, s + {min_run - 1}))), {singles})"
     n_runs = "size(g) - size(array_intersect(g, transform(g, x -> x + 1)))"
     stats = f"CASE WHEN `{text_col}` IS NULL THEN named_struct('n_lines', 0L, 'n_removed', 0L, 'n_runs', 0L) WHEN {starts} IS NULL THEN named_struct('n_lines', cast(size({lines}) AS bigint), 'n_removed', 0L, 'n_runs', 0L) ELSE {_let(gone, 'g', f"named_struct('n_lines', cast(size({lines}) AS bigint), 'n_removed', cast(size(g) AS bigint), 'n_runs', cast({n_runs} AS bigint))")} END"
     drop = _let(lines, "nb", f"transform({gone}, r -> nb[r].pos)")
@@ -70,7 +82,8 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    # OP2_SQL has no rule for long single lines
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), long_line=None)
     return out.select("doc_id", "line_stats.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

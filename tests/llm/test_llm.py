@@ -214,6 +214,18 @@ def test_line_dedup_keeps_columns(spark, edge_texts):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_long_single_lines(spark):
+    from helixspark.llm.lines import dedup_lines
+
+    long, short, almost = " ".join(words(60, 1, 10**6)), "a short line", " ".join(words(49, 2, 10**6))
+    texts = [f"one\n{long}\ntwo", f"three\n{long}\nfour\n{short}", long, f"{short}\nfive\n{long}\n{long}", f"six\n{almost}", f"seven\n{almost}", f"\n{long}\n{short}\nnine", f"eight\n{long}\n{short}\nnine"]
+    got = {r.doc_id: (r.text, *r.line_stats) for r in dedup_lines(frame(spark, texts)).collect()}
+    assert got[0] == (texts[0], 3, 0, 0) and got[1] == (f"three\nfour\n{short}", 4, 1, 1)
+    assert got[2] == ("", 1, 1, 1) and got[3] == (f"{short}\nfive", 4, 2, 1)
+    assert got[4][0] == texts[4] and got[5][0] == texts[5]
+    assert got[6] == (f"\n{short}\nnine", 3, 1, 1) and got[7] == ("eight", 4, 3, 1)
+
+
 def test_url_templates(spark):
     from helixspark.llm.urls import filter_urls
 
