@@ -94,7 +94,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     Sums of p by (site, path) and by site give posteriors: a site's mean is drawn to the mean of all documents with the
     strength of a beta prior fitted to the spread of sites (method of moments), a path's mean to its site's in the same
     way, so sparse sites and paths stay near their priors. The document's log odds move by the path's log odds against
-    the global ones, divided by the log of the path's size: a site changes doubtful documents, never clear ones.
+    the global ones; a path's size counts only in the shrinkage, so a larger copy of a corpus has the same scores but for it.
 
     Returns doc_id, site, path, evidence, site_mean, path_mean, score and keep (score >= threshold) for each row. Null texts count as empty; null sites and paths form their own groups; without labels of both classes
     the evidence is the labels' share (1/2 without any). An empty table gives an empty result. Sums are built before the
@@ -121,8 +121,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     table = paths.join(sites, "site").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(within))  # one row each
     table = table.withColumn("site_mean", (F.col("site_s") + strength(F.col("v")) * F.col("m")) / (F.col("site_n") + strength(F.col("v"))))
     table = table.withColumn("path_mean", (F.col("s") + strength(F.col("pv")) * F.col("site_mean")) / (F.col("n") + strength(F.col("pv"))))
-    out = scored.join(table.select("site", "path", "site_mean", "path_mean", "m", "n"), ["site", "path"])
-    shift = (_logit(F.col("path_mean")) - _logit(F.col("m"))) / F.greatest(F.log(F.col("n") + 1), F.lit(1.0))
+    out = scored.join(table.select("site", "path", "site_mean", "path_mean", "m"), ["site", "path"])
+    shift = _logit(F.col("path_mean")) - _logit(F.col("m"))
     score = 1 / (1 + F.exp(-(_logit(F.col("p")) + shift)))
     own_name = lambda c: F.nullif(F.col(c), F.lit("\0")).alias(c)
     return out.select("doc_id", own_name("site"), own_name("path"), F.col("p").alias("evidence"), "site_mean", "path_mean", score.alias("score"), (score >= threshold).alias("keep"))

@@ -188,6 +188,27 @@ def test_quality(spark):
     assert classify_quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_of_tenfold_copy(spark):
+    from pyspark.sql import functions as F
+
+    from helixspark.llm.quality import classify_quality
+
+    r = random.Random(8)
+    sites = [(s, bad) for s, bad in (("a", 0.1), ("b", 0.3), ("c", 0.9)) for _ in range(80)]
+    rows = [(i, " ".join(f"{w}##" if r.random() < 0.3 + 0.3 * (r.random() < bad) else w for w in words(40, i)), s, "en" if i % 2 else "de", 1) for i, (s, bad) in enumerate(sites)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(r.random() > bad)) for i, (_, bad) in enumerate(sites)], "doc_id long, quality int")
+    tenfold = docs.crossJoin(spark.range(10).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("k")).drop("k")
+    logit = lambda x: np.log(x / (1 - x))
+    one, ten = ({x.doc_id: x for x in classify_quality(d, labels).collect()} for d in (docs, tenfold))
+    assert len(ten) == 10 * len(one)
+    shrinkage = {i: logit(ten[i].path_mean) - logit(x.path_mean) for i, x in one.items()}
+    for i, x in one.items():
+        assert abs(logit(ten[i + 9000].evidence) - logit(x.evidence)) < 1e-3
+        assert abs(logit(ten[i + 9000].score) - logit(x.score) - shrinkage[i]) < 1e-3
+    assert max(abs(logit(x.path_mean) - logit(np.mean([y.evidence for y in one.values()]))) for x in one.values()) > 0.2
+
+
 def test_variety_reads_whole_text(spark):
     from helixspark.llm.quality import features
 
