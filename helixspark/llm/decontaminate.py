@@ -16,7 +16,7 @@ _SCHEMA = "doc_id long, n_words long, hit_words array<int>, span_starts array<lo
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def window_table(items: list[tuple[str, str | None]], n: int) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, set[str]]]]]:
+def window_table(items: list[tuple[str | None, str | None]], n: int) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, set[str]]]]]:
     """By window length: a bitmap, the sorted window hashes, and for each hash its texts with their items.
 
     The length is n, or an item's number of words where it has fewer (but some).
@@ -31,7 +31,9 @@ def window_table(items: list[tuple[str, str | None]], n: int) -> dict[int, tuple
         low = textops.LOWER[buf].tobytes()
         for i, g in enumerate(textops.ngrams(h, m).tolist()):
             words = b" ".join(low[a:b] for a, b in zip(s[i : i + m], e[i : i + m], strict=True))
-            found.setdefault(m, {}).setdefault(g, {}).setdefault(words, set()).add(item)
+            of = found.setdefault(m, {}).setdefault(g, {}).setdefault(words, set())
+            if item is not None:
+                of.add(item)
     out = {}
     for m, by_hash in found.items():
         hashes = np.array(sorted(by_hash), dtype=np.uint64)
@@ -98,7 +100,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
     Returns for each row of docs: doc_id, n_words, hit_words (numbers of the words in windows), span_starts and
     span_ends (byte offsets of the maximal runs of such words), items (sorted as strings). Null and empty texts have no
-    words and no hits; an empty benchmark hits nothing; repeated rows each get a result when doc_id is unique.
+    words and no hits; windows of a benchmark row with a null id hit, but add no item; an empty benchmark hits nothing; repeated rows each get a result when doc_id is unique.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
@@ -108,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     found = None
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        table = spark.sparkContext.broadcast(window_table([(x.item, x.text) for x in part.collect() if x.item is not None], n))
+        table = spark.sparkContext.broadcast(window_table([(x.item, x.text) for x in part.collect()], n))
         hits = rows.mapInArrow(_scan(table), _SCHEMA)
         found = hits if found is None else found.unionByName(hits)
     if blocks == 1:

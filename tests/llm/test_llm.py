@@ -278,6 +278,17 @@ def test_decontaminate_blocks(spark, edge_texts):
     assert decontaminate(docs, bench.limit(0)).where("size(hit_words) > 0").count() == 0
 
 
+def test_decontaminate_null_item(spark, edge_texts):
+    from helixspark.llm.decontaminate import decontaminate
+
+    docs = frame(spark, edge_texts)
+    bench = spark.createDataFrame([(None, " ".join(words(120, 1, 10**6)[20:40])), ("i2", "the same line of text"), (None, "of text again and")], "item_id string, text string")
+    for size in (32 << 20, 64):
+        got = {r.doc_id: r for r in decontaminate(docs, bench, block_bytes=size).collect()}
+        assert len(got[5].hit_words) == 20 and got[5].items == [] and len(got[5].span_starts) == 1
+        assert got[9].items == ["i2"] and len(got[9].hit_words) == 24 - 3
+
+
 def norm(v):
     return repr(round(v, 6) + 0.0) if isinstance(v, float) else repr(v)
 
