@@ -13,6 +13,7 @@ _FORMS = ((r"^[0-9]+$", "<num>"), (r"^[0-9]+[.][a-z]+$", "<num-file>"), (r"^[0-9
 #: The rules of the registered query: (domain, path prefix, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MOST_RULES = 1000
+#: Levels of OP6_SQL; the query goes down to the deepest path.
 DEPTH = 4
 
 
@@ -36,27 +37,29 @@ def rule_for(host, path, rules):
 
 
 def segments(path):
-    """The first DEPTH path segments, by their form where they vary; the rest is one segment; missing ones are empty."""
+    """All path segments but empty ones, by their form where they vary."""
     def form(s):
         out = F.translate(s, _UPPER, _LOWER)
         for pattern, name in reversed(_FORMS):
             out = F.when(F.rlike(s, F.lit(pattern)), F.lit(name)).otherwise(out)
         return out
 
-    parts = F.transform(F.filter(F.split(path, "/", DEPTH + 2), lambda s: s != ""), form)
-    return F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda i: F.coalesce(F.get(parts, i), F.lit("")))
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), form)
 
 
 def templates(urls: DataFrame, min_kids: int = 8, z: float = 1.96) -> DataFrame:
-    """(host, segs, template) for the different (host, segs) of urls(host, segs, label), level by level.
+    """(host, segs, template) for the different (host, segs) of urls(host, segs, label), level by level to the deepest.
 
     At a node, literal segments become ``*`` where they vary (``min_kids`` or more branches of under 3 urls on
     average); else a branch keeps its name only if its share of bad labels differs from its siblings' by a two-sided
-    test of two proportions at ``z``, and branches that are alike merge into ``*``.
+    test of two proportions at ``z``, and branches that are alike merge into ``*``. Paths that end at a node are one
+    unnamed branch there and do not go on.
     """
+    size = F.size("segs")
     t = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        t = written(t, "templates").withColumn("kid", F.get("segs", F.lit(level)))
+    t, done = written(t, "templates"), []
+    for level in range(t.agg(F.max(size)).first()[0] or 0):
+        t = t.withColumn("kid", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
         kids = t.groupBy("host", "template", "kid").agg(*(F.sum(c).alias(c) for c in ("n", "lab", "bad")))
         of = kids.groupBy("host", "template").agg(F.count_if(F.col("kid") != "").alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")))
         both = kids.join(of, ["host", "template"])
@@ -68,6 +71,11 @@ def templates(urls: DataFrame, min_kids: int = 8, z: float = 1.96) -> DataFrame:
         varies = (F.col("kids") >= min_kids) & (F.col("all_n") < 3 * F.col("kids"))
         name = F.when(F.col("kid") == "", "").when(~varies & F.coalesce(own, F.lit(False)), F.concat(F.lit("/"), F.col("kid"))).otherwise("/*")
         t = t.join(both.select("host", "template", "kid", name.alias("name")), ["host", "template", "kid"]).withColumn("template", F.concat("template", "name")).drop("kid", "name")
+        t = written(t, "templates")
+        done.append(t.where(size == level))
+        t = t.where(size > level)
+    for ended in done:
+        t = t.unionByName(ended)
     return t.select("host", "segs", "template", "lab", "bad")
 
 

@@ -259,6 +259,18 @@ def test_url_templates(spark):
     assert got[40].host == "" and got[42].path == "" and got[44].host == "b.org" and got[45].rule == "example.org/en/1"
 
 
+def test_url_templates_of_deep_paths(spark):
+    from pyspark.sql import functions as F
+
+    from helixspark.llm.urls import filter_urls
+
+    urls = [f"http://a.net/a/b{'/' * (i % 3)}/c/d/{'bad' if i < 20 else 'good'}/x/y{i % 2}" for i in range(40)] + ["http://a.net/a/b/c/d", "http://a.net/"]
+    pages = spark.createDataFrame([(i, u, None if i in (3, 25) else int(i < 20) if i < 40 else None) for i, u in enumerate(urls)], "page_id long, url string, y int")
+    got = {r.page_id: r["filter"] for r in filter_urls(pages, label=F.col("y")).collect()}
+    assert len(got) == 42 and all(got[i].verdict == ("block" if i < 20 else "allow") for i in range(42))
+    assert {got[i].template for i in range(20)} == {"/*/*/*/*/bad/*/*"} and got[40].template == "/*/*/*/*" and got[41].template == ""
+
+
 def test_rules_edges(spark, edge_texts):
     from helixspark.llm.rules import cascade
 
