@@ -17,34 +17,31 @@ VOCABULARY = "byte_bpe_50k"
 
 @functools.cache
 def encoder(vocabulary: str = VOCABULARY):
-    """A function from a text to its ids as little-endian unsigned 32-bit integers.
+    """A function from a text to its ids as little-endian unsigned 32-bit integers, those of the ``tokenizers`` file
+    (``add_special_tokens=False``).
 
-    Strings of special tokens are ordinary text. The merge ranks of a byte-level vocabulary give the same ids as its
-    ``tokenizers`` file, in less time; texts that the rank encoder gives up on (runs of a million equal characters) go
-    to the ``tokenizers`` file.
+    The merge ranks of a byte-level vocabulary give the same ids in less time. Texts that hold the string of an added
+    token, which the file takes as that token, go to the file, as do texts that the rank encoder gives up on (runs of a
+    million equal characters).
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    @functools.cache
-    def slow():
-        from tokenizers import Tokenizer
-
-        out = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        out.encode_special_tokens = True
-        return out
+    whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:  # the encoder's own panic is no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            return np.array(slow().encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if not any(t in text for t in added):
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except BaseException as e:  # the encoder's own panic is no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                    raise
+        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 

@@ -120,7 +120,8 @@ def test_packing(spark, edge_texts):
     from helixspark.llm.packing import pack, plan
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    edge_texts = [*edge_texts, "hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b"]
+    assert t.encode("hello <|endoftext|> x", add_special_tokens=False).ids == [31373, 220, 50256, 2124]
     got = pack(frame(spark, edge_texts), capacity=64).collect()
     docs, bins = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -146,7 +147,9 @@ def test_packing(spark, edge_texts):
 def test_histogram(spark, edge_texts):
     from helixspark.llm.tokens import encoder, length_histogram
 
+    edge_texts = [*edge_texts, "<|endoftext|> and <|endoftext|>"]
     n = [len(encoder()(t)) if t else 0 for t in edge_texts]
+    assert n[-1] == 4
     got = {r.length: r for r in length_histogram(frame(spark, edge_texts)).collect()}
     assert set(got) == set(n)
     for x, r in got.items():
