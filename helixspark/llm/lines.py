@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.runtime import id_text, written
+from helixspark.llm.runtime import id_text, others, written
 
 #: A line with a word: anything but ASCII white space.
 _FILLED = r"[^\\x20\\x09-\\x0D]"
@@ -17,42 +17,48 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _windows(run: int, long_line: int | None) -> str:
-    """For each run of lines: its number, its winnowed fingerprint (the least line hash) with position, its hashes and size.
+def _fingerprints(run: int, long_line: int | None) -> str:
+    """The places (p, f, g, before, after, far) that winnowing selects in a text's lines with a word.
 
-    A line of ``long_line`` words or more is a run of its own besides.
+    A window is ``run`` neighbouring lines, and its least line hash f (the last of equal ones) is selected, once for all
+    windows that select it. Each place has the hashes of up to run - 1 lines before and after it. Lines of ``long_line``
+    words or more (far) are places of their own besides; g is a second hash for them.
     """
     words = "size(filter(split(x.line, '[\\\\x20\\\\x09-\\\\x0D]+'), y -> y <> ''))"
-    far = "false" if long_line is None or run == 1 else f"length(x.line) >= {2 * long_line - 1} AND {words} >= {long_line}"
-    hashes = f"transform({_LINES}, x -> named_struct('h1', xxhash64(x.line), 'h2', xxhash64(1, x.line), 'far', {far}))"
-    mins = _let("array_min(transform(w, x -> x.h1))", "f", f"named_struct('i', i, 'f', f, 'p', i + array_position(transform(w, x -> x.h1), f) - 1, 'k1', xxhash64(transform(w, x -> x.h1)), 'k2', xxhash64(transform(w, x -> x.h2)), 'm', {run})")
-    each = f"transform(sequence(0, size(h) - {run}), i -> {_let(f'slice(h, i + 1, {run})', 'w', mins)})"
-    runs = f"CASE WHEN size(h) < {run} THEN NULL ELSE {each} END"
-    if far == "false":
-        return _let(hashes, "h", runs)
-    own = "transform(filter(transform(h, (x, i) -> named_struct('i', i, 'x', x)), y -> y.x.far), y -> named_struct('i', y.i, 'f', y.x.h1, 'p', cast(y.i AS bigint), 'k1', xxhash64(array(y.x.h1)), 'k2', xxhash64(array(y.x.h2)), 'm', 1))"
-    return _let(hashes, "h", f"concat(coalesce({runs}, array()), {own})")
-
-
-def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = None) -> DataFrame:
-    """(doc_id, starts, singles): the starts of runs of ``min_run`` lines that occur earlier, counted among lines with a
-    word, and the lines of ``long_line`` words or more that occur earlier by themselves.
-
-    Winnowing: each run's fingerprint is its least line hash, so two equal runs always share one. Only fingerprints at
-    two places or more are joined back; a match is extended to both sides by comparing all line hashes of the runs that
-    contain the fingerprint, with their first place in the corpus (smallest doc_id, then position). Fingerprints and
-    runs are counted before any exchange, and no pairs of places are built: a line in a third of all documents costs a
-    row for each place.
+    far = "false" if long_line is None else f"length(x.line) >= {2 * long_line - 1} AND {words} >= {long_line}"
+    hashes = f"transform({_LINES}, x -> named_struct('f', xxhash64(x.line), 'g', xxhash64(1, x.line), 'far', {far}))"
+    keys = "transform(h, (x, i) -> named_struct('f', x.f, 'i', -i))"
+    least = f"CASE WHEN size(h) < {run} THEN array() ELSE array_distinct(transform(sequence(0, size(h) - {run}), j -> -array_min(slice(k, j + 1, {run})).i)) END"
+    alone = "filter(transform(h, (x, i) -> CASE WHEN x.far THEN i END), i -> i IS NOT NULL)"
+    of = "transform(h, x -> x.f)"
+    each = f"transform(array_union({_let(keys, 'k', least)}, {alone}), p -> named_struct('p', p, 'f', h[p].f, 'g', h[p].g, 'far', h[p].far, 'before', slice(hs, greatest(p - {run - 1}, 0) + 1, least(p, {run - 1})), 'after', slice(hs, p + 2, {run - 1})))"
+    return _let(hashes, "h", _let(of, "hs", each))
+
+
+def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = 50) -> DataFrame:
+    """(doc_id, t, gone): the lines, counted among lines with a word, that are in a repeat; t is the text's hash.
+
+    Two equal runs of ``min_run`` lines have the same least hash at the same line of the run, so both are selected places
+    of one fingerprint. Places of a fingerprint that another place has are joined on it and on what stands around them:
+    a place extends l lines to the left and min_run - 1 - l to the right, for each l, where these neighbours equal those
+    of an earlier place, and the run it then spans is a repeat. Longer repeats are chains of such runs, as neighbouring
+    places are at most ``min_run`` lines apart. Of each extension the first place (smallest doc_id, then position) is what
+    the others are joined with, and it is found by partial aggregation, so no pairs of places are built and a line in a
+    third of all documents costs a row for each place.
     """
     rows = id_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    places = written(rows.select("doc_id", F.expr(f"inline({_windows(min_run, long_line)})")), "lines")
-    at = F.struct("doc_id", "p")
+    places = written(rows.select("doc_id", F.xxhash64("text").alias("t"), F.expr(f"inline({_fingerprints(min_run, long_line)})")), "lines")
+    at = F.struct("doc_id", "t", "p")
     often = places.groupBy("f").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("f")
-    kept = places.join(often, "f")
-    first = kept.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = kept.join(first, ["k1", "k2"]).where(F.struct("doc_id", "i") > F.col("first"))
-    of = lambda m: F.array_sort(F.collect_set(F.when(m, F.col("i"))))
-    return later.groupBy("doc_id").agg(of(F.col("m") == min_run).alias("starts"), of(F.col("m") != min_run).alias("singles"))
+    reach = f"filter(transform(sequence(0, {min_run - 1}), l -> named_struct('l', l, 'k', CASE WHEN size(before) >= l AND size(after) >= {min_run - 1} - l THEN xxhash64(slice(before, size(before) - l + 1, l), slice(after, 1, {min_run - 1} - l)) END)), x -> x.k IS NOT NULL)"
+    alone = "CASE WHEN far THEN array(named_struct('l', -1, 'k', g)) ELSE array() END"
+    if min_run == 1:
+        reach = "array(named_struct('l', 0, 'k', g))"
+    spans = places.join(often, "f").select("f", "doc_id", "t", "p", F.expr(f"inline(concat({reach}, {alone}))"))
+    first = spans.groupBy("f", "l", "k").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    later = spans.join(first, ["f", "l", "k"]).where(at > F.col("first"))
+    run = F.expr(f"CASE WHEN l < 0 THEN array(p) ELSE sequence(p - l, p - l + {min_run - 1}) END")
+    return later.groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(run)))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = 50) -> DataFrame:
@@ -60,30 +66,32 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
 
     A line with a word goes if it is in a run of ``min_run`` or more such lines (blank lines between them do not count)
     that also occurs earlier: in a document of a smaller doc_id, or further up in the same one. So does a line of
-    ``long_line`` words (between ASCII white space) or more, whatever its neighbours; None leaves that out. Runs may
-    overlap, and are judged on the input, so the first place of a run or long line stays. Blank lines stay.
+    ``long_line`` words (between ASCII white space) or more, whatever its neighbours; None leaves that out. Shorter single
+    lines stay, as headings and salutations repeat in unrelated documents. Runs may overlap, and are judged on the input,
+    so the first place of a run or long line stays. Blank lines stay: they hold no words, and windows skip them so that
+    spacing does not hide a repeat.
 
     Returns the columns of docs with the text replaced, and line_stats: struct(n_lines, n_removed, n_runs), where
-    n_lines counts lines with a word. A null text stays null with no lines; empty texts stay empty; rows with a null
-    doc_id are kept as they are; doc_id must be unique otherwise. An empty table gives an empty result.
+    n_lines counts lines with a word; it replaces a column of that name. A null text stays null with no lines; empty
+    texts stay empty; rows with a null doc_id are kept as they are. Rows of one doc_id and one text are one document and
+    get equal results; rows of one doc_id with different texts are documents in the order of a hash of their texts. An
+    empty table gives an empty result.
     """
     taken = {c.lower() for c in docs.columns}
-    key, starts, singles = (next(f"{x}_{i}" for i in range(99) if f"{x}_{i}" not in taken) for x in ("dedup_id", "dedup_starts", "dedup_singles"))
-    found = repeated_lines(docs, min_run, id_col, text_col, long_line).select(F.col("doc_id").alias(key), F.col("starts").alias(starts), F.col("singles").alias(singles))
-    joined = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(key), "left").drop(key)
+    key, t, gone = (next(f"{x}_{i}" for i in range(99) if f"{x}_{i}" not in taken) for x in ("dedup_id", "dedup_text", "dedup_gone"))
+    found = repeated_lines(docs, min_run, id_col, text_col, long_line).select(F.col("doc_id").alias(key), F.col("t").alias(t), F.col("gone").alias(gone))
+    joined = docs.join(found, (F.col(f"`{id_col}`").cast("long") == F.col(key)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(t)), "left")
     lines = _LINES.replace("(text,", f"(`{text_col}`,")
-    gone = f"array_union(flatten(transform({starts}, s -> sequence(s, s + {min_run - 1}))), {singles})"
     n_runs = "size(g) - size(array_intersect(g, transform(g, x -> x + 1)))"
-    stats = f"CASE WHEN `{text_col}` IS NULL THEN named_struct('n_lines', 0L, 'n_removed', 0L, 'n_runs', 0L) WHEN {starts} IS NULL THEN named_struct('n_lines', cast(size({lines}) AS bigint), 'n_removed', 0L, 'n_runs', 0L) ELSE {_let(gone, 'g', f"named_struct('n_lines', cast(size({lines}) AS bigint), 'n_removed', cast(size(g) AS bigint), 'n_runs', cast({n_runs} AS bigint))")} END"
+    stats = f"CASE WHEN `{text_col}` IS NULL THEN named_struct('n_lines', 0L, 'n_removed', 0L, 'n_runs', 0L) ELSE {_let(f'coalesce({gone}, array())', 'g', f"named_struct('n_lines', cast(size({lines}) AS bigint), 'n_removed', cast(size(g) AS bigint), 'n_runs', cast({n_runs} AS bigint))")} END"
     drop = _let(lines, "nb", f"transform({gone}, r -> nb[r].pos)")
     rest = _let(f"split(`{text_col}`, '\\n', -1)", "l", f"array_join(transform(array_except(sequence(0, size(l) - 1), {drop}), x -> l[x]), '\\n')")
-    text = f"CASE WHEN {starts} IS NULL THEN `{text_col}` ELSE {rest} END"
-    return joined.select(*(F.expr(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.expr(stats).alias("line_stats"))
+    text = f"CASE WHEN {gone} IS NULL THEN `{text_col}` ELSE {rest} END"
+    return joined.select(*(F.expr(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in others(docs, "line_stats")), F.expr(stats).alias("line_stats"))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
-    # OP2_SQL has no rule for long single lines
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), long_line=None)
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "line_stats.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -92,7 +100,8 @@ WITH l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(tex
 nb AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 i FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 w AS (SELECT a.doc_id, a.i, a.line || chr(10) || b.line k FROM nb a JOIN nb b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 again FROM w),
-gone AS (SELECT DISTINCT doc_id, i + j i FROM r, (SELECT unnest([0, 1]) j) WHERE again),
+far AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 again FROM nb WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
+gone AS (SELECT DISTINCT doc_id, i + j i FROM r, (SELECT unnest([0, 1]) j) WHERE again UNION SELECT doc_id, i FROM far WHERE again),
 runs AS (SELECT doc_id, count(*) n_removed, count(*) FILTER (WHERE p IS NULL OR p <> i - 1) n_runs FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM gone) GROUP BY doc_id),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) t FROM l LEFT JOIN nb ON l.doc_id = nb.doc_id AND l.pos = nb.pos LEFT JOIN gone g ON g.doc_id = nb.doc_id AND g.i = nb.i WHERE g.i IS NULL GROUP BY l.doc_id),
 n AS (SELECT doc_id, count(*) n_lines FROM nb GROUP BY doc_id)
