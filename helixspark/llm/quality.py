@@ -87,43 +87,73 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label: str, sample: int,
     return [float(v) for v in model.coefficients], float(model.intercept) + math.log(share / (1 - share))
 
 
+def prior_strength(groups: DataFrame, mean, n: str = "n", good: str = "good"):
+    """A column over all groups: the strength (as labels) of the beta prior that the spread of the groups' shares shows.
+
+    Method of moments: the weighted spread of shares about ``mean`` less what binomial noise alone gives, as a part of
+    m (1 - m), is 1 / (strength + 1). Held between 1 and 1e6; 1e6 where there is no spread beyond the noise.
+    """
+    count, share = F.col(n), F.col(good) / F.col(n)
+    s = F.sum(count * F.pow(share - mean, 2))
+    noise = F.sum(mean * (1 - mean)) - F.sum(count * mean * (1 - mean)) / F.sum(count)
+    room = (F.sum(count) - F.sum(count * count) / F.sum(count)) * F.sum(count * mean * (1 - mean)) / F.sum(count)
+    part = F.try_divide(s - noise, room)
+    return F.greatest(F.least(F.try_divide(F.lit(1.0), F.greatest(part, F.lit(0.0))) - 1, F.lit(1e6)), F.lit(1.0))
+
+
+def posteriors(labelled: DataFrame) -> DataFrame:
+    """One row for each labelled (site, path) of labelled(site, path, y): site_mean, path_mean and the global mean m.
+
+    Labels are counted by site and path. A site's share of good labels is drawn to that of all labels with the strength
+    of a beta prior fitted to the sites, and a path's share to its site's posterior with the strength fitted to the paths,
+    so sparse sites and paths stay near their priors and well-counted ones near their own shares.
+    """
+    paths = labelled.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum("y").alias("good"))
+    sites = paths.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("good").alias("site_good"))
+    every = sites.agg(((F.sum("site_good") + 0.5) / (F.sum("site_n") + 1)).alias("m"))  # within 0 and 1
+    of_sites = sites.crossJoin(F.broadcast(every))  # one row
+    strength = of_sites.agg(F.coalesce(prior_strength(of_sites, F.col("m"), "site_n", "site_good"), F.lit(1e6)).alias("site_strength"))
+    sites = of_sites.crossJoin(F.broadcast(strength)).withColumn("site_mean", (F.col("site_good") + F.col("site_strength") * F.col("m")) / (F.col("site_n") + F.col("site_strength")))
+    of_paths = paths.join(sites.select("site", "site_mean", "m"), "site")
+    strength = of_paths.agg(F.coalesce(prior_strength(of_paths, F.col("site_mean")), F.lit(1e6)).alias("path_strength"))
+    return of_paths.crossJoin(F.broadcast(strength)).withColumn("path_mean", (F.col("good") + F.col("path_strength") * F.col("site_mean")) / (F.col("n") + F.col("path_strength"))).select("site", "path", "site_mean", "path_mean", "m")
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", site_col: str = "source", path_col: str = "lang", sample: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The probability that a document is good, from its own text, its site and its path on the site.
 
-    Evidence of a document is a classifier's probability p (fitted on at most ``sample`` labelled texts of each class).
-    Sums of p by (site, path) and by site give posteriors: a site's mean is drawn to the mean of all documents with the
-    strength of a beta prior fitted to the spread of sites (method of moments), a path's mean to its site's in the same
-    way, so sparse sites and paths stay near their priors. The document's log odds move by the path's log odds against
-    the global ones; a path's size counts only in the shrinkage, so a larger copy of a corpus has the same scores but for it.
+    A document's evidence is a classifier's probability (fitted on at most ``sample`` labelled texts of each class), whose
+    log odds are those of the labels' share m plus what the text adds. Labels counted by site and path give a posterior
+    share for each (``posteriors``), and the log odds of the path's posterior take the place of those of m, once. A path
+    without labels has its site's posterior, a site without labels has m.
 
-    Returns doc_id, site, path, evidence, site_mean, path_mean, score and keep (score >= threshold) for each row. Null texts count as empty; null sites and paths form their own groups; without labels of both classes
-    the evidence is the labels' share (1/2 without any). An empty table gives an empty result. Sums are built before the
-    exchange, so a site with a third of all rows is a row for each task.
+    Returns doc_id, site, path, evidence, site_mean, path_mean, score and keep (score >= threshold) for each row, null
+    and repeated ids included; of a doc_id's labels each counts, with each of its rows. Null texts count as empty; null
+    sites and paths form their own groups; equal texts of one path have equal scores; other columns are not read. Without
+    labels of both classes the evidence is the labels' share (1/2 without any). An empty table gives an empty result. Sums
+    are built before the exchange, so a site with a third of all rows is a row for each task.
     """
     fitted = fit_classifier(docs, labels, label, sample, id_col, text_col)
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0")).alias("site"), F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("\0")).alias("path"))
+    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), name(site_col).alias("site"), name(path_col).alias("path"))
     if fitted is None:
         share = labels.agg(F.avg(F.col(f"`{label}`").cast("double"))).first()[0]
         scored = own.withColumn("p", F.lit(0.5 if share is None else float(share)))
     else:
         weights, intercept = fitted
         z = F.lit(intercept)
-        for name, w in zip(_FEATURES, weights, strict=True):
-            z = z + F.lit(w) * F.col(f"f.{name}")
+        for feature, w in zip(_FEATURES, weights, strict=True):
+            z = z + F.lit(w) * F.col(f"f.{feature}")
         scored = features(own).withColumn("p", 1 / (1 + F.exp(-z)))
-    scored = written(scored.select("doc_id", "site", "path", "p"), "evidence")  # texts are read once
-    paths = scored.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
-    sites = paths.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"))
-    every = sites.agg(F.sum("site_n").alias("all_n"), F.sum("site_s").alias("all_s"), F.coalesce(F.var_samp(F.col("site_s") / F.col("site_n")), F.lit(0.0)).alias("v")).withColumn("m", F.col("all_s") / F.col("all_n"))
-    within = paths.agg(F.coalesce(F.var_samp(F.col("s") / F.col("n")), F.lit(0.0)).alias("pv"))
-    # beta prior by moments: strength = m (1 - m) / v - 1, held between 1 and 1e6
-    strength = lambda v: F.greatest(F.least(F.col("m") * (1 - F.col("m")) / F.greatest(v, F.lit(1e-9)) - 1, F.lit(1e6)), F.lit(1.0))
-    table = paths.join(sites, "site").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(within))  # one row each
-    table = table.withColumn("site_mean", (F.col("site_s") + strength(F.col("v")) * F.col("m")) / (F.col("site_n") + strength(F.col("v"))))
-    table = table.withColumn("path_mean", (F.col("s") + strength(F.col("pv")) * F.col("site_mean")) / (F.col("n") + strength(F.col("pv"))))
-    out = scored.join(table.select("site", "path", "site_mean", "path_mean", "m"), ["site", "path"])
-    shift = _logit(F.col("path_mean")) - _logit(F.col("m"))
-    score = 1 / (1 + F.exp(-(_logit(F.col("p")) + shift)))
+    y = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
+    known = posteriors(own.select("doc_id", "site", "path").join(y, "doc_id"))
+    known = written(known, "posteriors")
+    sites = known.select("site", F.col("site_mean").alias("of_site")).distinct()
+    share = known.agg(F.first("m")).first()[0]
+    m = F.lit(0.5 if share is None else float(share))
+    out = scored.select("doc_id", "site", "path", "p").join(known.select("site", "path", "path_mean"), ["site", "path"], "left").join(sites, "site", "left")
+    out = out.withColumn("site_mean", F.coalesce("of_site", m)).withColumn("path_mean", F.coalesce("path_mean", "site_mean"))
+    score = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("path_mean")) - _logit(m))))
     own_name = lambda c: F.nullif(F.col(c), F.lit("\0")).alias(c)
     return out.select("doc_id", own_name("site"), own_name("path"), F.col("p").alias("evidence"), "site_mean", "path_mean", score.alias("score"), (score >= threshold).alias("keep"))
 
