@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textops
-from helixspark.llm.runtime import id_text
+from helixspark.llm.runtime import id_text, written
 
-_SCHEMA = "doc_id long, n_words long, hit_words array<int>, span_starts array<long>, span_ends array<long>, items array<string>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_FOUND = "n_words long, hit_words array<int>, span_starts array<long>, span_ends array<long>, items array<string>"
+_ARROW = pa.schema([("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
 def window_table(items: list[tuple[str | None, str | None]], n: int) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, set[str]]]]]:
@@ -43,19 +44,22 @@ def window_table(items: list[tuple[str | None, str | None]], n: int) -> dict[int
     return out
 
 
-def _scan(table) -> object:
+def _scan(table, only_hits: bool = False):
+    """Scan the text in a batch's last column; the other columns stay in front of the results."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = table.value
         for batch in batches:
-            buf, offsets = textops.utf8(batch.column(1))
-            ids = batch.column(0)
+            buf, offsets = textops.utf8(batch.column(batch.num_columns - 1))
             for lo, hi in textops.slices(offsets):
-                yield _scan_slice(ids.slice(lo, hi - lo), buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], windows)
+                found = _scan_slice(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], windows)
+                own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
+                out = pa.RecordBatch.from_arrays([*own, *found.columns], names=[*batch.schema.names[:-1], *_ARROW.names])
+                yield out.filter(pc.greater(pc.list_value_length(out.column("hit_words")), 0)) if only_hits else out
 
     return run
 
 
-def _scan_slice(ids, buf, offsets, windows) -> pa.RecordBatch:
+def _scan_slice(buf, offsets, windows) -> pa.RecordBatch:
     h, s, e, first = textops.words(buf, offsets, textops.ALNUM)
     n_words = np.diff(first)
     row = np.repeat(np.arange(len(n_words)), n_words)
@@ -87,7 +91,7 @@ def _scan_slice(ids, buf, offsets, windows) -> pa.RecordBatch:
         starts[r] = s[a + at[np.concatenate(([0], cut + 1))]] - offsets[r]
         ends[r] = e[a + at[np.concatenate((cut, [len(at) - 1]))]] - offsets[r]
     named = [sorted(items.get(r, ())) for r in range(len(n_words))]
-    return pa.RecordBatch.from_arrays([ids, pa.array(n_words.astype(np.int64)), *(pa.array(x, t.type) for x, t in zip((hits, starts, ends, named), list(_ARROW)[2:], strict=True))], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(n_words.astype(np.int64)), *(pa.array(x, t.type) for x, t in zip((hits, starts, ends, named), list(_ARROW)[1:], strict=True))], schema=_ARROW)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
@@ -96,34 +100,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     Words are runs of ASCII letters (lower-cased) and digits or of characters beyond ASCII. A benchmark item's windows
     are its runs of n words, or the whole item where it has fewer. The windows are broadcast as a hash set in blocks of
     at most ``block_bytes`` of item text (one item longer than that is a block of its own); the documents are scanned
-    once for each block, and a hit counts only when the words themselves are equal.
+    once for each block, and a hit counts only when the words themselves are equal. With several blocks, each block's
+    hits are written and its set released before the next one is read; what a text hits depends on the text alone, so
+    hits are kept by two 64-bit hashes of it and joined to the rows at last, and the result does not depend on the blocks.
 
     Returns for each row of docs: doc_id, n_words, hit_words (numbers of the words in windows), span_starts and
     span_ends (byte offsets of the maximal runs of such words), items (sorted as strings). Null and empty texts have no
-    words and no hits; windows of a benchmark row with a null id hit, but add no item; an empty benchmark hits nothing; repeated rows each get a result when doc_id is unique.
+    words and no hits; windows of a benchmark row with a null id hit, but add no item; an empty benchmark hits nothing;
+    an empty table gives an empty result. Each row gets its own result, whatever its id; other columns are not read.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (block_bytes // 2)))
-    found = None
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        table = spark.sparkContext.broadcast(window_table([(x.item, x.text) for x in part.collect()], n))
-        hits = rows.mapInArrow(_scan(table), _SCHEMA)
-        found = hits if found is None else found.unionByName(hits)
+    broadcast = lambda part: spark.sparkContext.broadcast(window_table([(x.item, x.text) for x in part], n))
     if blocks == 1:
-        return found
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return rows.mapInArrow(_scan(broadcast(bench.collect())), f"doc_id long, {_FOUND}")
+    key = (F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    parts = []
+    for k in range(blocks):
+        table = broadcast(bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect())
+        parts.append(written(rows.select(*key, "text").mapInArrow(_scan(table, True), f"k1 long, k2 long, {_FOUND}").distinct(), "hits"))
+        table.destroy()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = found.groupBy("k1", "k2").agg(flat("hit_words").alias("hit_words"), F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))).alias("spans"), flat("items").alias("items"))
     # spans of different blocks may overlap or touch: sorted, each either extends the last one or begins a new one
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
     join = F.aggregate(
         F.array_sort("spans"),
         F.expr("cast(array() as array<struct<span_starts:bigint,span_ends:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["span_ends"] >= x["span_starts"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["span_starts"].alias("span_starts"), F.greatest(F.try_element_at(acc, F.lit(-1))["span_ends"], x["span_ends"]).alias("span_ends"))))).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["span_ends"] >= x["span_starts"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["span_starts"].alias("span_starts"), F.greatest(last(acc)["span_ends"], x["span_ends"]).alias("span_ends"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    merged = merged.withColumn("spans", join)
-    return merged.select("doc_id", "n_words", "hit_words", F.col("spans.span_starts").alias("span_starts"), F.col("spans.span_ends").alias("span_ends"), "items")
+    merged = merged.withColumn("spans", join).select("k1", "k2", "hit_words", F.col("spans.span_starts").alias("span_starts"), F.col("spans.span_ends").alias("span_ends"), "items")
+    counted = rows.select("doc_id", *key, "text").mapInArrow(_scan(broadcast([])), f"doc_id long, k1 long, k2 long, {_FOUND}").select("doc_id", "n_words", "k1", "k2")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return counted.join(merged, ["k1", "k2"], "left").select("doc_id", "n_words", none("hit_words", "int"), none("span_starts", "long"), none("span_ends", "long"), none("items", "string"))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
