@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,18 +16,24 @@ from pyspark.sql import functions as F
 from helixspark.llm import textops
 from helixspark.llm.runtime import id_text, sample_rows
 
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Both dictionaries end with it and each window begins with it, so every window is a compressed block and its length
-#: is a constant plus the cost of its own bytes.
-_CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0b\x0c\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f" * 2
+#: Words of a window, and words from one window's start to the next one's.
+WINDOW, STEP = 8, 4
+#: Bytes of a trained dictionary, and windows that it is trained on.
+DICTIONARY, TRAINED_ON = 16384, 60000
+#: Bytes of the pieces that a toxic dictionary is made of.
+PIECE = 6
+#: Counts of windows from here on have one score.
+MOST = 8
+#: Both dictionaries end with it and each window begins with it, so every window becomes a compressed block (short ones
+#: are stored as they are otherwise), and its length is a constant plus the cost of its own bytes.
+_CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19"
 #: Ends each window: the compressor begins no match in the last bytes of a block.
-_TAIL = b"\x7f\x01\x7f\x02\x7f\x03\x7f\x04\x7f\x05\x7f\x06"
-_LONGEST = 64
+_TAIL = b"\x1a\x1b\x1c\x1d\x1e\x1f\x7f\x1f\x1e\x1d\x1c\x1b"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionary contents, the window threshold in bytes, and the score for each number of windows beyond it."""
+    """Both dictionaries, the window threshold in bytes, and the score for each number of windows beyond it."""
 
     ordinary: bytes
     toxic: bytes
@@ -35,183 +41,173 @@ class Model:
     scores: tuple[float, ...]
 
 
-def _lower(text: str) -> bytes:
-    return textops.LOWER[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes()
+def windows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) in bytes of the windows of all rows, and the first window of each row (with the total at the end).
+
+    A window is ``WINDOW`` words (anything but ASCII white space) with what stands between them; windows begin every
+    ``STEP`` words until one reaches the last word, so each word is in one. A row of fewer words is one window.
+    """
+    _, start, end, first = textops.words(buf, offsets, textops.NON_SPACE)
+    n = np.diff(first)
+    per = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STEP)), 0)
+    ends = np.cumsum(per)
+    row = np.repeat(np.arange(len(n)), per)
+    a = first[row] + STEP * (np.arange(len(row)) - (ends - per)[row])
+    b = np.minimum(a + WINDOW, first[row + 1]) - 1
+    return np.stack((start[a], end[b] - start[a]), axis=1) if len(row) else np.zeros((0, 2), np.int64), np.concatenate(([0], ends))
 
 
-def toxic_units(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = 0.01) -> list[tuple[int, bytes]]:
-    """Words, or beginnings of words, that mark toxic documents, each with its number of documents.
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, window_log=15, hash_log=14, chain_log=15, search_log=4, min_match=5, strategy=zstandard.STRATEGY_GREEDY)
+    own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=own, compression_params=params)
 
-    A unit has to occur in at least ``least`` x toxic documents (8 or more) that have it between words not seen around
-    it before, so a passage in many copies counts once, and far more often (log odds over 4) than in ordinary ones.
+
+class Gains:
+    """Bytes that the toxic dictionary saves on a window.
+
+    The toxic side has the ordinary dictionary behind the toxic one, so ordinary words cost the same on both sides. Both
+    are used for their content alone: with entropy tables the difference is blurred (see README).
     """
-    def prefixes(docs):
-        out: Counter = Counter()
-        for ws in docs:
-            out.update({w[:n] for w in set(ws) for n in range(3, min(len(w), 14) + 1)})
-        return out
 
-    a, b = prefixes(toxic), prefixes(ordinary)
-    na, nb = max(1, len(toxic)), max(1, len(ordinary))
-    floor = max(8, math.ceil(least * na))
-    odds = {k: math.log((v + 0.5) / na) - math.log((b.get(k, 0) + 0.5) / nb) for k, v in a.items() if v >= floor}
-    good = {k for k, v in odds.items() if v > 4}
-    contexts: dict[bytes, set] = defaultdict(set)
-    fresh: Counter = Counter()
-    for ws in toxic:
-        own: dict[bytes, set] = defaultdict(set)
-        for i, w in enumerate(ws):
-            for n in range(3, min(len(w), 14) + 1):
-                if w[:n] in good:
-                    own[w[:n]].add((ws[i - 1] if i else b"", ws[i + 1] if i + 1 < len(ws) else b""))
-        for k, v in own.items():
-            fresh[k] += bool(v - contexts[k])
-            contexts[k] |= v
-    size = {k: n for k, n in fresh.items() if n >= floor}
-    longer = defaultdict(list)
-    for k in size:
-        longer[k[:-1]].append(k)
-    out = []
-    for unit in size:
-        if unit[:-1] in size:
-            continue
-        while more := [x for x in longer[unit] if size[x] >= 0.8 * size[unit]]:
-            unit = max(more, key=lambda x: (size[x], x))
-        out.append((size[unit], unit))
-    return sorted(out)
-
-
-def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    units = toxic_units(toxic, ordinary)
-    whole = Counter(w for ws in toxic for w in ws)
-    tox = b"".join(b" " + u + (b" " if whole[u] >= n / 2 else b"") for n, u in units)
-    grams = {tox[i : i + 5] for i in range(len(tox) - 4)}
-    known: Counter = Counter()
-    for ws in ordinary:
-        for w in ws:
-            known[w] += 1
-    shared = [b" " + w + b" " for w, _ in known.most_common() if any((b" " + w + b" ")[i : i + 5] in grams for i in range(len(w) - 2))]
-    hard, have = [], set()
-    for w in shared:  # ordinary words that a piece of the toxic dictionary would shorten
-        own = {w[i : i + 5] for i in range(len(w) - 4)} & grams
-        if own - have:
-            hard.append(w)
-            have |= own
-    samples = [b" ".join(ws[i : i + 12]) for ws in ordinary for i in range(0, len(ws), 12)]
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.pair = _compressor(ordinary + _CARRIER), _compressor(toxic + b"\n" + ordinary + _CARRIER)
+
+    def lengths(self, low: np.ndarray, spans: np.ndarray, sides: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
+        """Compressed lengths of the windows of a lower-cased buffer, for each side."""
+        if not len(spans):
+            return [np.zeros(0, np.int64)] * len(sides)
+        head, tail = np.frombuffer(_CARRIER, np.uint8), np.frombuffer(_TAIL, np.uint8)
+        size = spans[:, 1] + len(head) + len(tail)
+        start = np.cumsum(size) - size
+        framed = np.empty(int(size.sum()), np.uint8)
+        framed[start[:, None] + np.arange(len(head))] = head
+        framed[(start + size - len(tail))[:, None] + np.arange(len(tail))] = tail
+        at = np.arange(int(spans[:, 1].sum())) - np.repeat(np.cumsum(spans[:, 1]) - spans[:, 1], spans[:, 1])
+        framed[at + np.repeat(start + len(head), spans[:, 1])] = low[at + np.repeat(spans[:, 0], spans[:, 1])]
+        data = zstandard.BufferWithSegments(framed.tobytes(), np.stack((start, size), axis=1).astype("<u8").tobytes())
+        return [np.fromiter((len(x) for x in self.pair[i].multi_compress_to_buffer(data, threads=1)), np.int64, len(spans)) for i in sides]
+
+    def of(self, low: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        a, b = self.lengths(low, spans)
+        return a - b
+
+
+def _cut(text: bytes) -> np.ndarray:
+    return windows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+
+def _train(texts: list[bytes]) -> bytes:
+    """A dictionary of the windows of texts; evenly taken ones where there are more than ``TRAINED_ON``."""
+    cut = [_cut(t) for t in texts]
+    every = max(1, -(-sum(map(len, cut)) // TRAINED_ON))
+    own = [t[a : a + n] for t, c in zip(texts, cut, strict=True) for a, n in c[::every].tolist()]
     try:
-        trained = zstandard.train_dictionary(4096, samples[: 1 << 16]).as_bytes()
-    except zstandard.ZstdError:  # too few samples
-        trained = b" ".join(w for w, _ in known.most_common(400))[:4096]
-    return trained + b"".join(reversed(hard)) + _CARRIER, tox + _CARRIER
+        return zstandard.train_dictionary(DICTIONARY, own, k=24, d=6).as_bytes()
+    except zstandard.ZstdError:  # too few windows to train on
+        return b"\n".join(own)[-DICTIONARY:]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, window_log=14, hash_log=13, chain_log=13, search_log=4, min_match=5, strategy=zstandard.STRATEGY_GREEDY)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+def _pieces(content: bytes, toxic: list[bytes], ordinary: list[bytes], odds: float = 4.0, least: int = 8) -> bytes:
+    """The runs of a dictionary whose pieces toxic texts have far more often than ordinary ones, each once.
 
+    A piece needs ``least`` toxic texts and log odds over ``odds``; what a trained dictionary has besides (ordinary words,
+    entropy tables) goes.
+    """
+    grams = [content[i : i + PIECE] for i in range(len(content) - PIECE + 1)]
+    wanted = set(grams)
 
-class Gains:
-    """Bytes that the toxic dictionary saves on a word's window, remembered for up to ``keep`` words."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes, keep: int = 1 << 20):
-        self.pair = _compressor(ordinary), _compressor(toxic)
-        self.known = np.zeros(0, np.uint64)
-        self.gain = np.zeros(0, np.int8)
-        self.keep = keep
-
-    def of(self, buf: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The gain of each word of a slice; each different word is compressed once."""
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
-        old = self.known[at] == unique if len(self.known) else np.zeros(len(unique), bool)
-        out = np.zeros(len(unique), np.int8)
-        if len(self.known):
-            out[old] = self.gain[at[old]]
-        new = np.flatnonzero(~old)
-        if len(new):
-            out[new] = self._compress(buf, start[first[new]], end[first[new]])
-            if len(self.known) + len(new) > self.keep:
-                self.known, self.gain = unique, out
-            else:
-                known, gain = np.concatenate((self.known, unique[new])), np.concatenate((self.gain, out[new]))
-                order = np.argsort(known)  # not often: only slices with new words come here
-                self.known, self.gain = known[order], gain[order]
-        return out[inverse]
-
-    def _compress(self, buf, start, end) -> np.ndarray:
-        # a long word is windowed by its beginning and its end
-        low = textops.LOWER[buf].tobytes()
-        windows, owner = [], []
-        for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-            for c in range(a, b, _LONGEST):
-                windows.append(_CARRIER + b" " + low[c : min(b, c + _LONGEST + 16)] + b" " + _TAIL)
-                owner.append(i)
-        sizes = np.fromiter(map(len, windows), np.int64, len(windows))
-        segments = np.stack((np.cumsum(sizes) - sizes, sizes), axis=1).astype("<u8")
-        data = zstandard.BufferWithSegments(b"".join(windows), segments.tobytes())
-        a, b = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(data, threads=1)), np.int64, len(windows)) for c in self.pair)
-        out = np.full(len(start), -128, np.int64)
-        np.maximum.at(out, owner, a - b)
-        return out.clip(-128, 127).astype(np.int8)
+    def count(texts: list[bytes]) -> Counter:
+        out: Counter = Counter()
+        for t in texts:
+            out.update(wanted.intersection(t[i : i + PIECE] for i in range(len(t) - PIECE + 1)))
+        return out
+
+    a, b = count(toxic), count(ordinary)
+    marks = {g for g, n in a.items() if n >= least and math.log((n + 0.5) / (len(toxic) + 1)) - math.log((b[g] + 0.5) / (len(ordinary) + 1)) > odds}
+    keep = np.zeros(len(content) + 1, np.int8)
+    for i, g in enumerate(grams):
+        if g in marks:
+            keep[i : i + PIECE] = 1
+    edges = np.flatnonzero(np.diff(keep, prepend=0)).tolist()
+    runs: list[bytes] = []
+    for lo, hi in sorted(zip(edges[::2], edges[1::2], strict=True), key=lambda x: x[0] - x[1]):
+        if not any(content[lo:hi] in r for r in runs):
+            runs.append(content[lo:hi])
+    return b"\n".join(reversed(runs))
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary dictionary and the toxic one.
+
+    The toxic one is trained twice: on all toxic windows, and then on those that the ordinary dictionary shortens least.
+    """
+    plain = _train(ordinary)
+    first = _train(toxic)
+    gains = Gains(plain, b"")
+    hard = []
+    for t in toxic:
+        spans = _cut(t)
+        rate = gains.lengths(np.frombuffer(t, np.uint8), spans, (0,))[0] / (spans[:, 1] + 8)
+        hard += [(r, t[a : a + n]) for r, (a, n) in zip(rate.tolist(), spans.tolist(), strict=True)]
+    hard.sort(key=lambda x: -x[0])
+    second = _train([w for _, w in hard[: max(len(hard) // 3, min(len(hard), 1000))]])
+    return plain, _pieces(first + b"\n" + second, toxic, ordinary)
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """Dictionaries from two thirds of the labelled texts; thresholds from the rest."""
-    texts = [(_WORD.findall(_lower(t or "")), y) for t, y in rows]
+    """Dictionaries from two thirds of the labelled texts; threshold and scores from the rest."""
+    texts = [(textops.LOWER[np.frombuffer((t or "").encode(), np.uint8)].tobytes(), y == 1) for t, y in rows]
     build, hold = [x for i, x in enumerate(texts) if i % 3], [x for i, x in enumerate(texts) if not i % 3]
-    ordinary, toxic = _dictionaries([w for w, y in build if y == 1], [w for w, y in build if y != 1])
-    gains, table = Gains(ordinary, toxic), []
-    for ws, y in hold:
-        buf = np.frombuffer(b" ".join(ws), np.uint8)
-        h, s, e, _ = textops.words(buf, np.array([0, len(buf)]), textops.ALNUM)
-        table.append((gains.of(buf, h, s, e) if len(h) else np.zeros(0, np.int8), y))
-    y = np.array([v for _, v in table]) == 1
-    best, threshold = -1.0, 3
-    for t in (6, 5, 4, 3, 2, 1):
-        n = np.array([(g >= t).sum() for g, _ in table])
-        f1 = max(2 * (y & (n >= c)).sum() / max(1, (n >= c).sum() + y.sum()) for c in (1, 2, 3))
-        if f1 > best + 1e-9:
-            best, threshold = f1, t
-    n = np.array([min(4, int((g >= threshold).sum())) for g, _ in table], dtype=int)
-    # a count's rate is drawn to that of all texts, or of all texts with a window beyond the threshold
+    ordinary, toxic = dictionaries([t for t, y in build if y], [t for t, y in build if not y])
+    gains = Gains(ordinary, toxic)
+    found = [gains.of(np.frombuffer(t, np.uint8), _cut(t)) for t, _ in hold]
+    y = np.array([v for _, v in hold], dtype=float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    some = (y[n > 0].sum() + rate) / ((n > 0).sum() + 1)
-    scores = [float((y[n == c].sum() + (some if c else rate)) / ((n == c).sum() + 1)) for c in range(5)]
-    return Model(ordinary, toxic, threshold, tuple(np.maximum.accumulate(scores).tolist()))
+    best = None
+    for threshold in range(1, 9):
+        n = np.array([min(MOST, int((g >= threshold).sum())) for g in found], dtype=int)
+        # a count's rate is drawn to that of all texts, or of all texts with a window beyond the threshold
+        some = (y[n > 0].sum() + rate) / ((n > 0).sum() + 1)
+        scores = np.maximum.accumulate([(y[n == c].sum() + (some if c else rate)) / ((n == c).sum() + 1) for c in range(MOST + 1)])
+        loss = float(-(y * np.log(scores[n]) + (1 - y) * np.log(1 - scores[n])).sum())
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, threshold, tuple(scores.tolist())
+    return Model(ordinary, toxic, best[1], best[2])
 
 
 def _score(shared):
     names = ["doc_id", "score", "windows"]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        gains = Gains(model.ordinary, model.toxic)
-        scores = np.array(model.scores)
+        gains, scores = Gains(model.ordinary, model.toxic), np.array(model.scores)
         for batch in batches:
             buf, offsets = textops.utf8(batch.column(1))
             for lo, hi in textops.slices(offsets):
-                part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                h, s, e, first = textops.words(part, off, textops.ALNUM)
-                beyond = np.zeros(len(h) + 1, np.int64)
-                if len(h):
-                    np.cumsum(gains.of(part, h, s, e) >= model.threshold, out=beyond[1:])
+                part, off = textops.LOWER[buf[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
+                spans, first = windows(part, off)
+                beyond = np.concatenate(([0], np.cumsum(gains.of(part, spans) >= model.threshold)))
                 n = beyond[first[1:]] - beyond[first[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scores[np.minimum(n, len(scores) - 1)]), pa.array(n)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scores[np.minimum(n, MOST)]), pa.array(n)], names=names)
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 3000, longest: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole texts for toxicity.
 
-    The model is fitted on at most ``sample`` labelled texts of each class (all rows of ``labels`` may be used: leave
-    held-out rows out before the call). A window is a word between blanks; windows that the toxic dictionary compresses
-    by at least the calibrated number of bytes better count, and the count gives the score.
+    The model is fitted on at most ``sample`` labelled texts of each class, of at most ``longest`` bytes each (so the
+    driver gets 2 x sample x longest bytes at most); all rows of ``labels`` may be used, so leave held-out rows out before
+    the call. Overlapping windows of eight words of the whole text are compressed with both dictionaries; windows that the
+    toxic one shortens by at least the calibrated number of bytes more count, and the count gives the score.
 
-    Returns doc_id, score (0 to 1) and windows (the count). Null and empty texts have no windows and the lowest score;
-    without labels of a class the scores are the labels' rate.
+    Returns doc_id, score (0 to 1) and windows (the count) for each row, null and repeated ids included. Null and empty
+    texts have no windows and the lowest score; without labels of a class the scores are the labels' rate. Texts of equal
+    bytes have equal scores; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
-    rows = sample_rows(docs, labels, label, sample, id_col, text_col).collect()
+    rows = sample_rows(docs, labels, label, sample, id_col, text_col, longest).collect()
     model = fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return id_text(docs, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double, windows long")
