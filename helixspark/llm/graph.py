@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.runtime import written
+from helixspark.llm.runtime import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = None
     while True:
-        now = written(_star(_star(now, True), False), "cc")
+        last, now = now, written(_star(_star(now, True), False), "cc")
+        discard(last)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (row.n, row.s) == mark:
             break

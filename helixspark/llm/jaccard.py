@@ -4,7 +4,8 @@ A pair of sets with Jaccard similarity >= t shares a token among the first n - c
 any global token order. Here a candidate must do so under three orders (all rarest first, with different frequency
 classes and tie breaks) before the sets themselves are compared.
 
-1. Each whole text becomes its set of word-shingle hashes; equal sets form one class (one node).
+1. Each whole text becomes its set of word-shingle hashes; equal sets form one class (one node), named by 64 bits of a
+   128-bit hash of the set. Names that different sets share (some at 10^10 texts) are found and replaced.
 2. Tokens go to token buckets as packed blobs. A bucket counts the classes that have a token; tokens of one class cannot
    link anything, so only their number returns to the class. The few tokens that a fixed share of all texts has never
    meet in a bucket: they are last in every order, and only travel with their class.
@@ -12,13 +13,15 @@ classes and tie breaks) before the sets themselves are compared.
    rest of their prefix.
 4. Rounds. In the first, a token's classes are candidates of its smallest class only. In later rounds only tokens whose
    classes are still in different components count: first each class proposes its nearest classes, at last all pairs of
-   different components, in blocks of a bounded number of classes. Parity sketches (whose distance never exceeds the
-   sets' difference) drop pairs inside the task, so candidate rows follow the links and not the squares of groups.
+   different components. A token of many classes is cut by set size first (sizes of a pair differ by the threshold at
+   most), then into blocks of a bounded number of classes. Parity sketches (whose distance never exceeds the sets'
+   difference) drop pairs inside the task, so candidate rows follow the links and not the squares of groups.
 5. Candidates are verified under the second and third order and then on the whole sets; links become components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import textops
 from helixspark.llm.graph import components, merged
-from helixspark.llm.runtime import id_text, partitions, written
+from helixspark.llm.runtime import discard, id_text, spread, written
 
 #: A token is hot, and last in every order, if at least this share of the texts has it; so there are at most
 #: average set size / HOT_SHARE hot tokens, whatever the number of texts.
@@ -37,12 +40,24 @@ _HOT = 1 << 31
 _REC = np.dtype([("c", "<i8"), ("t", "<u8"), ("d", "<u4")])
 _LOW = np.uint64((1 << 56) - 1)
 SKETCH_WORDS = 16
-BLOCK = 512
+BLOCK = 2048
 
 
-def _class_of(tokens: np.ndarray) -> int:
+def _class_of(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set: the name of its class, and what tells sets of one name apart."""
     folded = np.array([np.bitwise_xor.reduce(textops.mix(tokens)), tokens.sum(), len(tokens)], dtype=np.uint64)
-    return int(textops.mix(textops.mix(folded) + folded[[1, 2, 0]]).sum(keepdims=True).view(np.int64)[0])
+    name = textops.mix(textops.mix(folded) + folded[[1, 2, 0]]).sum(keepdims=True)
+    other = textops.mix(textops.mix(folded ^ textops._C) + textops.mix(folded[[2, 0, 1]])).sum(keepdims=True)
+    return int(name.view(np.int64)[0]), int(other.view(np.int64)[0])
+
+
+def _renamed(twins: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """New names for the classes whose names different sets share."""
+    out: dict[tuple[int, int], int] = {}
+    for name, other in sorted(twins):
+        both = np.array([name, other], dtype=np.int64).view(np.uint64)
+        out[name, other] = int(textops.mix(textops.mix(both[:1]) + both[1:]).view(np.int64)[0])
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
@@ -54,23 +69,24 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def _describe(k: int):
-    """Each text's set size and class; then, with no doc_id, tokens that this task has often (class: token, size: texts)."""
-    names = ["doc_id", "n_shingles", "class"]
+    """Each text's set size and class (kind 0); and tokens that this task has often (kind 1, class: token, size: texts)."""
+    names = ["kind", "doc_id", "n_shingles", "class", "other"]
 
     def frequent(held):
         t, n = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
         n_docs = sum(x for _, x in held)
         keep = n >= max(16, n_docs * HOT_SHARE)
-        return pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(n[keep].astype(np.int64)), pa.array(t[keep].view(np.int64))], names=names)
+        m = int(keep.sum())
+        return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(n[keep].astype(np.int64)), pa.array(t[keep].view(np.int64)), pa.nulls(m, pa.int64())], names=names)
 
     def run(batches):
         held, size, seen = [], 0, set()
         for ids, sets in _sets(batches, k):
-            classes = [_class_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64())], names=names)
+            classes = [_class_of(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([c[i] for c in classes], pa.int64()) for i in (0, 1))], names=names)
             new = []
             for c, s in zip(classes, sets, strict=True):
-                if c is not None and c not in seen:
+                if c[0] is not None and c not in seen:
                     seen.add(c)
                     new.append(s)
             if new:
@@ -85,7 +101,7 @@ def _describe(k: int):
     return run
 
 
-def _post(k: int, buckets: int, hot: np.ndarray):
+def _post(k: int, buckets: int, hot: np.ndarray, names: dict[tuple[int, int], int]):
     """Packed tokens by token bucket; a class's hot tokens and size by a bucket of the class (kind 1)."""
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
 
@@ -93,7 +109,10 @@ def _post(k: int, buckets: int, hot: np.ndarray):
         pending, size, seen = [], 0, set()
         for _, sets in _sets(batches, k):
             for s in sets:
-                if len(s) and (c := _class_of(s)) not in seen:
+                if not len(s):
+                    continue
+                both = _class_of(s)
+                if (c := names.get(both, both[0])) not in seen:
                     seen.add(c)
                     pending.append((c, s))
                     size += len(s)
@@ -262,12 +281,12 @@ def _cross_pairs(num: int, den: int, nearest: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("class")
         cls, comp = table.column("class").to_numpy(), table.column("comp").to_numpy()
-        n, rare, side = (table.column(x).to_numpy().astype(np.int64) for x in ("n", "rare", "side"))
+        n, rare, side, upper = (table.column(x).to_numpy().astype(np.int64) for x in ("n", "rare", "side", "upper"))
         s = _sketches(table.column("sketch"))
         a, b = [], []
         left, right = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
         for i in left.tolist():
-            to = right[(comp[right] != comp[i]) & ((cls[right] > cls[i]) | (side[i] == 1))]
+            to = right[(comp[right] != comp[i]) & ((cls[right] > cls[i]) | (side[i] == 1)) & (upper[right] + upper[i] < 2)]
             if not len(to):
                 continue
             slack = _near(n[i], n[to], rare[i], rare[to], s[i], s[to], num, den)
@@ -318,34 +337,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
     shingle; a text without words (or null) has none and is linked with nothing.
 
     Returns for each row: doc_id, n_shingles, class_id (texts of equal sets share it; null without words) and
-    component_id, the smallest doc_id reachable by links, itself included. doc_id must be unique and not null; an empty
-    table gives an empty result.
+    component_id, the smallest doc_id reachable by links, itself included. Each row counts as a text of its own, so rows of
+    one doc_id with different texts may have different components. Rows with a null doc_id link texts as others do; their
+    component_id is null only where no row of the component has an id. Other columns are not read; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
-    info = written(rows.mapInArrow(_describe(k), "doc_id long, n_shingles long, class long"), "sets")
-    table = info.where("doc_id is not null")
-    total = table.count()
-    hot = info.where("doc_id is null").groupBy("class").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= max(64, total * HOT_SHARE)).select("class").toPandas()["class"].to_numpy()
+    info = written(rows.mapInArrow(_describe(k), "kind int, doc_id long, n_shingles long, class long, other long"), "sets")
+    table = info.where("kind = 0").drop("kind")
+    total, n_tokens = table.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    hot = info.where("kind = 1").groupBy("class").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= max(64, total * HOT_SHARE)).select("class").toPandas()["class"].to_numpy()
     hot = np.sort(hot.astype(np.int64).view(np.uint64))
-    buckets = 1 << max(4, (partitions(spark) - 1).bit_length())
-    posted = rows.mapInArrow(_post(k, buckets, hot), "bucket int, kind int, data binary")
-    counted = posted.groupBy("bucket").applyInArrow(_count(buckets), "to int, data binary")
+    # sets whose names meet by chance: about total ** 2 / 2 ** 65 of them, so few at any size
+    twins = table.groupBy("class").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("class")
+    names = _renamed([tuple(r) for r in table.join(F.broadcast(twins), "class").select("class", "other").distinct().collect()])
+    if names:
+        new = spark.createDataFrame([(*c, n) for c, n in names.items()], "class long, other long, new long")
+        table = table.join(F.broadcast(new), ["class", "other"], "left").withColumn("class", F.coalesce("new", "class")).drop("new")
+    n_parts = spread(spark, 8 * n_tokens)
+    buckets = 1 << max(4, (n_parts - 1).bit_length())
+    posted = rows.mapInArrow(_post(k, buckets, hot, names), "bucket int, kind int, data binary").repartition(n_parts, "bucket")
+    counted = posted.groupBy("bucket").applyInArrow(_count(buckets), "to int, data binary").repartition(n_parts, "to")
     sets = written(counted.groupBy("to").applyInArrow(_prefixes(num, den), "class long, n int, rare int, tokens binary, prefixes array<binary>, sketch binary"), "prefixes")
-    post = written(sets.select("class", "prefixes").mapInArrow(_tokens, "token long, class long"), "postings")
+    every = written(sets.select("class", "prefixes").mapInArrow(_tokens, "token long, class long"), "postings")
     # tokens of the same classes say the same: one of them is enough
-    sums = post.groupBy("token").agg(F.count("*").alias("g"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("s"), F.min("class").alias("low")).where("g > 1")
+    sums = every.groupBy("token").agg(F.count("*").alias("g"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("s"), F.min("class").alias("low")).where("g > 1")
     tokens = sums.groupBy("g", "s", "low").agg(F.min("token").alias("token"))
-    post = written(post.join(tokens, "token").select("token", "class", "low", "g"), "postings")
+    post = written(every.join(tokens, "token").select("token", "class", "low", "g"), "postings")
+    discard(every)
     links = written(_links(post.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct(), sets, num, den, False), "links")
     comp = components(links)
+    discard(links)
     for nearest in (1, 4, 0):
         pairs = written(_candidates(post, sets, comp, num, den, nearest), "pairs")
         if pairs.isEmpty():  # no pair of different components is left, at any setting of nearest
+            discard(pairs)
             break
         new = written(_links(pairs, sets, num, den, True), "links")
         if not new.isEmpty():
             comp = merged(comp, new)
+        discard(pairs, new)
+    discard(post, sets)
     low = table.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low")).join(comp.withColumnRenamed("node", "class"), "class", "left")
     low = low.withColumn("component", F.coalesce("component", "class"))
     root = low.groupBy("component").agg(F.min("low").alias("root"))
@@ -357,12 +390,20 @@ def _candidates(post: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den
     of = post.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class"))
     open_ = of.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     of = of.join(open_, "token").join(sets.select("class", "n", "rare", "sketch"), "class")
-    # a token's classes in blocks; a pair of blocks is one group, so no group exceeds two blocks whatever the token
-    of = of.withColumn("nb", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("nb")).cast("int"))
+    # sizes of a pair differ by one level at most: a class meets its own level (as a lower one) and the one below (as an
+    # upper one, which other upper ones do not meet there); tokens of one block need no levels
+    level = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9))).cast("int")
+    many = F.col("g") > BLOCK
+    one = lambda lv, up: F.struct(lv.alias("level"), F.lit(up).alias("upper"))
+    of = of.withColumn("at", F.explode(F.when(many, F.array(one(level, 0), one(level - 1, 1))).otherwise(F.array(one(F.lit(0), 0))))).select("*", "at.level", "at.upper").drop("at")
+    # a level's classes in blocks; a pair of blocks is one group, so no group exceeds two blocks whatever the token
+    size = of.where(many).groupBy("token", "level").agg(F.count("*").alias("size"))
+    of = of.join(size, ["token", "level"], "left").withColumn("nb", F.ceil(F.coalesce("size", "g") / BLOCK).cast("int"))
+    of = of.withColumn("block", F.pmod(F.xxhash64("class"), F.col("nb")).cast("int"))
     pair = F.when(F.col("other") == F.col("block"), 0).when(F.col("other") > F.col("block"), 1).otherwise(2)
     of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", pair)
     of = of.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    grouped = of.select("token", "i", "j", "side", "class", "comp", "n", "rare", "sketch").groupBy("token", "i", "j")
+    grouped = of.select("token", "level", "i", "j", "side", "upper", "class", "comp", "n", "rare", "sketch").groupBy("token", "level", "i", "j")
     return grouped.applyInArrow(_cross_pairs(num, den, nearest), "a long, b long").distinct()
 
 

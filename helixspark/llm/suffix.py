@@ -8,7 +8,7 @@ anchor with its bytes to the left (length - k) and right (length) decides all st
    first one (a task settles its own before the exchange, so copies and common passages cost little).
 2. Anchors with several contexts ask for the bytes of one occurrence of each context; these are fetched from the texts.
 3. In an anchor bucket the occurrences are sorted by their right context (a suffix array over the anchors), with the
-   lengths of common prefixes between neighbours. A stack scan yields the tree of common-prefix intervals. An interval
+   lengths of common prefixes between neighbours. A stack scan yields the tree of common-prefix intervals (of two occurrences, the one that there is). An interval
    whose occurrences differ to the left is a maximal repeat, and belongs with all its occurrences; each occurrence is
    covered as far to the left as it agrees with any earlier one of the interval.
 4. An anchor with very many contexts (the edge of a passage in a third of all texts) is hot: instead of its contexts,
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textops
-from helixspark.llm.runtime import id_text, partitions, written
+from helixspark.llm.runtime import discard, id_text, spread, written
 
 K = 24
-_HIT = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("ask", "u1"), ("a", "<u8")])
+_HIT = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("ask", "u1"), ("a", "<u8"), ("c", "<u8")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 _FLUSH = 1 << 19
 _CHUNK = 1 << 13
@@ -97,7 +97,7 @@ def _first(a: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     return order, np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]))) if len(a) else np.zeros(0, bool)
 
 
-_ROW = np.dtype([("a", "u1", 7), ("c", "u1", 6), ("pos", "<u4")])
+_ROW = np.dtype([("a", "u1", 7), ("c", "<u8"), ("pos", "<u4")])
 
 
 def _post(length: int, buckets: int):
@@ -108,14 +108,14 @@ def _post(length: int, buckets: int):
         order, new = _first(a, c, doc, pos)
         doc, pos, a, c = doc[order], pos[order], a[order], c[order]
         hits = np.zeros(int((~new).sum()), _HIT)
-        hits["doc"], hits["pos"] = doc[~new], pos[~new]
+        hits["doc"], hits["pos"], hits["a"], hits["c"] = doc[~new], pos[~new], a[~new], c[~new]
         out = [(b, 1, blob) for b, blob in _split(_bucket_of(hits["doc"], buckets), hits)]
         doc, pos, a, c = doc[new], pos[new], a[new], c[new]
         bucket = (a >> shift).astype(np.int64)
         order = np.lexsort((doc, bucket))
         doc, pos, a, c, bucket = doc[order], pos[order], a[order], c[order], bucket[order]
         rows = np.zeros(len(a), _ROW)
-        rows["a"], rows["c"], rows["pos"] = a.view(np.uint8).reshape(-1, 8)[:, :7], c.view(np.uint8).reshape(-1, 8)[:, :6], pos
+        rows["a"], rows["c"], rows["pos"] = a.view(np.uint8).reshape(-1, 8)[:, :7], c, pos
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             dd = doc[cuts[b] : cuts[b + 1]]
@@ -160,9 +160,9 @@ def _contexts(buckets: int, hot: int):
             n = int(np.frombuffer(blob, "<u4", 1)[0])
             docs, counts = np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)
             rows = np.frombuffer(blob, _ROW, offset=4 + 12 * n)
-            a, c = np.zeros((len(rows), 8), np.uint8), np.zeros((len(rows), 8), np.uint8)
-            a[:, :7], c[:, :6] = rows["a"], rows["c"]
-            parts.append((a.view("<u8").ravel(), c.view("<u8").ravel(), np.repeat(docs, counts), rows["pos"].astype(np.int64)))
+            a = np.zeros((len(rows), 8), np.uint8)
+            a[:, :7] = rows["a"]
+            parts.append((a.view("<u8").ravel(), rows["c"].copy(), np.repeat(docs, counts), rows["pos"].astype(np.int64)))
         if parts:
             a, c, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(a)
@@ -170,13 +170,13 @@ def _contexts(buckets: int, hot: int):
             order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
             a, c, doc, pos = a[order], c[order], doc[order], pos[order]
             order, new = _first(a, c, doc, pos)
-            a, doc, pos = a[order], doc[order], pos[order]
+            a, c, doc, pos = a[order], c[order], doc[order], pos[order]
             _, inverse = np.unique(a, return_inverse=True)
             n = np.bincount(inverse, weights=new)[inverse] if len(a) else np.zeros(0)
             keep = ~new | (n > 1)
             hits = np.zeros(int(keep.sum()), _HIT)
             hits["doc"], hits["pos"], hits["ask"] = doc[keep], pos[keep], (new * np.where(n > hot, 2, 1))[keep]
-            hits["a"] = (a[keep] & low) | (np.uint64(b) << top)
+            hits["a"], hits["c"] = (a[keep] & low) | (np.uint64(b) << top), c[keep]
             out += list(_split(_bucket_of(hits["doc"], buckets), hits))
         return pa.table([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["to", "data"])
 
@@ -196,7 +196,7 @@ def _texts(buckets: int):
 
 def _around(length: int) -> np.dtype:
     """An occurrence with its bytes: to the left in reading order from the anchor backwards."""
-    return np.dtype([("a", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("nl", "u1"), ("nr", "u1"), ("left", "u1", length - K), ("right", "u1", length)])
+    return np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("nl", "u1"), ("nr", "u1"), ("left", "u1", length - K), ("right", "u1", length)])
 
 
 def _by_doc(data: list[bytes]):
@@ -207,17 +207,18 @@ def _by_doc(data: list[bytes]):
     return {int(hits["doc"][a]): hits[a:b] for a, b in zip(cut, [*cut[1:], len(hits)], strict=True)}
 
 
-_WINDOW = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+_WINDOW = np.dtype([("h", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("start", "<i8")])
 
 
 def _windows(buf: np.ndarray, doc: int, pos: np.ndarray, length: int) -> np.ndarray:
-    """The strings of ``length`` bytes whose least k-gram is at one of pos, by hash."""
+    """The strings of ``length`` bytes whose least k-gram is at one of pos, by 128 bits of hash."""
     prefix = textops.prefix_hash(buf.astype(np.uint64) + np.uint64(1))
     h = _gram_hash(prefix, len(buf))
     low = _sliding(h, length - K + 1, np.minimum)
     at = np.unique(np.concatenate([_owned(low, h, p, length, len(buf)) for p in pos.tolist()]))
     out = np.zeros(len(at), _WINDOW)
-    out["h"], out["doc"], out["start"] = textops.span_hash(prefix, at, at + length), doc, at
+    other = textops.prefix_hash(textops.mix(buf.astype(np.uint64) + textops._C))
+    out["h"], out["h2"], out["doc"], out["start"] = textops.span_hash(prefix, at, at + length), textops.span_hash(other, at, at + length), doc, at
     return out
 
 
@@ -228,8 +229,8 @@ def _owned(low: np.ndarray, h: np.ndarray, p: int, length: int, n: int) -> np.nd
 
 def _repeated(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The first window of each hash, and the spans of the others."""
-    rows = np.sort(rows, order=["h", "doc", "start"])
-    new = np.concatenate(([True], rows["h"][1:] != rows["h"][:-1])) if len(rows) else np.zeros(0, bool)
+    rows = np.sort(rows, order=["h", "h2", "doc", "start"])
+    new = np.concatenate(([True], (rows["h"][1:] != rows["h"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1]))) if len(rows) else np.zeros(0, bool)
     spans = np.zeros(int((~new).sum()), _SPAN)
     spans["doc"], spans["start"], spans["end"] = rows["doc"][~new], rows["start"][~new], rows["start"][~new] + length
     return rows[new], spans
@@ -255,7 +256,7 @@ def _fetch(length: int, buckets: int):
             padded = np.concatenate((np.zeros(length, np.uint8), buf, np.zeros(length, np.uint8)))
             pos = h["pos"].astype(np.int64)
             rows = np.zeros(len(h), kind)
-            rows["a"], rows["doc"], rows["pos"] = h["a"], doc, pos
+            rows["a"], rows["c"], rows["doc"], rows["pos"] = h["a"], h["c"], doc, pos
             rows["nl"], rows["nr"] = np.minimum(length - K, pos), np.minimum(length, len(buf) - pos)
             rows["left"] = padded[(pos + length - 1)[:, None] - np.arange(length - K)]
             rows["right"] = padded[(pos + length)[:, None] + np.arange(length)]
@@ -360,6 +361,60 @@ def covered(rows: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def maximal_repeats(rows: np.ndarray, length: int) -> list[tuple[int, int, list[int]]]:
+    """(left, right, members) for each maximal repeat of ``length`` bytes or more around one anchor's rows (_around).
+
+    The stack scan over right contexts gives the intervals whose rows have ``right`` bytes in common; a second one over
+    the rows' left contexts gives the parts of an interval with ``left`` bytes in common. A part is a maximal repeat if its
+    rows differ to the right as well, or the context or a text ends there.
+    """
+    rights = [r.tobytes()[:m] for r, m in zip(rows["right"], rows["nr"].tolist(), strict=True)]
+    lefts = [r.tobytes()[:m] for r, m in zip(rows["left"], rows["nl"].tolist(), strict=True)]
+
+    def tree(keys: list[bytes], members: list[int]):
+        order = sorted(members, key=keys.__getitem__)
+        x, y = ([np.frombuffer(keys[i], np.uint8) for i in z] for z in (order[:-1], order[1:]))
+        lcp = [int(np.append(u[: len(v)] == v[: len(u)], False).argmin()) for u, v in zip(x, y, strict=True)]
+        for value, lo, hi in intervals(lcp):
+            yield value, order[lo : hi + 1], min(lcp[lo:hi])
+
+    out = []
+    for right, members, _ in tree(rights, list(range(len(rows)))):
+        if right < K:
+            continue
+        for left, part, _ in [*tree(lefts, members), *([(0, members, 0)] if len({lefts[i][:1] for i in members}) > 1 or not all(lefts[i] for i in members) else [])]:
+            if left + right >= length and len(part) > 1:
+                after = {rights[i][right : right + 1] for i in part}
+                if len(after) > 1 or b"" in after:
+                    out.append((left, right, sorted(part)))
+    return out
+
+
+def _list_groups(length: int):
+    kind = _around(length)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = textops.unpacked([x for k, x in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True) if k == 0], kind)
+        rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["a"]))]
+        cut = np.flatnonzero(np.concatenate(([True], rows["a"][1:] != rows["a"][:-1]))).tolist() if len(rows) else []
+        out: list[list] = [[], [], [], [], []]
+        for lo, hi in zip(cut, [*cut[1:], len(rows)], strict=True):
+            own = rows[lo:hi]
+            for i, (left, right, members) in enumerate(maximal_repeats(own, length)):
+                for m in members:
+                    for column, value in zip(out, (int(own["a"][m].view(np.int64)), i, int(own["c"][m].view(np.int64)), left, right), strict=True):
+                        column.append(value)
+        return pa.table([pa.array(x, pa.int64()) for x in out], names=["a", "i", "c", "left", "right"])
+
+    return run
+
+
+def _members(batches):
+    for batch in batches:
+        h = textops.unpacked(batch.column(0).to_pylist(), _HIT)
+        yield pa.RecordBatch.from_arrays([pa.array(h["a"].view(np.int64)), pa.array(h["c"].view(np.int64)), pa.array(h["doc"]), pa.array(h["pos"].astype(np.int64))], names=["a", "c", "doc_id", "pos"])
+
+
 def _cover(length: int, buckets: int):
     kind = _around(length)
 
@@ -417,36 +472,72 @@ def _apply(length: int, keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, hot: int = 20000) -> DataFrame:
+#: Documents without an id of their own come after all others.
+_LAST = 1 << 62
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(key, text) once for each document; (doc_id, key, n_bytes, sha) of each row; and the texts' bytes."""
+    rows = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    sha = F.sha2("text", 256)
+    meta = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")), "texts")
+    late = F.lit(_LAST).bitwiseOR(F.xxhash64("doc_id", "sha").bitwiseAND(_LAST - 1))
+    per = meta.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("sha").alias("first"), F.max("sha").alias("last"))
+    several, clash, total = per.agg(F.count_if("n > 1"), F.count_if("first <> last"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    key = F.when(F.col("doc_id").isNull(), late).otherwise(F.col("doc_id"))
+    if clash:
+        of = per.where("doc_id is not null and first <> last").select("doc_id", "first")
+        key = F.when(F.col("doc_id").isNull() | (F.col("sha") > F.col("first")), late).otherwise(F.col("doc_id"))
+        meta = meta.join(of, "doc_id", "left").select("doc_id", key.alias("key"), "n_bytes", "sha")
+        rows = rows.withColumn("sha", sha).join(of, "doc_id", "left").select(key.alias("key"), "text")
+    else:
+        meta = meta.select("doc_id", key.alias("key"), "n_bytes", "sha")
+        rows = rows.withColumn("sha", sha).select(key.alias("key"), "text") if several else rows.select(F.when(F.col("doc_id").isNull(), F.lit(_LAST).bitwiseOR(F.xxhash64("doc_id", sha).bitwiseAND(_LAST - 1))).otherwise(F.col("doc_id")).alias("key"), "text")
+    if several:
+        rows = rows.dropDuplicates(["key"])
+    return rows, meta, meta.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+
+def _anchored(rows: DataFrame, length: int, hot: int, n_bytes: int):
+    """Occurrences by document bucket (hits), the texts in the same buckets, and the anchors with their contexts."""
+    spark = rows.sparkSession
+    n_parts = spread(spark, n_bytes // 2)
+    buckets = 1 << max(4, (4 * n_parts - 1).bit_length())
+    posted = rows.mapInArrow(_post(length, buckets), "bucket int, kind int, data binary").repartition(n_parts, "bucket")
+    hits = written(posted.groupBy("bucket").applyInArrow(_contexts(buckets, hot), "to int, data binary"), "hits")
+    texts = rows.mapInArrow(_texts(buckets), "to int, doc_id long, z binary").repartition(n_parts, "to").groupBy("to")
+    around = hits.repartition(n_parts, "to").groupBy("to").cogroup(texts).applyInArrow(_fetch(length, buckets), "bucket int, kind int, data binary")
+    return hits, texts, around.repartition(n_parts, "bucket"), n_parts, buckets
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, hot: int = 4096) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts earlier.
 
     Texts are UTF-8 bytes (null: empty); earlier means a smaller doc_id, or the same document and an earlier start;
     overlaps count, matches never cross documents, and strings are judged on the input.
 
     Returns doc_id, n_bytes, n_removed, starts and ends of the maximal removed runs, kept_sha256, and kept (the other
-    bytes; null where nothing was removed, or without ``keep_bytes``). An anchor with more than ``hot`` different
-    contexts is not sorted in one task: the strings around it are dealt out by their own hashes. A text equal to an earlier one loses all its
-    bytes if it has ``length`` or more. doc_id must be unique and not null; an empty table gives an empty result.
+    bytes; null where nothing was removed, or without ``keep_bytes``). Contexts of an anchor are taken as equal by 64 bits
+    of hash besides the anchor's own 64, the strings around hot anchors by 128 bits; all others are compared byte by byte.
+    An anchor with more than ``hot`` different contexts is not sorted in one task: the strings around it are dealt out by
+    their own hashes. A text equal to an earlier one loses all its bytes if it has ``length`` or more. Rows of one doc_id
+    and one text are one document and get equal results; of rows of one doc_id with different texts, the one of the least
+    SHA-256 has the id's place and the others come after all documents, as do rows without an id, in an order by hash. Ids
+    are below 2^62. Other columns are not read; an empty table gives an empty result.
     """
     if not 2 * K <= length <= 255:
         raise ValueError(f"length must be between {2 * K} and 255")
-    spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col)
-    buckets = 1 << max(4, (4 * partitions(spark) - 1).bit_length())
-    text = F.coalesce(F.col("text"), F.lit(""))
-    meta = written(rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "texts")
-    posted = rows.mapInArrow(_post(length, buckets), "bucket int, kind int, data binary")
-    hits = written(posted.groupBy("bucket").applyInArrow(_contexts(buckets, hot), "to int, data binary"), "hits")
-    texts = rows.mapInArrow(_texts(buckets), "to int, doc_id long, z binary").groupBy("to")
-    around = hits.groupBy("to").cogroup(texts).applyInArrow(_fetch(length, buckets), "bucket int, kind int, data binary")
+    rows, meta, n_bytes = _keyed(docs, id_col, text_col)
+    hits, texts, around, n_parts, buckets = _anchored(rows, length, hot, n_bytes)
     spans = around.groupBy("bucket").applyInArrow(_cover(length, buckets), "to int, kind int, data binary")
     all_ = written(hits.withColumn("kind", F.lit(0)).select("to", "kind", "data").unionByName(spans), "spans")
-    changed = all_.groupBy("to").cogroup(texts).applyInArrow(_apply(length, keep_bytes), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string, kept binary")
+    discard(hits)
+    changed = all_.repartition(n_parts, "to").groupBy("to").cogroup(texts).applyInArrow(_apply(length, keep_bytes), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string, kept binary").withColumnRenamed("doc_id", "key")
     if not keep_bytes:
         changed = changed.drop("kept")
-    first = meta.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    out = meta.join(first, "sha").join(changed, "doc_id", "left")
-    copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= length)
+    first = meta.groupBy("sha").agg(F.min("key").alias("first"))
+    out = meta.join(first, "sha").join(changed, "key", "left")
+    copy = (F.col("key") != F.col("first")) & (F.col("n_bytes") >= length)
     zero = F.array().cast("array<bigint>")
     cols = {
         "n_removed": F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))),
@@ -457,6 +548,24 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     return out.select("doc_id", "n_bytes", *(c.alias(n) for n, c in cols.items()))
 
 
+def repeat_groups(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The maximal repeats of ``length`` bytes or more, with all their occurrences.
+
+    Returns two tables. Groups: group_id, context_id, n_left, n_right; a row for each different surrounding in which a
+    maximal repeat occurs, where the repeat goes from n_left bytes before to n_right bytes after the place. Contexts:
+    context_id, key, pos; all places with that surrounding, which is how copies are listed once and not with each group
+    (key is the doc_id where ids are unique). A context alone in several places (up to length - K bytes before, length
+    bytes after) is a repeat as well and longer than its surrounding tells, so only contexts and not strings beyond them
+    are compared. Repeats that are longer than the context are reported around each of their anchors.
+    """
+    rows, _, n_bytes = _keyed(docs, id_col, text_col)
+    hits, _, around, _, _ = _anchored(rows, length, (1 << 31) - 1, n_bytes)
+    context = F.struct("a", "c").alias("context_id")
+    groups = around.groupBy("bucket").applyInArrow(_list_groups(length), "a long, i long, c long, left long, right long").select(F.struct("a", "i").alias("group_id"), context, F.col("left").alias("n_left"), F.col("right").alias("n_right"))
+    places = hits.select("data").mapInArrow(_members, "a long, c long, doc_id long, pos long").select(context, F.col("doc_id").alias("key"), "pos").distinct()
+    return groups, places
+
+
 def op5_query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
