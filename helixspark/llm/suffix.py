@@ -483,7 +483,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     meta = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")), "texts")
     late = F.lit(_LAST).bitwiseOR(F.xxhash64("doc_id", "sha").bitwiseAND(_LAST - 1))
     per = meta.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("sha").alias("first"), F.max("sha").alias("last"))
-    several, clash, total = per.agg(F.count_if("n > 1"), F.count_if("first <> last"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    several, clash, total = per.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("first") != F.col("last")), F.coalesce(F.sum("n"), F.lit(0))).first()
     key = F.when(F.col("doc_id").isNull(), late).otherwise(F.col("doc_id"))
     if clash:
         of = per.where("doc_id is not null and first <> last").select("doc_id", "first")
