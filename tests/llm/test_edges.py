@@ -1,5 +1,6 @@
 """The training-data operators on empty tables, clashing columns, null and repeated ids, long texts and ties."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -74,7 +75,8 @@ def test_edges(spark, labels, bench, name):
     if name == "suffix":
         by = sorted((r.doc_id, r.n_removed) for r in got if r.doc_id is not None)
         n = len(TEXTS[5])
-        assert [x for x in by if x[1] and x[0] < 6] == [(5, n), (5, n)]
+        first = min(TEXTS[4], "another text of the same id", key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+        assert [x for x in by if x[1] and x[0] < 6] == ([(5, n), (5, n)] if first == TEXTS[4] else [(4, n)])
 
 
 def test_line_dedup_of_repeated_ids(spark):
