@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.functions.sequence import kmers, normalized_distance
+from helixspark.functions.distance import center_distances, pair_distances
+from helixspark.functions.sequence import kmers
 
 KEY = "cluster_id"
 
@@ -14,24 +15,33 @@ def coverage(reads: DataFrame) -> DataFrame:
     return reads.groupBy(KEY).agg(F.count("*").alias("num_reads"), F.sum((F.length("read") > 0).cast("long")).alias("used_reads"))
 
 
-def pairs(reads: DataFrame) -> DataFrame:
-    """(cluster_id, i, j, a, b) with i < j: reads of one cluster, whose number the sequencer bounds."""
-    left = reads.select(KEY, F.col("read_idx").alias("i"), F.col("read").alias("a"))
-    right = reads.select(KEY, F.col("read_idx").alias("j"), F.col("read").alias("b"))
-    return left.join(right, KEY).where("i < j")
+def together(reads: DataFrame) -> DataFrame:
+    """(cluster_id, r): one row a cluster with its reads (read_idx, read) in order, dealt to tasks by cluster_id.
+
+    The one exchange of the statistics below. Few bytes but much work: a given number of partitions is not coalesced. A
+    cluster is what one strand was read as, so its size follows the sequencing depth and not the data set.
+    """
+    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reads.repartition(n, KEY).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("read_idx", "read"))).alias("r"))
 
 
 def pairwise_distances(reads: DataFrame) -> DataFrame:
-    return pairs(reads).select(KEY, "i", "j", F.levenshtein("a", "b").alias("distance"))
+    """(cluster_id, i, j, distance) for the pairs i < j of reads of a cluster."""
+    pairs = together(reads).select(KEY, F.col("r.read_idx").alias("x"), F.inline(pair_distances(F.col("r.read")))).where("i < j")
+    return pairs.select(KEY, F.get("x", F.col("i")).alias("i"), F.get("x", F.col("j")).alias("j"), F.col("d").alias("distance"))
 
 
 def medoid_seed(reads: DataFrame, target: int, cap: float = 0.32) -> DataFrame:
-    """(cluster_id, seed): the read closest to the others, each distance capped; longer or shorter reads pay a hundredth a base."""
-    robust = F.least(F.lit(cap), normalized_distance(F.col("a"), F.col("b")))
-    p = pairs(reads).withColumn("d", robust)
-    each = p.select(KEY, F.explode(F.array("i", "j")).alias("read_idx"), "d").groupBy(KEY, "read_idx").agg(F.sum("d").alias("d"))
-    cost = F.round(F.coalesce("d", F.lit(0.0)) + 0.010 * F.abs(F.length("read") - target), 9)
-    return reads.join(each, [KEY, "read_idx"], "left").groupBy(KEY).agg(F.min(F.struct(cost.alias("cost"), "read_idx")).alias("m")).select(KEY, F.col("m.read_idx").alias("seed"), F.col("m.cost").alias("cost"))
+    """(cluster_id, seed, cost, seed_read): the read closest to the others, each distance capped; longer or shorter reads
+    pay a hundredth a base."""
+    rows = together(reads)
+    p = rows.select(KEY, F.transform("r.read", F.length).alias("n"), F.col("r.read_idx").alias("x"), F.inline(pair_distances(F.col("r.read"))))
+    robust = F.least(F.lit(cap), F.col("d") / F.greatest(F.get("n", F.col("i")), F.get("n", F.col("j")), F.lit(1)))
+    # a read is its own pair, at no distance, so reads without others count as well
+    each = p.withColumn("d", robust).select(KEY, "x", "n", F.explode(F.array("i", "j")).alias("at"), "d").groupBy(KEY, "at").agg(F.sum("d").alias("d"), F.first(F.get("n", F.col("at"))).alias("n"), F.first(F.get("x", F.col("at"))).alias("seed"))
+    cost = F.round(F.col("d") + 0.010 * F.abs(F.col("n") - target), 9)
+    best = each.groupBy(KEY).agg(F.min(F.struct(cost.alias("cost"), "seed", "at")).alias("m"))
+    return best.join(rows, KEY).select(KEY, "m.seed", "m.cost", F.get("r.read", F.col("m.at")).alias("seed_read"))
 
 
 def centrality_seed(reads: DataFrame, target: int, k: int = 5) -> DataFrame:
@@ -55,19 +65,20 @@ def median_mad(values: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def coherent_core(reads: DataFrame, seeds: DataFrame, low: float = 0.16, high: float = 0.28, scale: float = 3.0) -> DataFrame:
-    """(cluster_id, read_idx, read) of the reads within a robust distance of the seed.
+    """(cluster_id, read_idx, read) of the reads within a robust distance of the seed; seeds as of ``medoid_seed``.
 
-    Clusters of up to four reads stay whole, as do those whose core would be under half of them or under three.
+    Clusters of up to four reads stay whole, as do those whose core would be under half of them or under three. A
+    cluster's medians are taken within its row.
     """
-    at = seeds.join(reads.withColumnRenamed("read_idx", "seed"), [KEY, "seed"]).select(KEY, "seed", F.col("read").alias("seed_read"))
-    d = reads.join(at, KEY).withColumn("d", F.round(normalized_distance(F.col("read"), F.col("seed_read")), 12))
-    center = d.groupBy(KEY).agg(upper_median(F.col("d")).alias("center"), F.count("*").alias("n"))
-    d = d.join(center, KEY)
-    mad = d.groupBy(KEY).agg(upper_median(F.round(F.abs(F.col("d") - F.col("center")), 12)).alias("mad"))
-    d = d.join(mad, KEY).withColumn("threshold", F.greatest(F.lit(low), F.least(F.lit(high), F.col("center") + scale * F.greatest(F.lit(0.012), "mad"))))
-    d = d.withColumn("core", (F.col("read_idx") == F.col("seed")) | (F.col("d") <= F.col("threshold") + 1e-12))
-    size = F.sum(F.col("core").cast("int")).over(Window.partitionBy(KEY))
-    return d.withColumn("size", size).where((F.col("n") <= 4) | F.col("core") | (F.col("size") * 2 < F.col("n")) | (F.col("size") < 3)).select(KEY, "read_idx", "read")
+    rows = together(reads).join(seeds.select(KEY, "seed", "seed_read"), KEY)
+    upper = lambda x: F.get(F.array_sort(x), (F.size(x) / 2).cast("int"))
+    norm = lambda d, x: F.round(d / F.greatest(F.length(x["read"]), F.length("seed_read"), F.lit(1)), 12)
+    d = rows.withColumn("d", F.zip_with(center_distances(F.col("r.read"), F.col("seed_read")), "r", norm))
+    d = d.withColumn("center", upper(F.col("d"))).withColumn("mad", upper(F.transform("d", lambda x: F.round(F.abs(x - F.col("center")), 12))))
+    threshold = F.greatest(F.lit(low), F.least(F.lit(high), F.col("center") + scale * F.greatest(F.lit(0.012), "mad"))) + 1e-12
+    d = d.withColumn("threshold", threshold).withColumn("core", F.filter("r", lambda x, i: (x["read_idx"] == F.col("seed")) | (F.get("d", i) <= F.col("threshold"))))
+    n, size = F.size("r"), F.size("core")
+    return d.select(KEY, F.inline(F.when((n <= 4) | (size * 2 < n) | (size < 3), F.col("r")).otherwise(F.col("core"))))
 
 
 def read_subset(reads: DataFrame, seeds: DataFrame, target: int, most: int = 36) -> DataFrame:

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.functions.distance import edit_distance
+from helixspark.functions.ranges import ranged
 from helixspark.functions.sequence import hamming, safe_percent
 
 
 def join_positional(predictions: DataFrame, centers: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Predictions with their centers; fails unless both have a row for each key."""
-    counts = F.broadcast(predictions.agg(F.count("*").alias("np")).crossJoin(F.broadcast(centers.agg(F.count("*").alias("nc")))))
-    ok = F.when(F.col("np") != F.col("nc"), F.raise_error(F.lit("as many predictions as centers are needed"))).otherwise(F.lit(True))
-    return predictions.join(centers, key).crossJoin(counts).where(ok).drop("np", "nc")
+    """Predictions with their centers; fails at a key that only one of both has."""
+    one = predictions.withColumn("_p", F.lit(True)).join(centers.withColumn("_c", F.lit(True)), key, "full_outer")
+    ok = F.when(F.col("_p") & F.col("_c"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a prediction and a center are needed for key "), F.col(key).cast("string"))))
+    return one.where(ok).drop("_p", "_c")
 
 
 def evaluate(pairs: DataFrame, predicted: str = "sequence", center: str = "center") -> DataFrame:
     """One row of metrics over pairs; reconstruction is 1 - edits / letters of the centers."""
-    d, h = F.levenshtein(predicted, center), hamming(F.col(predicted), F.col(center))
+    d, h = edit_distance(F.col(predicted), F.col(center)), hamming(F.col(predicted), F.col(center))
     p = pairs.select(d.alias("d"), h.alias("h"), F.length(center).alias("l"), (F.col(predicted) == F.col(center)).alias("e"))
     return p.agg(
         F.count("*").alias("clusters"), F.count_if("e").alias("exact"), F.sum("d").cast("long").alias("total_ed"), F.max("d").alias("max_ed"), F.avg("d").alias("mean_ed"),
@@ -40,9 +42,7 @@ def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     Rows are counted by score first; sums below each score are cumulated in ranges of scores.
     """
     c = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("n"))
-    low, high = c.agg(F.min("s"), F.max("s")).first()
-    width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
-    c = c.withColumn("g", F.floor((F.col("s") - (low or 0.0)) / width))
+    c = ranged(c, "s", "g")
     g = c.groupBy("g").agg(F.sum("n").alias("gn"))
     g = g.select("g", F.coalesce(F.sum("gn").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
     own = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.functions.distance import local_surprise, window_counts
 from helixspark.functions.sequence import kmers
 
 #: Counts of edges stop here.
@@ -40,21 +41,26 @@ def markov_model(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return out.withColumn("n", F.when(F.col("kind") == "edge", F.least("n", F.lit(SATURATION))).otherwise(F.col("n")).cast("long"))
 
 
+#: Counts of up to 4^10 windows (some 25 MB) are broadcast; longer ones are joined by an exchange.
+BROADCAST_K = 9
+
+
 def loo_transitions(seqs: DataFrame, k: int, key: str = "cluster_id", seq: str = "seq") -> DataFrame:
-    """(key, pos, edge, forward, reverse) of each window, from the counts of all other sequences.
+    """(key, pos, edge, forward, reverse) of each window, from the counts of all other sequences; edge is its code.
 
-    A window's own counts are those of its whole sequence; probabilities are smoothed by a half, over four bases.
+    A window's own counts are those of its whole sequence, and are taken within it; probabilities are smoothed by a half,
+    over four bases. Counts of all sequences are aggregated by code, prefixes and suffixes from those of the edges.
     """
-    windows = explode_kmers(seqs.select(key, F.col(seq).alias("seq")), k + 1).withColumnRenamed("kmer", "edge").withColumns({"prefix": F.substring("edge", 1, k), "suffix": F.substring("edge", 2, k)})
-    total = {}
-    for kind in ("edge", "prefix", "suffix"):
-        own = Window.partitionBy(key, kind)
-        windows = windows.withColumn(f"own_{kind}", F.count("*").over(own))
-        total[kind] = windows.groupBy(kind).agg(F.count("*").alias(f"n_{kind}"))
-    for kind, counts in total.items():
-        windows = windows.join(counts, kind)
-    rest = {kind: F.greatest(F.col(f"n_{kind}") - F.col(f"own_{kind}"), F.lit(0)) for kind in total}
-    return windows.select(key, "pos", "edge", ((rest["edge"] + 0.5) / (rest["prefix"] + 2)).alias("forward"), ((rest["edge"] + 0.5) / (rest["suffix"] + 2)).alias("reverse"))
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = seqs.repartition(n, key).select(key, F.inline(window_counts(k + 1)(F.col(seq))))
+    totals = windows.groupBy("edge").agg(F.count("*").alias("all_e"))
+    prefix, suffix = F.shiftright("edge", 2), F.col("edge").bitwiseAND((1 << 2 * k) - 1)
+    wide = lambda t: F.broadcast(t) if k <= BROADCAST_K else t
+    windows = windows.withColumns({"prefix": prefix, "suffix": suffix}).join(wide(totals), "edge")
+    for kind, code in (("prefix", prefix), ("suffix", suffix)):
+        windows = windows.join(wide(totals.groupBy(code.alias(kind)).agg(F.sum("all_e").alias(f"all_{kind[0]}"))), kind)
+    rest = {x: F.greatest(F.col(f"all_{x}") - F.col(x), F.lit(0)) for x in "eps"}
+    return windows.select(key, "pos", "edge", ((rest["e"] + 0.5) / (rest["p"] + 2)).alias("forward"), ((rest["e"] + 0.5) / (rest["s"] + 2)).alias("reverse"))
 
 
 def local_markov(reads: DataFrame, k: int = 5, key: str = "cluster_id", seq: str = "read") -> DataFrame:
@@ -80,23 +86,25 @@ def anomaly_scores(guides: DataFrame, reads: DataFrame, k: int, local_k: int = 5
     """(key, score): the mean of a guide's most surprising positions.
 
     A position's surprise is the largest of the global windows over it (leave one out, both directions) and
-    ``local_weight`` times that of the windows of its own reads.
+    ``local_weight`` times that of the windows of its own reads. Guides without a global window have no score. Guides
+    and reads are dealt to tasks by key once; all else happens within a guide's row.
     """
-    g = loo_transitions(guides, k, key)
     surprise = -(F.log("forward") + F.log("reverse"))
-    cover = g.select(key, F.explode(F.sequence(F.col("pos"), F.col("pos") + k)).alias("at"), surprise.alias("s")).groupBy(key, "at").agg(F.max("s").alias("g"))
-    windows = explode_kmers(guides.select(key, "seq"), local_k + 1).withColumnRenamed("kmer", "edge")
-    counts = explode_kmers(reads.select(key, F.col("read").alias("seq")), local_k + 1).groupBy(key, F.col("kmer").alias("edge")).agg(F.count("*").alias("n"))
-    prefix, suffix = F.substring("edge", 1, local_k), F.substring("edge", 2, local_k)
-    pre = counts.groupBy(key, prefix.alias("prefix")).agg(F.sum("n").alias("p"))
-    suf = counts.groupBy(key, suffix.alias("suffix")).agg(F.sum("n").alias("q"))
-    own = windows.withColumns({"prefix": prefix, "suffix": suffix}).join(counts, [key, "edge"], "left").join(pre, [key, "prefix"], "left").join(suf, [key, "suffix"], "left")
-    n, p, q = (F.coalesce(c, F.lit(0)) for c in ("n", "p", "q"))
-    own = own.select(key, F.explode(F.sequence(F.col("pos"), F.col("pos") + local_k)).alias("at"), (-(F.log((n + 0.5) / (p + 2)) + F.log((n + 0.5) / (q + 2)))).alias("s"))
-    both = cover.join(own.groupBy(key, "at").agg(F.max("s").alias("l")), [key, "at"], "left")
-    score = F.col("g") + local_weight * F.coalesce("l", F.lit(0.0))
-    best = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, top)
-    return both.groupBy(key).agg(best.alias("b")).select(key, (F.aggregate("b", F.lit(0.0), lambda a, x: a + x) / F.size("b")).alias("score"))
+    across = loo_transitions(guides, k, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", surprise.alias("s")))).alias("g"))
+    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = reads.repartition(n, key).groupBy(key).agg(F.collect_list("read").alias("reads"))
+    rows = across.join(guides.select(key, "seq").repartition(n, key), key).join(own, key, "left")
+    rows = rows.withColumn("l", local_surprise(local_k + 1)(F.coalesce("reads", F.array().cast("array<string>")), F.col("seq")))
+
+    def over(values, at, width: int):
+        """The largest value of the windows over a position."""
+        first = F.greatest(at - (width - 1), F.lit(0))
+        return F.array_max(F.slice(values, first + 1, F.greatest(F.least(at + 1, F.size(values)) - first, F.lit(0))))
+
+    at = F.sequence(F.lit(0), F.size("g") + k - 1)
+    both = F.transform(at, lambda i: over(F.col("g.s"), i, k + 1) + local_weight * F.coalesce(over(F.col("l"), i, local_k + 1), F.lit(0.0)))
+    best = rows.select(key, F.slice(F.sort_array(both, asc=False), 1, top).alias("b"))
+    return best.select(key, (F.aggregate("b", F.lit(0.0), lambda a, x: a + x) / F.size("b")).alias("score"))
 
 
 def conserved_anchors(guides: DataFrame, share: float = 0.985, least: int = 8, seq: str = "seq") -> DataFrame:

@@ -5,33 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.functions.ranges import ranged
 from helixspark.functions.sequence import stable_hash
 
 
-def rank_at(values: DataFrame, value: str, num: int, den: int) -> DataFrame:
-    """One row (gate): the value at index n * num // den of the sorted values, found by counting values.
+def value_at(values: DataFrame, value: str, index) -> DataFrame:
+    """One row (gate): the value at an index from 0 of the sorted values, found by counting; index is a function of their
+    number (a column).
 
-    Equal values are counted before the exchange, and cumulated in ranges, so no task sorts them all.
+    Equal values are counted before the exchange, and cumulated in ranges of about equal size, so no task sorts them all.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    low, high, distinct = counts.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    if not distinct:
-        return values.sparkSession.createDataFrame([], f"gate {values.schema[value].dataType.simpleString()}")
-    width = (float(high) - float(low)) / 1024 or 1.0
-    counts = counts.withColumn("g", F.floor((F.col("v").cast("double") - float(low)) / width))
+    counts = ranged(values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")), "v", "g")
     groups = counts.groupBy("g").agg(F.sum("n").alias("gn"))
     upto = Window.orderBy("g")
     groups = groups.withColumn("before", F.sum("gn").over(upto) - F.col("gn")).withColumn("total", F.sum("gn").over(Window.partitionBy(F.lit(0))))
-    target = F.expr(f"total * {num} div {den}")
+    target = index(F.col("total"))
     group = groups.where((target >= F.col("before")) & (target < F.col("before") + F.col("gn")))
     within = counts.join(F.broadcast(group), "g")
     own = Window.partitionBy("g").orderBy("v")
-    return within.withColumn("cum", F.col("before") + F.sum("n").over(own)).where(target < F.col("cum")).agg(F.min("v").alias("gate"))
+    return within.withColumn("cum", F.col("before") + F.sum("n").over(own)).where(target < F.col("cum")).groupBy().agg(F.min("v").alias("gate")).where("gate is not null")
+
+
+def rank_at(values: DataFrame, value: str, num: int, den: int) -> DataFrame:
+    """One row (gate): the value at index n * num // den of the sorted values."""
+    return value_at(values, value, lambda n: F.floor(n * num / den))
 
 
 def topk(scores: DataFrame, k: int, score: str = "score", key: str = "cluster_id") -> DataFrame:
-    """The k rows of the highest score, ties by the lowest key: exactly k. Spark keeps k rows a task."""
-    return scores.orderBy(F.desc(score), key).limit(k)
+    """The k rows of the highest score, ties by the lowest key: exactly k, all if there are no more. Keys are unique.
+
+    The score at rank k is found by counting, and the last key among its ties in the same way, so nothing is sorted as a
+    whole and k may grow with the rows.
+    """
+    if k <= 0:
+        return scores.limit(0)
+    found = value_at(scores, score, lambda n: F.greatest(n - k, F.lit(0))).first()
+    if found is None:
+        return scores.limit(0)
+    above, tied = F.col(score) > F.lit(found.gate), F.col(score) == F.lit(found.gate)
+    more = scores.where(above).count()
+    last = value_at(scores.where(tied), key, lambda n: F.least(F.lit(k - more), n) - 1).first()
+    return scores.where(above | (tied & (F.col(key) <= F.lit(last.gate))))
 
 
 def gate(rows: DataFrame, value: str, num: int, den: int) -> DataFrame:
@@ -40,15 +54,18 @@ def gate(rows: DataFrame, value: str, num: int, den: int) -> DataFrame:
 
 
 def global_rank(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """rows with ``rank`` from 0 by (value, key), numbered in value ranges and not in one task."""
-    low, high, n = rows.agg(F.min(value), F.max(value), F.count("*")).first()
-    width = ((float(high) - float(low)) / max(1, min(4096, n // 4)) if n else 0) or 1.0
-    ranged = rows.withColumn("_g", F.floor((F.col(value).cast("double") - float(low or 0)) / width))
-    sizes = ranged.groupBy("_g").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    own = Window.partitionBy("_g").orderBy(value, key)
-    return ranged.withColumn("_r", F.row_number().over(own)).join(sizes, "_g").withColumn("rank", F.col("_r") - 1 + F.col("_b")).drop("_g", "_r", "_b")
+    """rows with ``rank`` from 0 by (value, key), numbered in ranges and not in one task.
+
+    Ranges hold about as many rows each; the rows of a value that many have are cut by the ranges of their keys as well.
+    """
+    placed = ranged(rows, value, "_g")
+    # only a bound's own range can be large
+    placed = ranged(placed, key, "_k").withColumn("_k", F.when(F.col("_g") % 3 == 1, F.col("_k")).otherwise(0))
+    sizes = placed.groupBy("_g", "_k").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_g", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_g", "_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    own = Window.partitionBy("_g", "_k").orderBy(value, key)
+    return placed.withColumn("_r", F.row_number().over(own)).join(sizes, ["_g", "_k"]).withColumn("rank", F.col("_r") - 1 + F.col("_b")).drop("_g", "_k", "_r", "_b")
 
 
 def rank_decile(rows: DataFrame, value: str, key: str, bins: int = 10) -> DataFrame:

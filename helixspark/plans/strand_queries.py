@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import sequence as S
+from helixspark.functions.distance import center_distances
 from helixspark.operators import clusters, evaluate, kmers
 from helixspark.plans.registry import query
 from helixspark.sources import fixture, text
@@ -103,7 +105,8 @@ def kmer_code(spark, sf):
 
 @query("edit_distance", R + " SELECT cluster_id, read_idx, levenshtein(center, read) distance FROM reads JOIN centers USING (cluster_id)")
 def edit_distance(spark, sf):
-    return fixture.reads(spark, sf).join(fixture.centers(spark, sf), "cluster_id").select("cluster_id", "read_idx", F.levenshtein("center", "read").alias("distance"))
+    j = clusters.together(fixture.reads(spark, sf)).join(fixture.centers(spark, sf), "cluster_id")
+    return j.select("cluster_id", F.inline(F.zip_with("r", center_distances(F.col("r.read"), F.col("center")), lambda x, d: F.struct(x["read_idx"].alias("read_idx"), d.alias("distance")))))
 
 
 HAMMING = "length({a}) + length({b}) - 2 * least(length({a}), length({b})) + (SELECT count(*) FROM (SELECT unnest(range(1, least(length({a}), length({b})) + 1)) i) WHERE substr({a}, i, 1) <> substr({b}, i, 1))"
@@ -254,7 +257,7 @@ seeds AS (SELECT cluster_id, read_idx seed, read seed_read, cost FROM (SELECT *,
 
 @query("medoid_seed", R + f", {MEDOID} SELECT cluster_id, seed, cost FROM seeds")
 def medoid_seed(spark, sf):
-    return clusters.medoid_seed(fixture.reads(spark, sf), 110)
+    return clusters.medoid_seed(fixture.reads(spark, sf), 110).drop("seed_read")
 
 
 @query("centrality_seed", R + f""", k AS (SELECT DISTINCT cluster_id, read_idx, substr(read, i, 5) kmer FROM {windows('reads', 'read', 5)}), s AS (SELECT cluster_id, kmer, least(count(*), 12) s FROM k GROUP BY ALL),
@@ -289,10 +292,12 @@ def read_subset(spark, sf):
     return clusters.read_subset(r, clusters.medoid_seed(r, 110), 110, 6)
 
 
-@query("majority_consensus", R + """, a AS (SELECT cluster_id, rpad(read, 130, '-') r FROM reads WHERE length(read) <= 130), b AS (SELECT cluster_id, p, count(*) FILTER (WHERE substr(r, p, 1) = 'A') a, count(*) FILTER (WHERE substr(r, p, 1) = 'C') c, count(*) FILTER (WHERE substr(r, p, 1) = 'G') g, count(*) FILTER (WHERE substr(r, p, 1) = 'T') t, count(*) FILTER (WHERE substr(r, p, 1) = '-') gap FROM a, (SELECT CAST(unnest(range(1, 131)) AS INT) p) GROUP BY ALL)
+@query("majority_consensus", R + """, l AS (SELECT *, max(length(read)) OVER (PARTITION BY cluster_id) m FROM reads), a AS (SELECT cluster_id, m, rpad(read, CAST(m AS INT), '-') r FROM l), b AS (SELECT cluster_id, p, count(*) FILTER (WHERE substr(r, p, 1) = 'A') a, count(*) FILTER (WHERE substr(r, p, 1) = 'C') c, count(*) FILTER (WHERE substr(r, p, 1) = 'G') g, count(*) FILTER (WHERE substr(r, p, 1) = 'T') t, count(*) FILTER (WHERE substr(r, p, 1) = '-') gap FROM a, LATERAL (SELECT CAST(unnest(range(1, m + 1)) AS INT) p) GROUP BY ALL)
 SELECT cluster_id, string_agg(CASE WHEN gap >= greatest(a, c, g, t) THEN '' WHEN a = greatest(a, c, g, t) THEN 'A' WHEN c = greatest(a, c, g, t) THEN 'C' WHEN g = greatest(a, c, g, t) THEN 'G' ELSE 'T' END, '' ORDER BY p) consensus FROM b GROUP BY cluster_id""")
 def majority_consensus(spark, sf):
-    rows = fixture.reads(spark, sf).where(F.length("read") <= 130).select("cluster_id", F.rpad("read", 130, "-").alias("row"))
+    """Reads are rows of columns as they stand, each filled up with gaps to the longest of its cluster."""
+    longest = F.max(F.length("read")).over(Window.partitionBy("cluster_id"))
+    rows = fixture.reads(spark, sf).withColumn("m", longest).select("cluster_id", F.rpad(F.col("read"), F.col("m"), F.lit("-")).alias("row"))
     return clusters.majority_consensus(rows)
 
 
@@ -303,8 +308,8 @@ avg({HAMMING.format(a='seed_read', b='center')}) mean_hamming, avg(levenshtein(s
 @query("evaluate", R + f", {MEDOID} {EVALUATE}")
 def evaluate_query(spark, sf):
     r = fixture.reads(spark, sf)
-    seeds = clusters.medoid_seed(r, 110).join(r.withColumnRenamed("read_idx", "seed"), ["cluster_id", "seed"])
-    return evaluate.evaluate(evaluate.join_positional(seeds.select("cluster_id", F.col("read").alias("sequence")), fixture.centers(spark, sf)))
+    seeds = clusters.medoid_seed(r, 110).select("cluster_id", F.col("seed_read").alias("sequence"))
+    return evaluate.evaluate(evaluate.join_positional(seeds, fixture.centers(spark, sf)))
 
 
 @query("join_positional", R + " SELECT cluster_id, first(read ORDER BY read_idx) sequence, first(center) center FROM reads JOIN centers USING (cluster_id) GROUP BY cluster_id")

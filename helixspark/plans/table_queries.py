@@ -181,12 +181,13 @@ def advantage_matrix(spark, sf):
     return experiments.advantage_matrix(runs(spark, sf), "method", "coverage", [5, 10, 25], "success")
 
 
-OLD = "old AS (SELECT o_orderkey AS key, o_orderstatus status FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_orderkey AS key, lower(o_orderstatus) status FROM orders WHERE o_orderkey % 3 = 0)"
+#: Two whole tables with some common keys: a day's state of customers' orders, and what the event stream last said of users.
+OLD = "old AS (SELECT CAST(o_custkey AS BIGINT) AS key, max(o_orderstatus) status FROM orders GROUP BY 1), new AS (SELECT CAST(user_id AS BIGINT) AS key, max(event_type) status FROM events GROUP BY 1)"
 
 
 def old_new(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")), o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"), F.lower("o_orderstatus").alias("status"))
+    old = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("long").alias("key")).agg(F.max("o_orderstatus").alias("status"))
+    return old, table(spark, sf, "events").groupBy(F.col("user_id").cast("long").alias("key")).agg(F.max("event_type").alias("status"))
 
 
 @query("merge_last_wins", f"WITH {OLD} SELECT coalesce(new.key, old.key) AS key, coalesce(new.status, old.status) status FROM old FULL JOIN new ON old.key = new.key")

@@ -1,4 +1,4 @@
-"""Clusters of noisy reads derived from ``documents``: centers are the A, C, G and T letters of a text."""
+"""Clusters of noisy reads derived from ``documents``: centers are the A, C, G and T letters of whole texts, in strands."""
 
 from __future__ import annotations
 
@@ -27,14 +27,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of this process by application, folder and settings: queries share them as they would share tables of a lake.
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, key: tuple, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _stored:
+        _stored[key] = frozen(make(), key[1])
+    return _stored[key]
+
+
 def centers(spark: SparkSession, sf_dir: str, length: int = 110) -> DataFrame:
-    """(cluster_id, doc_id, center) of each document with letters enough."""
-    strands = table(spark, sf_dir, "documents").select("doc_id", F.substring(normalize_seq(F.col("text")), 1, length).alias("center")).where(F.length("center") == length)
-    return dense_index(strands, "doc_id", "cluster_id").select("cluster_id", "doc_id", "center")
+    """(cluster_id, doc_id, piece, center): the letters of each whole text in strands of ``length``.
+
+    The last strand of a text goes on with the text's letters from its start until it is full; texts without letters have
+    no strand.
+    """
+    def make():
+        letters = table(spark, sf_dir, "documents").select("doc_id", normalize_seq(F.col("text")).alias("s")).where(F.length("s") > 0)
+        strands = letters.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / length).cast("int"))).alias("piece"))
+        cut = F.rpad(F.substring(F.col("s"), F.col("piece") * length + 1, F.lit(length)), F.lit(length), F.col("s"))
+        key = F.shiftleft(F.col("doc_id").cast("long"), 25) + F.col("piece")  # a text has fewer than 2^25 strands
+        return dense_index(strands.select("doc_id", "piece", cut.alias("center"), key.alias("_key")), "_key", "cluster_id").select("cluster_id", "doc_id", "piece", "center")
+
+    return stored(spark, ("centers", sf_dir, length), make)
+
+
+def _digit(h: Column, at: int) -> Column:
+    return F.instr(F.lit("0123456789abcdef"), F.substring(h, at, 1)) - 1
 
 
-def _slice(h: Column, at: int, n: int) -> Column:
-    return F.conv(F.substring(h, at, n), 16, 10).cast("int")
+def _below(h: Column, at: int, threshold: int) -> Column:
+    """Whether four digits are below a threshold: digits of one width compare as numbers do."""
+    return F.substring(h, at, 4) < f"{threshold:04x}"
 
 
 def mutate(strand: Column, key: Column, channel: Channel) -> Column:
@@ -48,9 +74,9 @@ def mutate(strand: Column, key: Column, channel: Channel) -> Column:
     def piece(p: Column) -> Column:
         h = F.md5(F.concat(key, F.lit(":"), p.cast("string")).cast("binary"))
         own = F.substring(strand, p, F.lit(1))
-        shifted = base((base_id(own) + 1 + _slice(h, 14, 1) % 3) % 4)
-        kept = F.when(_slice(h, 1, 4) < channel.deletion, "").when(_slice(h, 5, 4) < channel.substitution, shifted).otherwise(own)
-        return F.concat(kept, F.when(_slice(h, 9, 4) < channel.insertion, base(_slice(h, 13, 1) % 4)).otherwise(""))
+        shifted = base((base_id(own) + 1 + _digit(h, 14) % 3) % 4)
+        kept = F.when(_below(h, 1, channel.deletion), "").when(_below(h, 5, channel.substitution), shifted).otherwise(own)
+        return F.concat(kept, F.when(_below(h, 9, channel.insertion), base(_digit(h, 13) % 4)).otherwise(""))
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(strand)), piece), "")
 
@@ -65,15 +91,15 @@ def simulate_reads(strands: DataFrame, copies: Column, channel: Channel = Channe
 
 
 def reads(spark: SparkSession, sf_dir: str, channel: Channel = Channel()) -> DataFrame:
-    """5 to 16 reads of each center, drawn once: queries use them several times."""
-    return frozen(simulate_reads(centers(spark, sf_dir), 5 + F.col("doc_id") % 12, channel), "reads")
+    """5 to 16 reads of each center, drawn once for all queries."""
+    return stored(spark, ("reads", sf_dir, channel), lambda: simulate_reads(centers(spark, sf_dir), 5 + F.col("cluster_id") % 12, channel))
 
 
-CENTERS_SQL = """centers AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) cluster_id, doc_id, center
-  FROM (SELECT doc_id, substr(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), 1, 110) center FROM documents) WHERE length(center) = 110)"""
+CENTERS_SQL = """centers AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, piece) cluster_id, doc_id, piece, rpad(substr(s, piece * 110 + 1, 110), 110, s) center
+  FROM (SELECT doc_id, s, CAST(unnest(range(0, (length(s) - 1) // 110 + 1)) AS INT) piece FROM (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) s FROM documents) WHERE length(s) > 0))"""
 READS_SQL = CENTERS_SQL + """,
 draws AS (SELECT cluster_id, read_idx, p, substr(center, p, 1) b, md5(cluster_id || ':' || read_idx || ':' || p) h
-  FROM (SELECT cluster_id, center, CAST(unnest(range(0, 5 + doc_id % 12)) AS INT) read_idx FROM centers), LATERAL (SELECT CAST(unnest(range(1, 111)) AS INT) p)),
+  FROM (SELECT cluster_id, center, CAST(unnest(range(0, 5 + cluster_id % 12)) AS INT) read_idx FROM centers), LATERAL (SELECT CAST(unnest(range(1, 111)) AS INT) p)),
 pieces AS (SELECT cluster_id, read_idx, p, CASE WHEN ('0x' || substr(h, 1, 4))::INT < 1245 THEN '' WHEN ('0x' || substr(h, 5, 4))::INT < 1376
    THEN substr('ACGT', CAST((instr('ACGT', b) - 1 + 1 + ('0x' || substr(h, 14, 1))::INT % 3) % 4 + 1 AS INT), 1) ELSE b END
    || CASE WHEN ('0x' || substr(h, 9, 4))::INT < 1048 THEN substr('ACGT', ('0x' || substr(h, 13, 1))::INT % 4 + 1, 1) ELSE '' END piece FROM draws),

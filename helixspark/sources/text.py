@@ -51,11 +51,19 @@ def scan_clusters(spark: SparkSession, path: str, separator: str = SEPARATOR, ke
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, name, seq): records of header lines, their other lines joined; each file on its own, by its lines."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r", "").alias("value"), F.col("_metadata.file_path").alias("file"))
-    parts = text.select("file", F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("seq_id", "part")).where("seq_id > 0")
-    lines = F.split("part", "\n")
-    return parts.select("file", F.col("seq_id").cast("long").alias("seq_id"), F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("seq"))
+    """(seq_id, name, seq): records of header lines, numbered from 1 by the order of files and lines, their other lines
+    joined; gaps (``-``) of aligned records stay. Lines before the first header are left out.
+
+    Files are read by lines and not as a whole: headers are counted in blocks of lines, so a record may span tasks.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r", "")).withColumn("head", F.col("value").startswith(">").cast("int"))
+    block = lines.withColumn("b", F.floor(F.col("line_no") / 65536))
+    sums = block.groupBy("b").agg(F.sum("head").alias("h"))
+    sums = sums.select("b", F.coalesce(F.sum("h").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = Window.partitionBy("b").orderBy("line_no")
+    of = block.withColumn("h", F.sum("head").over(own)).join(sums, "b").withColumn("seq_id", F.col("h") + F.col("base")).where("seq_id > 0")
+    parts = of.groupBy("seq_id").agg(F.max(F.when(F.col("head") == 1, F.substring("value", 2, 1 << 30))).alias("name"), F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("line_no", "value")))).alias("lines"))
+    return parts.select("seq_id", "name", F.array_join("lines.value", "").alias("seq"))
 
 
 def scan_split_file(spark: SparkSession, path: str) -> DataFrame:
