@@ -58,7 +58,7 @@ def windows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, window_log=15, hash_log=14, chain_log=15, search_log=4, min_match=5, strategy=zstandard.STRATEGY_GREEDY)
+    params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, window_log=15, hash_log=14, chain_log=15, search_log=4, min_match=6, strategy=zstandard.STRATEGY_GREEDY)
     own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     own.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=own, compression_params=params)
@@ -112,8 +112,8 @@ def _train(texts: list[bytes]) -> bytes:
 def _pieces(content: bytes, toxic: list[bytes], ordinary: list[bytes], odds: float = 4.0, least: int = 8) -> bytes:
     """The runs of a dictionary whose pieces toxic texts have far more often than ordinary ones, each once.
 
-    A piece needs ``least`` toxic texts and log odds over ``odds``; what a trained dictionary has besides (ordinary words,
-    entropy tables) goes.
+    A piece needs log odds over ``odds``, and ``least`` toxic texts that have it in surroundings not seen before, so a
+    passage in many copies counts once. What a trained dictionary has besides (ordinary words, entropy tables) goes.
     """
     grams = [content[i : i + PIECE] for i in range(len(content) - PIECE + 1)]
     wanted = set(grams)
@@ -125,7 +125,18 @@ def _pieces(content: bytes, toxic: list[bytes], ordinary: list[bytes], odds: flo
         return out
 
     a, b = count(toxic), count(ordinary)
-    marks = {g for g, n in a.items() if n >= least and math.log((n + 0.5) / (len(toxic) + 1)) - math.log((b[g] + 0.5) / (len(ordinary) + 1)) > odds}
+    odd = {g for g, n in a.items() if n >= least and math.log((n + 0.5) / (len(toxic) + 1)) - math.log((b[g] + 0.5) / (len(ordinary) + 1)) > odds}
+    around: dict[bytes, set[bytes]] = {g: set() for g in odd}
+    fresh: Counter = Counter()
+    for t in toxic:
+        own: dict[bytes, set[bytes]] = {}
+        for i in range(len(t) - PIECE + 1):
+            if (g := t[i : i + PIECE]) in odd:
+                own.setdefault(g, set()).add(t[max(0, i - 2 * PIECE) : i + 3 * PIECE])
+        for g, seen in own.items():
+            fresh[g] += not seen <= around[g]
+            around[g] |= seen
+    marks = {g for g, n in fresh.items() if n >= least}
     keep = np.zeros(len(content) + 1, np.int8)
     for i, g in enumerate(grams):
         if g in marks:
@@ -165,16 +176,17 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     found = [gains.of(np.frombuffer(t, np.uint8), _cut(t)) for t, _ in hold]
     y = np.array([v for _, v in hold], dtype=float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    best = None
+    tried = []
     for threshold in range(1, 9):
         n = np.array([min(MOST, int((g >= threshold).sum())) for g in found], dtype=int)
         # a count's rate is drawn to that of all texts, or of all texts with a window beyond the threshold
         some = (y[n > 0].sum() + rate) / ((n > 0).sum() + 1)
         scores = np.maximum.accumulate([(y[n == c].sum() + (some if c else rate)) / ((n == c).sum() + 1) for c in range(MOST + 1)])
         loss = float(-(y * np.log(scores[n]) + (1 - y) * np.log(1 - scores[n])).sum())
-        if best is None or loss < best[0] - 1e-9:
-            best = loss, threshold, tuple(scores.tolist())
-    return Model(ordinary, toxic, best[1], best[2])
+        tried.append((loss, threshold, tuple(scores.tolist())))
+    # of thresholds that tell the texts about as well (within one nat over all of them) the lowest
+    _, threshold, scores = next(x for x in tried if x[0] <= min(tried)[0] + 1)
+    return Model(ordinary, toxic, threshold, scores)
 
 
 def _score(shared):
