@@ -61,7 +61,7 @@ def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", te
     return later.groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(run)))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = 50, stats_col: str = "line_stats") -> DataFrame:
     """Delete later repeats of runs of at least ``min_run`` lines, and of single lines of ``long_line`` words or more.
 
     A line with a word goes if it is in a run of ``min_run`` or more such lines (blank lines between them do not count)
@@ -71,7 +71,7 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
     so the first place of a run or long line stays. Blank lines stay: they hold no words, and windows skip them so that
     spacing does not hide a repeat.
 
-    Returns the columns of docs with the text replaced, and line_stats: struct(n_lines, n_removed, n_runs), where
+    Returns the columns of docs with the text replaced, and ``stats_col``: struct(n_lines, n_removed, n_runs), where
     n_lines counts lines with a word; it replaces a column of that name. A null text stays null with no lines; empty
     texts stay empty; rows with a null doc_id are kept as they are. Rows of one doc_id and one text are one document and
     get equal results; rows of one doc_id with different texts are documents in the order of a hash of their texts. An
@@ -87,7 +87,7 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
     drop = _let(lines, "nb", f"transform({gone}, r -> nb[r].pos)")
     rest = _let(f"split(`{text_col}`, '\\n', -1)", "l", f"array_join(transform(array_except(sequence(0, size(l) - 1), {drop}), x -> l[x]), '\\n')")
     text = f"CASE WHEN {gone} IS NULL THEN `{text_col}` ELSE {rest} END"
-    return joined.select(*(F.expr(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in others(docs, "line_stats")), F.expr(stats).alias("line_stats"))
+    return joined.select(*(F.expr(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in others(docs, stats_col)), F.expr(stats).alias(stats_col))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

@@ -307,3 +307,80 @@ def test_long_texts(spark, labels, bench):
     got = {r.doc_id: r for r in remove_repeats(docs, keep_bytes=False).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == len(long) and got[3].n_removed == 3_000_000 - 100 + 99 or got[3].n_removed > 2_999_000
     assert score_toxicity(docs, labels).count() == 3 and classify_quality(docs, labels).count() == 3
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    return pytest.importorskip("corpus_pipeline")
+
+
+def brute_lines(rows):
+    """Later repeats of runs of two lines, and of lines of 50 words."""
+    pairs, single, out = set(), set(), {}
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        filled = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        gone = set()
+        for a, b in zip(filled, filled[1:]):
+            if (lines[a], lines[b]) in pairs:
+                gone |= {a, b}
+            pairs.add((lines[a], lines[b]))
+        for k in filled:
+            if len(lines[k].split()) >= 50:
+                gone |= {k} if lines[k] in single else set()
+                single.add(lines[k])
+        if not gone or len(gone) < len(filled):
+            out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if text is not None else None
+    return out
+
+
+def brute_hits(rows, bench):
+    import re
+
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = {tuple(w[k : k + min(10, len(w))]) for w in map(find, bench) if w for k in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(g) for g in grams}
+    return {i for i, t in rows for w in [find(t)] for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in grams}
+
+
+def test_pipeline_stage_by_stage(spark, pipeline):
+    """Each stage but the first and last against brute force on its own input; the last by its pieces."""
+    from helixspark.llm.quality import classify_quality
+    from helixspark.llm.tokens import encoder
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    keep = {r.doc_id for r in classify_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.keep}
+    for name, stage in pipeline.STAGES[:-1]:
+        rows = sorted((r.doc_id, r.text) for r in docs.collect())
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out = spark.createDataFrame(out.collect(), docs.schema)
+        got = {r.doc_id: r.text for r in out.collect()}
+        if name == "quality":
+            assert set(got) == keep and len([i for i in keep if labels.get(i) == 1]) >= 0.95 * sum(labels.values())
+        elif name == "lines":
+            assert got == brute_lines(rows)
+        elif name == "near_copies":
+            roots = jaccard_brute([t for _, t in rows])
+            assert set(got) == {i for k, (i, _) in enumerate(rows) if roots[k][1] == k}
+        else:
+            assert set(got) == {i for i, _ in rows} - brute_hits(rows, bench)
+        docs = out
+    sizes = {}
+    for r in pipeline.STAGES[-1][1](spark, docs, SF).collect():
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
+    assert sizes == {r.doc_id: (len(encoder()(r.text)) if r.text else 0) + 1 for r in docs.collect()}
+
+
+def test_pipeline_edges(spark, pipeline):
+    rows = [*enumerate(TEXTS), (None, LINE), (None, " ".join(words(80, 77, 10**6))), (5, TEXTS[5])]
+    docs = table(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns and {r.line_stats for r in out.collect()} <= {"mine"}
+        got = sorted(((r.doc_id is None, r.doc_id or 0) for r in out.collect()))
+        assert name != "near_copies" or got == [(False, 0), (False, 1), (False, 2), (False, 4), (False, 6), (True, 0), (True, 0)]
