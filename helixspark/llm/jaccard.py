@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
         new = spark.createDataFrame([(*c, n) for c, n in names.items()], "class long, other long, new long")
         table = table.join(F.broadcast(new), ["class", "other"], "left").withColumn("class", F.coalesce("new", "class")).drop("new")
     n_parts = spread(spark, 8 * n_tokens)
-    buckets = 1 << max(4, (n_parts - 1).bit_length())
+    buckets = 1 << max(4, (4 * n_parts - 1).bit_length())  # several a partition, so that partitions are alike
     posted = rows.mapInArrow(_post(k, buckets, hot, names), "bucket int, kind int, data binary").repartition(n_parts, "bucket")
     counted = posted.groupBy("bucket").applyInArrow(_count(buckets), "to int, data binary").repartition(n_parts, "to")
     sets = written(counted.groupBy("to").applyInArrow(_prefixes(num, den), "class long, n int, rare int, tokens binary, prefixes array<binary>, sketch binary"), "prefixes")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_PARTITIONS = 50_000
 _own: list[str] = []
 _tables: set[str] = set()
 
@@ -64,8 +65,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread(spark: SparkSession, n_bytes: int, each: int = 8 << 20) -> int:
-    """A number of partitions for a table of so many bytes: the session's, or more where its tasks would exceed ``each``."""
-    return max(partitions(spark), -(-n_bytes // each))
+    """A number of partitions for a table of so many bytes: the session's, or more where its tasks would exceed ``each``
+    (up to ``MOST_PARTITIONS``, beyond which tasks grow instead of the shuffle's bookkeeping)."""
+    return max(partitions(spark), min(MOST_PARTITIONS, -(-n_bytes // each)))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
