@@ -9,7 +9,7 @@ SEPARATOR = "=" * 31
 
 
 def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
-    """(line_no, value) in the order of files and lines, numbered from 0 without gathering the lines.
+    """(line_no, value, file) in the order of files and lines, numbered from 0 without gathering the lines.
 
     Lines are numbered within their file block, and blocks by the lines before them.
     """
@@ -19,7 +19,7 @@ def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None)
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("file", "block").orderBy("id")
-    return lines.withColumn("k", F.row_number().over(own) - 1).join(blocks, ["file", "block"]).select((F.col("base") + F.col("k")).alias("line_no"), "value")
+    return lines.withColumn("k", F.row_number().over(own) - 1).join(blocks, ["file", "block"]).select((F.col("base") + F.col("k")).alias("line_no"), "value", "file")
 
 
 def write_clusters(reads: DataFrame, path: str, separator: str = SEPARATOR) -> None:
@@ -52,7 +52,7 @@ def scan_clusters(spark: SparkSession, path: str, separator: str = SEPARATOR, ke
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, name, seq): records of header lines, numbered from 1 by the order of files and lines, their other lines
-    joined; gaps (``-``) of aligned records stay. Lines before the first header are left out.
+    joined; gaps (``-``) of aligned records stay. Lines before a file's first header are left out.
 
     Files are read by lines and not as a whole: headers are counted in blocks of lines, so a record may span tasks.
     """
@@ -62,8 +62,10 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
     sums = sums.select("b", F.coalesce(F.sum("h").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = Window.partitionBy("b").orderBy("line_no")
     of = block.withColumn("h", F.sum("head").over(own)).join(sums, "b").withColumn("seq_id", F.col("h") + F.col("base")).where("seq_id > 0")
-    parts = of.groupBy("seq_id").agg(F.max(F.when(F.col("head") == 1, F.substring("value", 2, 1 << 30))).alias("name"), F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("line_no", "value")))).alias("lines"))
-    return parts.select("seq_id", "name", F.array_join("lines.value", "").alias("seq"))
+    first = F.max(F.when(F.col("head") == 1, F.struct(F.substring("value", 2, 1 << 30).alias("name"), "file"))).alias("first")
+    parts = of.groupBy("seq_id").agg(first, F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("line_no", "value", "file")))).alias("lines"))
+    own = F.filter("lines", lambda x: x["file"] == F.col("first.file"))
+    return parts.select("seq_id", "first.name", F.array_join(F.transform(own, lambda x: x["value"]), "").alias("seq"))
 
 
 def scan_split_file(spark: SparkSession, path: str) -> DataFrame:
