@@ -73,7 +73,8 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
     r = row[at]
     left, right = np.maximum(offsets[r], at - (length - K)), np.minimum(offsets[r + 1], at + length)
     context = textops.mix(textops.span_hash(prefix, left, at) * textops._C + textops.span_hash(prefix, at, right))
-    return r, at - offsets[r], h[at], context
+    # anchors are minima, so their hashes lie low; mixed, they spread over all buckets
+    return r, at - offsets[r], textops.mix(h[at]), context
 
 
 def _bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
