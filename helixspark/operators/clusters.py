@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions.distance import center_distances, pair_distances
-from helixspark.functions.sequence import kmers
+from helixspark.functions.sequence import kmers, stable_hash
 
 KEY = "cluster_id"
 
@@ -81,6 +81,17 @@ def coherent_core(reads: DataFrame, seeds: DataFrame, low: float = 0.16, high: f
     return d.select(KEY, F.inline(F.when((n <= 4) | (size * 2 < n) | (size < 3), F.col("r")).otherwise(F.col("core"))))
 
 
+def max_copies(reads: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` reads of each cluster, drawn by a hash of seed, cluster and read."""
+    order = Window.partitionBy(KEY).orderBy(stable_hash(F.lit(seed), F.col(KEY), F.col("read_idx")), "read_idx")
+    return reads.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+
+
+def limit_clusters(reads: DataFrame, most: int) -> DataFrame:
+    """The reads of the first ``most`` clusters; clusters are numbered from 1 without gaps, so no sort is needed."""
+    return reads.where(F.col(KEY) <= most)
+
+
 def read_subset(reads: DataFrame, seeds: DataFrame, target: int, most: int = 36) -> DataFrame:
     """The seed and the reads nearest to the target length, ``most`` in all; equal ones by index."""
     order = Window.partitionBy(KEY).orderBy(F.desc(F.col("read_idx") == F.col("seed")), F.abs(F.length("read") - target), "read_idx")

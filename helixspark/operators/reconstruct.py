@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.functions.sequence import boundary_signature, kmer_code
+from helixspark.functions.sequence import boundary_signature, kmer_code, safe_percent
 from helixspark.operators import calibrate, kmers, routing
 from helixspark.operators.kernels import align as A
 from helixspark.operators.kernels import decode as D
@@ -30,6 +30,7 @@ class Params:
     """Settings of a run; switches take one piece away."""
 
     length: int = 110
+    deep: int = 40
     local_weight: float | None = None
     cross_weight: float | None = None
     decode_all: bool = False
@@ -37,6 +38,12 @@ class Params:
     disable_cross: bool = False
     disable_channel: bool = False
     high_reuse: float = 0.50
+    low_phase: float = 3.0
+    high_phase: float = 6.0
+    cross_scale: float = 1.0
+    least_fraction: float = 0.10
+    most_fraction: float = 0.50
+    separation: float = 2.0
     route_fraction: float | None = None
 
 
@@ -65,8 +72,8 @@ def clean(reads: list[str]) -> list[str]:
     return [c for c in ("".join(x for x in r.upper() if x in A.BASES) for r in reads) if c]
 
 
-def local_guides(clusters: DataFrame, length: int) -> DataFrame:
-    return per_cluster(clusters, lambda row: [{"cluster_id": row["cluster_id"]} | G.local_guide(row["reads"], length)], GUIDE)
+def local_guides(clusters: DataFrame, length: int, deep: int = 40) -> DataFrame:
+    return per_cluster(clusters, lambda row: [{"cluster_id": row["cluster_id"]} | G.local_guide(row["reads"], length, deep=deep)], GUIDE)
 
 
 def channel_counts(clusters: DataFrame) -> DataFrame:
@@ -125,45 +132,71 @@ def context(clusters: DataFrame, guides: DataFrame, p: Params) -> dict:
     k = 11 if reuse >= p.high_reuse else 8
     trust, accepted = calibrate.choose_trust(calibrate.trust_gains(seqs, k).collect()) if n >= 16 else (0.0, False)
     phase = p.length * (profile["ins"] + profile["del"])
-    low = phase < 3
+    low = phase < p.low_phase
     high = reuse >= p.high_reuse
-    cross = (0.68 if high else 0.0 if low else 0.50) * trust if p.cross_weight is None else p.cross_weight
+    cross = (0.68 if high else 0.0 if low else 0.50) * trust * p.cross_scale if p.cross_weight is None else p.cross_weight
     local = (0.0 if high else 0.80 if low else 0.40) if p.local_weight is None else p.local_weight
-    fallback = p.cross_weight is None and not accepted and reuse < 0.10 and 3 <= phase < 6
+    fallback = p.cross_weight is None and not accepted and reuse < 0.10 and p.low_phase <= phase < p.high_phase
     rates = {x: profile[x] for x in ("match", "sub", "ins", "del")}
-    return {"rates": rates, "phase": phase, "total_error": rates["sub"] + rates["ins"] + rates["del"], "reuse": reuse, "k": k, "trust": trust, "accepted": accepted, "cross": 0.0 if p.disable_cross else cross, "local": local, "band": 6 if high or not low else 3, "states": 4 if fallback else 8, "fallback": fallback, "most": 60 if not high and phase >= 3 else 36, "n": n}
+    return {"rates": rates, "phase": phase, "total_error": rates["sub"] + rates["ins"] + rates["del"], "reuse": reuse, "k": k, "trust": trust, "accepted": accepted, "cross": 0.0 if p.disable_cross else cross, "local": local, "band": 6 if high or not low else 3, "states": 4 if fallback else 8, "fallback": fallback, "most": 60 if not high and not low else 36, "n": n}
 
 
 def route(reads: DataFrame, guides: DataFrame, ctx: dict, p: Params) -> tuple[DataFrame, str]:
     """(cluster_id, joint_anomaly, joint_active) and the policy's name. Only what a policy needs is computed."""
-    flat = guides.select("cluster_id", F.lit(0.0).alias("joint_anomaly"))
+    name = policy(ctx, p)
+    if name not in SCORED:
+        return decide(guides, ctx, p)
+    found = kmers.anomaly_scores(guides.select("cluster_id", F.col("sequence").alias("seq")), reads, ctx["k"])
+    scores = frozen(guides.select("cluster_id", "num_reads").join(found, "cluster_id", "left").select("cluster_id", "num_reads", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
+    return decide(scores, ctx, p)
+
+
+#: Policies that rank clusters by their anomaly.
+SCORED = ("by-anomaly", "median-anomaly-or-coverage")
+
+
+def policy(ctx: dict, p: Params) -> str:
+    """How clusters are chosen for decoding, from what the context says of the data set."""
+    high, phase = ctx["reuse"] >= p.high_reuse, ctx["phase"]
     if p.disable_decode:
-        return flat.withColumn("joint_active", F.lit(False)), "disabled"
+        return "disabled"
     if p.decode_all:
-        return flat.withColumn("joint_active", F.lit(True)), "decode-all"
+        return "decode-all"
     if ctx["fallback"]:
-        return flat.withColumn("joint_active", F.lit(True)), "shallow-dense-fallback"
-    if ctx["reuse"] < p.high_reuse and ctx["phase"] >= 6:
-        return flat.withColumn("joint_active", F.lit(True)), "low-reuse-high-phase-dense"
-    if ctx["reuse"] < p.high_reuse and ctx["phase"] < 3:
-        least = 2 if ctx["reuse"] >= 0.25 else 1
-        return guides.select("cluster_id", F.lit(0.0).alias("joint_anomaly"), (F.col("weak_positions") >= least).alias("joint_active")), "low-phase-weak-position"
-    seqs = guides.select("cluster_id", F.col("sequence").alias("seq"))
-    found = kmers.anomaly_scores(seqs, reads, ctx["k"])
-    scores = frozen(guides.select("cluster_id", "num_reads").join(found, "cluster_id", "left").select("cluster_id", "num_reads", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
-    n = ctx["n"]
-    if p.route_fraction is not None or ctx["reuse"] >= p.high_reuse:
-        mix = calibrate.two_means(scores)
-        count, policy = math.ceil(0.10 * n), "sparse-10pct-fallback"
+        return "shallow-dense-fallback"
+    if not high and phase >= p.high_phase:
+        return "low-reuse-high-phase-dense"
+    if not high and phase < p.low_phase:
+        return "low-phase-weak-position"
+    return "by-anomaly" if high or p.route_fraction is not None else "median-anomaly-or-coverage"
+
+
+def decide(rows: DataFrame, ctx: dict, p: Params) -> tuple[DataFrame, str]:
+    """(cluster_id, joint_anomaly, joint_active) of rows(cluster_id, and what the policy asks for: weak_positions, or
+    score and num_reads), and the policy's full name."""
+    name = policy(ctx, p)
+    if name == "low-phase-weak-position":
+        return rows.select("cluster_id", F.lit(0.0).alias("joint_anomaly"), (F.col("weak_positions") >= (2 if ctx["reuse"] >= 0.25 else 1)).alias("joint_active")), name
+    if name not in SCORED:
+        return rows.select("cluster_id", F.lit(0.0).alias("joint_anomaly"), F.lit(name != "disabled").alias("joint_active")), name
+    if name == "by-anomaly":
+        n = ctx["n"]
+        count, name = math.ceil(p.least_fraction * n), f"sparse-{round(100 * p.least_fraction)}pct-fallback"
         if p.route_fraction is not None:
-            count, policy = math.ceil(p.route_fraction * n), "manual-fraction"
-        elif mix["separation"] >= 2.0:
-            count, policy = min(max(mix["high_count"], count), math.ceil(0.50 * n)), "adaptive-bimodal-anomaly"
-        chosen = routing.topk(scores.select("cluster_id", "score"), count).select("cluster_id", F.lit(True).alias("joint_active"))
-        return scores.join(chosen, "cluster_id", "left").select("cluster_id", F.col("score").alias("joint_anomaly"), F.coalesce("joint_active", F.lit(False)).alias("joint_active")), policy
-    gated = routing.gate(scores, "score", 1, 2).drop("gate").withColumnRenamed("active", "a")
+            count, name = math.ceil(p.route_fraction * n), "manual-fraction"
+        elif (mix := calibrate.two_means(rows))["separation"] >= p.separation:
+            count, name = min(max(mix["high_count"], count), math.ceil(p.most_fraction * n)), "adaptive-bimodal-anomaly"
+        chosen = routing.topk(rows.select("cluster_id", "score"), count).select("cluster_id", F.lit(True).alias("joint_active"))
+        return rows.join(chosen, "cluster_id", "left").select("cluster_id", F.col("score").alias("joint_anomaly"), F.coalesce("joint_active", F.lit(False)).alias("joint_active")), name
+    gated = routing.gate(rows, "score", 1, 2).drop("gate").withColumnRenamed("active", "a")
     gated = routing.gate(gated, "num_reads", 3, 4).withColumnRenamed("active", "b")
-    return gated.select("cluster_id", F.col("score").alias("joint_anomaly"), (F.col("a") | F.col("b")).alias("joint_active")), "median-anomaly-or-coverage"
+    return gated.select("cluster_id", F.col("score").alias("joint_anomaly"), (F.col("a") | F.col("b")).alias("joint_active")), name
+
+
+def run_metrics(routed: DataFrame, policy_name: str) -> DataFrame:
+    """One row about a run: policy, clusters, planned (chosen for decoding), the share in percent and the mean anomaly."""
+    n, planned = F.count("*"), F.count_if("joint_active")
+    return routed.agg(F.lit(policy_name).alias("policy"), n.alias("clusters"), planned.alias("planned"), safe_percent(planned, n).alias("planned_percent"), F.avg("joint_anomaly").alias("mean_anomaly"))
 
 
 def decode(rows: DataFrame, model: D.Model, ctx: dict, p: Params, anchors: tuple[str, str] = ("", "")) -> DataFrame:
@@ -192,7 +225,7 @@ def reconstruct(reads: DataFrame, p: Params = Params(), other: DataFrame | None
     guides. ``other`` takes the context's model from another dataset's guides, ``permute`` deals its counts anew.
     """
     clusters = frozen(clustered(reads), "clusters")
-    guides = guides if guides is not None else frozen(local_guides(clusters, p.length), "guides")
+    guides = guides if guides is not None else frozen(local_guides(clusters, p.length, p.deep), "guides")
     ctx = context(clusters, guides, p)
     routed, policy = route(reads, guides, ctx, p)
     routed = frozen(routed, "routes")
@@ -200,7 +233,7 @@ def reconstruct(reads: DataFrame, p: Params = Params(), other: DataFrame | None
     if permute is not None:
         model = permuted(model, permute)
     anchors = ("", "")
-    if ctx["reuse"] < p.high_reuse and ctx["phase"] < 3:
+    if ctx["reuse"] < p.high_reuse and ctx["phase"] < p.low_phase:
         rich = routing.gate(guides, "num_reads", 3, 4).where("active")
         if rich.count() >= 64:
             a = kmers.conserved_anchors(rich.where(F.length("sequence") == p.length).select(F.col("sequence").alias("seq"))).first()

@@ -106,6 +106,27 @@ def nested_violations(samples: DataFrame) -> DataFrame:
     return small.join(found, ["large", *keys], "left").groupBy("seed", F.col("coverage").alias("small"), "large").agg(F.count_if(F.col("there").isNull()).alias("missing"))
 
 
+def nested_report(samples: DataFrame, reads: DataFrame) -> DataFrame:
+    """(rule, seed, coverage, violations) of samples against the reads they were drawn from; all should be 0.
+
+    Rules: ``reads`` (a read that the cluster has not at that place), ``cohort`` (a cluster of enough reads that has no
+    sample, or the other way round), ``order`` (ranks that are not 1 to coverage, once each).
+    """
+    most = samples.agg(F.max("coverage").alias("most"))
+    rich = reads.groupBy("cluster_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(most)).where("n >= most").select("cluster_id")
+    levels = samples.select("seed", "coverage").distinct()
+    foreign = samples.join(reads, ["cluster_id", "read_idx", "read"], "left_anti").groupBy("seed", "coverage").agg(F.count("*").alias("v"))
+    per = samples.groupBy("seed", "coverage", "cluster_id").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+    order = per.groupBy("seed", "coverage").agg(F.count_if((F.col("n") != F.col("coverage")) | (F.col("d") != F.col("coverage")) | (F.col("lo") != 1) | (F.col("hi") != F.col("coverage"))).alias("v"))
+    wanted = rich.join(F.broadcast(levels)).withColumn("w", F.lit(1))
+    cohort = per.select("seed", "coverage", "cluster_id", F.lit(1).alias("h")).join(wanted, ["seed", "coverage", "cluster_id"], "full_outer").groupBy("seed", "coverage").agg(F.count_if(F.col("h").isNull() | F.col("w").isNull()).alias("v"))
+    out = None
+    for name, found in (("reads", foreign), ("cohort", cohort), ("order", order)):
+        part = levels.join(found, ["seed", "coverage"], "left").select(F.lit(name).alias("rule"), "seed", "coverage", F.coalesce("v", F.lit(0)).alias("violations"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def split_assign(rows: DataFrame, key: str, seed: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """rows with ``split``: the first int(train * n) by hash are train, the next int(val * n) val, the rest test."""
     n = rows.count()

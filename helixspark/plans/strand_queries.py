@@ -78,7 +78,8 @@ def parse_run_log(spark, sf):
     path = folder(spark, "logs")
     v = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("u"), F.sum(F.length("text")).alias("c"))
     # one log a row; the reader gets it back as one text
-    log = F.concat_ws("\n", F.concat(F.lit("id: "), F.col("conv_id").cast("string")), F.concat(F.lit("clusters: "), F.col("n").cast("string")), F.concat(F.lit("elapsed: "), (F.col("c") / 4).cast("string")), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("policy: route-"), (F.col("conv_id") % 3).cast("string"))), F.concat(F.lit("decoded: "), F.col("u").cast("string"), F.lit("/"), F.col("n").cast("string")))
+    policy = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("route-"), (F.col("conv_id") % 3).cast("string")))
+    log = text.run_log(id=F.col("conv_id"), clusters=F.col("n"), elapsed=F.col("c") / 4, policy=policy, decoded=F.col("u"), planned=F.col("n"))
     v.select(F.concat(F.lit("@@run@@\n"), log).alias("value")).write.text(path)
     logs = text.numbered_lines(spark, path, "@@run@@\n").where("value <> ''").select("value")
     return logs.select(F.regexp_extract("value", r"(?m)^id: (\d+)", 1).cast("long").alias("conv_id"), *(c.alias(k) for k, c in text.parse_run_log(F.col("value")).items()))
@@ -203,13 +204,16 @@ def positional_kmers(spark, sf):
     return kmers.positional_kmers(fixture.reads(spark, sf), 110)
 
 
-@query("anomaly_score", R + loo_sql(8) + f""", {LOCAL}, lp AS (SELECT cluster_id, substr(edge, 1, 5) x, sum(n) p FROM l GROUP BY ALL), lq AS (SELECT cluster_id, substr(edge, 2, 5) x, sum(n) q FROM l GROUP BY ALL),
+ANOMALY = loo_sql(8) + f""", {LOCAL}, lp AS (SELECT cluster_id, substr(edge, 1, 5) x, sum(n) p FROM l GROUP BY ALL), lq AS (SELECT cluster_id, substr(edge, 2, 5) x, sum(n) q FROM l GROUP BY ALL),
 g AS (SELECT cluster_id, pos + j AS at_, max(-(ln(forward) + ln(reverse))) g FROM loo, (SELECT unnest(range(0, 9)) j) GROUP BY ALL),
 lw AS (SELECT cluster_id, i - 1 pos, substr(center, i, 6) edge FROM {windows('centers', 'center', 6)}),
 ls AS (SELECT lw.cluster_id, pos, -(ln((coalesce(n, 0) + 0.5) / (coalesce(p, 0) + 2)) + ln((coalesce(n, 0) + 0.5) / (coalesce(q, 0) + 2))) s FROM lw LEFT JOIN l ON l.cluster_id = lw.cluster_id AND l.edge = lw.edge LEFT JOIN lp ON lp.cluster_id = lw.cluster_id AND lp.x = substr(lw.edge, 1, 5) LEFT JOIN lq ON lq.cluster_id = lw.cluster_id AND lq.x = substr(lw.edge, 2, 5)),
 lc AS (SELECT cluster_id, pos + j AS at_, max(s) s FROM ls, (SELECT unnest(range(0, 6)) j) GROUP BY ALL),
-b AS (SELECT g.cluster_id, g + 0.4 * coalesce(s, 0) v, row_number() OVER (PARTITION BY g.cluster_id ORDER BY g + 0.4 * coalesce(s, 0) DESC, g.at_) r FROM g LEFT JOIN lc ON g.cluster_id = lc.cluster_id AND g.at_ = lc.at_)
-SELECT cluster_id, round(avg(v), 6) score FROM b WHERE r <= 24 GROUP BY cluster_id""")
+b AS (SELECT g.cluster_id, g + 0.4 * coalesce(s, 0) v, row_number() OVER (PARTITION BY g.cluster_id ORDER BY g + 0.4 * coalesce(s, 0) DESC, g.at_) r FROM g LEFT JOIN lc ON g.cluster_id = lc.cluster_id AND g.at_ = lc.at_),
+anomaly AS (SELECT cluster_id, round(avg(v), 6) score FROM b WHERE r <= 24 GROUP BY cluster_id)"""
+
+
+@query("anomaly_score", R + ANOMALY + " SELECT cluster_id, score FROM anomaly")
 def anomaly_score(spark, sf):
     return kmers.anomaly_scores(seqs(spark, sf), fixture.reads(spark, sf), 8).select("cluster_id", F.round("score", 6).alias("score"))
 
@@ -370,3 +374,30 @@ def write_sequences(spark, sf):
 @query("markdown_table", "SELECT '| ' || n_name || ' | ' || n_nationkey || ' |' line FROM nation")
 def markdown_table(spark, sf):
     return text.markdown(table(spark, sf, "nation"), "n_name", "n_nationkey")
+
+
+@query("rolling_prob", "WITH p AS (SELECT o_orderkey, list_transform(range(1, length(o_orderpriority) + 1), lambda i: 1 - pow(10.0, -(ascii(substr(o_orderpriority, i, 1)) - 33) / 10.0)) p FROM orders) SELECT o_orderkey, round(coalesce(list_sum(list_transform(range(1, len(p) - 1), lambda i: p[i] * p[i + 1] * p[i + 2])), 0), 9) windows FROM p")
+def rolling_prob(spark, sf):
+    w = S.rolling_prob(F.col("o_orderpriority"), 3)
+    return table(spark, sf, "orders").select("o_orderkey", F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 9).alias("windows"))
+
+
+@query("fit_length", R + """, k AS (SELECT cluster_id, read_idx, read, length(read) n, list_sort(list_transform(range(1, length(read) + 1), lambda i: md5(cluster_id || ':' || read_idx || ':' || i) || lpad(CAST(i AS VARCHAR), 6, '0'))) d FROM reads),
+x AS (SELECT *, list_transform(d[1:greatest(n - 111, 0)], lambda x: CAST(substr(x, 33, 6) AS INT)) gone, list_transform(d[1:least(n, greatest(109 - n, 0))], lambda x: CAST(substr(x, 33, 6) AS INT)) more FROM k)
+SELECT cluster_id, read_idx, CASE WHEN n > 111 THEN array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(gone, i) THEN '' ELSE substr(read, i, 1) END), '')
+  WHEN n < 109 THEN rpad(array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(more, i) THEN 'A' ELSE '' END || substr(read, i, 1)), ''), 109, 'A') ELSE read END fitted FROM x""")
+def fit_length(spark, sf):
+    """Each read at 110 letters, one more or less."""
+    key = F.concat_ws(":", F.col("cluster_id").cast("string"), F.col("read_idx").cast("string"))
+    return fixture.reads(spark, sf).select("cluster_id", "read_idx", S.fit_length(F.col("read"), key, 110, 1).alias("fitted"))
+
+
+@query("max_copies", R + ", k AS (SELECT cluster_id, read_idx, row_number() OVER (PARTITION BY cluster_id ORDER BY ('0x' || substr(sha256('3:' || cluster_id || ':' || read_idx), 1, 15))::BIGINT, read_idx) r FROM reads) SELECT cluster_id, read_idx FROM k WHERE r <= 8")
+def max_copies(spark, sf):
+    return clusters.max_copies(fixture.reads(spark, sf), 8, seed=3).select("cluster_id", "read_idx")
+
+
+@query("limit_clusters", R + " SELECT cluster_id, count(*) n FROM reads WHERE cluster_id <= 500 GROUP BY 1")
+def limit_clusters(spark, sf):
+    """The first 500 clusters of a file: the limit is the feature."""
+    return clusters.limit_clusters(fixture.reads(spark, sf), 500).groupBy("cluster_id").agg(F.count("*").alias("n"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from helixspark.functions import sequence as S
-from helixspark.operators import evaluate, experiments, routing
+from helixspark.operators import evaluate, experiments, kmers, reconstruct, routing
 from helixspark.plans.registry import query
-from helixspark.plans.strand_queries import C, K12, R
+from helixspark.plans.strand_queries import ANOMALY, C, K12, R
 from helixspark.sources import fixture
 from helixspark.sources.fixture import table
+from helixspark.sources.scratch import frozen
 
 
 def orders(spark, sf):
@@ -71,6 +74,49 @@ def verify_nested(spark, sf):
     return routing.nested_violations(routing.nested_samples(fixture.reads(spark, sf), [1, 2], [5, 8, 10]))
 
 
+@query("verify_nested_samples", NESTED + """, lv AS (SELECT DISTINCT seed, coverage FROM ns), per AS (SELECT seed, coverage, cluster_id, count(*) n, count(DISTINCT rank) d, min(rank) lo, max(rank) hi FROM ns GROUP BY ALL)
+SELECT 'reads' AS "rule", seed, coverage, (SELECT count(*) FROM ns WHERE ns.seed = lv.seed AND ns.coverage = lv.coverage AND NOT EXISTS (SELECT 1 FROM reads r WHERE r.cluster_id = ns.cluster_id AND r.read_idx = ns.read_idx AND r.read = ns.read)) violations FROM lv
+UNION ALL SELECT 'cohort', seed, coverage, (SELECT count(*) FROM rich) - (SELECT count(*) FROM per WHERE per.seed = lv.seed AND per.coverage = lv.coverage) FROM lv
+UNION ALL SELECT 'order', seed, coverage, (SELECT count(*) FROM per WHERE per.seed = lv.seed AND per.coverage = lv.coverage AND (n <> per.coverage OR d <> per.coverage OR lo <> 1 OR hi <> per.coverage)) FROM lv""")
+def verify_nested_samples(spark, sf):
+    r = fixture.reads(spark, sf)
+    return routing.nested_report(routing.nested_samples(r, [1, 2], [5, 8, 10]), r)
+
+
+#: Contexts (reuse, phase, fallback) that lead to each policy, with a share to route by hand in the first.
+CONTEXTS = ((0.6, 4.0, False, 0.25), (0.2, 4.0, False, None), (0.2, 7.0, False, None), (0.3, 2.0, False, None), (0.1, 2.0, False, None), (0.05, 4.0, True, None))
+ROUTES = R + ANOMALY + """, g AS (SELECT cluster_id, count(*) num_reads, count(*) FILTER (WHERE abs(length(read) - 110) > 3) weak FROM reads GROUP BY 1), s AS (SELECT g.*, coalesce(score, 0) score FROM g LEFT JOIN anomaly USING (cluster_id)),
+q AS (SELECT list_sort(list(score))[count(*) // 2 + 1] med, list_sort(list(num_reads))[count(*) * 3 // 4 + 1] q3 FROM s), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, cluster_id) r, count(*) OVER () n FROM s),
+routes AS (SELECT 0 context, 'manual-fraction' AS policy, cluster_id, score joint_anomaly, r <= ceil(0.25 * n) joint_active FROM t UNION ALL SELECT 1, 'median-anomaly-or-coverage', cluster_id, score, score >= med OR num_reads >= q3 FROM t, q UNION ALL SELECT 2, 'low-reuse-high-phase-dense', cluster_id, 0, true FROM t
+  UNION ALL SELECT 3, 'low-phase-weak-position', cluster_id, 0, weak >= 2 FROM t UNION ALL SELECT 4, 'low-phase-weak-position', cluster_id, 0, weak >= 1 FROM t UNION ALL SELECT 5, 'shallow-dense-fallback', cluster_id, 0, true FROM t)"""
+
+
+def route_contexts(spark, sf):
+    """(context, policy, routes) of each context, from scores of all clusters rounded as the SQL rounds them."""
+    r = fixture.reads(spark, sf)
+    seqs = fixture.centers(spark, sf).select("cluster_id", F.col("center").alias("seq"))
+    guides = r.groupBy("cluster_id").agg(F.count("*").alias("num_reads"), F.count_if(F.abs(F.length("read") - 110) > 3).alias("weak_positions"))
+    found = kmers.anomaly_scores(seqs, r, 8).select("cluster_id", F.round("score", 6).alias("score"))
+    rows = frozen(guides.join(found, "cluster_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
+    n = rows.count()
+    for i, (reuse, phase, fallback, share) in enumerate(CONTEXTS):
+        routed, policy = reconstruct.decide(rows, {"reuse": reuse, "phase": phase, "fallback": fallback, "n": n}, reconstruct.Params(route_fraction=share))
+        yield i, policy, routed
+
+
+@query("route_policies", ROUTES + " SELECT CAST(context AS INT) context, policy, cluster_id, CAST(joint_anomaly AS DOUBLE) joint_anomaly, joint_active FROM routes")
+def route_policies(spark, sf):
+    parts = [routed.select(F.lit(i).alias("context"), F.lit(policy).alias("policy"), "cluster_id", "joint_anomaly", "joint_active") for i, policy, routed in route_contexts(spark, sf)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("run_metrics", ROUTES + " SELECT CAST(context AS INT) context, policy, count(*) clusters, count(*) FILTER (WHERE joint_active) planned, 100.0 * count(*) FILTER (WHERE joint_active) / count(*) planned_percent, round(avg(joint_anomaly), 6) mean_anomaly FROM routes GROUP BY ALL")
+def run_metrics(spark, sf):
+    """The metrics row of a run, for each context."""
+    parts = [reconstruct.run_metrics(routed, policy).withColumns({"context": F.lit(i), "mean_anomaly": F.round("mean_anomaly", 6)}) for i, policy, routed in route_contexts(spark, sf)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 SPLIT = C + f""", h AS (SELECT cluster_id, center, row_number() OVER (ORDER BY {HASH.format("'5:' || cluster_id")}, cluster_id) - 1 r, count(*) OVER () n FROM centers), sp AS (SELECT cluster_id, center, CASE WHEN r < CAST(floor(0.8 * n) AS BIGINT) THEN 'train' WHEN r < CAST(floor(0.8 * n) AS BIGINT) + CAST(floor(0.1 * n) AS BIGINT) THEN 'val' ELSE 'test' END split FROM h)"""
 
 
@@ -215,8 +261,6 @@ def custom_order(spark, sf):
 
 @query("reuse_by_cluster", C + f", {K12} SELECT cluster_id, count(*) windows, count(*) FILTER (WHERE support >= 2) shared FROM w JOIN s USING (kmer) GROUP BY cluster_id")
 def reuse_by_cluster(spark, sf):
-    from helixspark.operators import kmers
-
     seqs = fixture.centers(spark, sf).select("cluster_id", F.col("center").alias("seq"))
     w = kmers.explode_kmers(seqs, 12).join(kmers.support(seqs, 12), "kmer")
     return w.groupBy("cluster_id").agg(F.count("*").alias("windows"), F.count_if(F.col("support") >= 2).alias("shared"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "=" * 31
@@ -85,6 +85,17 @@ def parse_run_log(text) -> dict:
     return out | {"policy": F.coalesce(out["policy"], F.lit("unknown"))}
 
 
+def run_log(**fields: Column) -> Column:
+    """A run's log as one text column: a ``key: value`` line for each field that is not null, as ``parse_run_log`` reads it.
+
+    ``decoded`` and ``planned`` share a line.
+    """
+    lines = [F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in fields.items() if k not in ("decoded", "planned")]
+    if "decoded" in fields:
+        lines.append(F.concat(F.lit("decoded: "), fields["decoded"].cast("string"), F.lit("/"), fields["planned"].cast("string")))
+    return F.concat_ws("\n", *lines)
+
+
 def scan_evaluation(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, center, read_idx, read) of cases of a center line, a line of stars, and reads; two blank lines end a case."""
     cases = numbered_lines(spark, path, "\n\n\n").where(F.trim("value") != "")

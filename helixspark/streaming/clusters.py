@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from helixspark.operators.reconstruct import local_guides
+from helixspark.sources.text import SEPARATOR
 
 
 def stream_guides(spark: SparkSession, source: str, out: str, checkpoint: str, length: int) -> StreamingQuery:
     """Read Parquet files of (cluster_id, reads array<string>) as they come and append their guides; ends when none is left."""
     clusters = spark.readStream.schema("cluster_id long, reads array<string>").parquet(source)
     return local_guides(clusters, length).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_text_clusters(spark: SparkSession, source: str, separator: str = SEPARATOR) -> DataFrame:
+    """A stream of (cluster_id, reads) from files of clusters between separator lines, as they come.
+
+    A cluster has no number before all files are there, so its id is a hash of its file and text. Empty clusters are left
+    out.
+    """
+    blocks = spark.readStream.option("lineSep", f"{separator}\n").text(source).select("value", F.col("_metadata.file_path").alias("file"))
+    reads = F.filter(F.split("value", r"\s+"), lambda x: x != "")
+    return blocks.select(F.xxhash64("file", "value").alias("cluster_id"), reads.alias("reads")).where(F.size("reads") > 0)
+
+
+def stream_text_guides(spark: SparkSession, source: str, out: str, checkpoint: str, length: int, separator: str = SEPARATOR) -> StreamingQuery:
+    """As ``stream_guides``, from the text format."""
+    return local_guides(read_text_clusters(spark, source, separator), length).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
