@@ -85,7 +85,7 @@ def verify_nested_samples(spark, sf):
 
 #: Contexts (reuse, phase, fallback) that lead to each policy, with a share to route by hand in the first.
 CONTEXTS = ((0.6, 4.0, False, 0.25), (0.2, 4.0, False, None), (0.2, 7.0, False, None), (0.3, 2.0, False, None), (0.1, 2.0, False, None), (0.05, 4.0, True, None))
-ROUTES = R + ANOMALY + """, g AS (SELECT cluster_id, count(*) num_reads, count(*) FILTER (WHERE abs(length(read) - 110) > 3) weak FROM reads GROUP BY 1), s AS (SELECT g.*, coalesce(score, 0) score FROM g LEFT JOIN anomaly USING (cluster_id)),
+ROUTES = R + ANOMALY + """, gr AS (SELECT cluster_id, count(*) num_reads, count(*) FILTER (WHERE abs(length(read) - 110) > 3) weak FROM reads GROUP BY 1), s AS (SELECT gr.*, coalesce(score, 0) score FROM gr LEFT JOIN anomaly USING (cluster_id)),
 q AS (SELECT list_sort(list(score))[count(*) // 2 + 1] med, list_sort(list(num_reads))[count(*) * 3 // 4 + 1] q3 FROM s), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, cluster_id) r, count(*) OVER () n FROM s),
 routes AS (SELECT 0 context, 'manual-fraction' AS policy, cluster_id, score joint_anomaly, r <= ceil(0.25 * n) joint_active FROM t UNION ALL SELECT 1, 'median-anomaly-or-coverage', cluster_id, score, score >= med OR num_reads >= q3 FROM t, q UNION ALL SELECT 2, 'low-reuse-high-phase-dense', cluster_id, 0, true FROM t
   UNION ALL SELECT 3, 'low-phase-weak-position', cluster_id, 0, weak >= 2 FROM t UNION ALL SELECT 4, 'low-phase-weak-position', cluster_id, 0, weak >= 1 FROM t UNION ALL SELECT 5, 'shallow-dense-fallback', cluster_id, 0, true FROM t)"""
