@@ -126,3 +126,49 @@ def test_strands_hold_all_letters(spark):
         joined = "".join(pieces)
         assert all(len(p) == 110 for p in pieces) and joined[: len(want[i])] == want[i] and len(joined) - len(want[i]) < 110
     assert set(got) == set(want)
+
+
+def test_two_means_against_plain_steps(spark):
+    from helixspark.operators import calibrate
+
+    r = random.Random(3)
+    x = [r.gauss(2, 0.5) for _ in range(150)] + [r.gauss(9, 1) for _ in range(30)]
+    got = calibrate.two_means(spark.createDataFrame([(v,) for v in x], "score double"))
+    low, high, v = min(x), max(x), np.array(x)
+    for _ in range(64):
+        up = v > (low + high) / 2
+        low, high = v[~up].mean(), v[up].mean()
+    assert abs(got["low"] - low) < 1e-9 and abs(got["high"] - high) < 1e-9 and got["high_count"] == up.sum() == 30
+    assert abs(got["separation"] - (high - low) / (v[~up].std() + v[up].std())) < 1e-9
+    same = calibrate.two_means(spark.createDataFrame([(1.0,)] * 5, "score double"))
+    assert same["separation"] == 0 and same["high_count"] == 0
+
+
+def test_thresholds_choose_the_policy():
+    from helixspark.operators.reconstruct import Params, policy
+
+    at = lambda reuse, phase, **p: policy({"reuse": reuse, "phase": phase, "fallback": False}, Params(**p))
+    assert at(0.2, 4) == "median-anomaly-or-coverage" and at(0.2, 4, high_reuse=0.1) == "by-anomaly"
+    assert at(0.2, 4, low_phase=5) == "low-phase-weak-position" and at(0.2, 4, high_phase=4) == "low-reuse-high-phase-dense"
+    assert at(0.6, 7) == "by-anomaly" and at(0.6, 7, disable_decode=True) == "disabled"
+
+
+def test_adaptive_route_follows_its_fractions(spark):
+    from helixspark.operators.reconstruct import Params, decide
+
+    rows = spark.createDataFrame([(i, 8, float(i < 40) * 10 + i / 100) for i in range(100)], "cluster_id long, num_reads int, score double")
+    ctx = {"reuse": 0.9, "phase": 4.0, "fallback": False, "n": 100}
+    for p, n, name in ((Params(), 40, "adaptive-bimodal-anomaly"), (Params(most_fraction=0.3), 30, "adaptive-bimodal-anomaly"), (Params(separation=1e9), 10, "sparse-10pct-fallback"), (Params(separation=1e9, least_fraction=0.05), 5, "sparse-5pct-fallback")):
+        routed, got = decide(rows, ctx, p)
+        assert got == name and routed.where("joint_active").count() == n
+
+
+def test_stream_of_text_clusters(spark, tmp_path):
+    from helixspark.sources.text import SEPARATOR
+    from helixspark.streaming.clusters import stream_text_guides
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(f"{SEPARATOR}\nACGTACGTAC\nACGTACGTAC\n{SEPARATOR}\n{SEPARATOR}\nTTTTTTTTTT\n")
+    stream_text_guides(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 10).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.sequence for r in got) == ["ACGTACGTAC", "TTTTTTTTTT"]
