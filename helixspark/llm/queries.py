@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixspark.llm import decontaminate, jaccard, lines, packing, quality, rules, suffix, tokens, toxicity, urls
+from helixspark.llm import conversations, decontaminate, exact, jaccard, lines, merkle, packing, quality, rules, suffix, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_token_counts": tokens.op8_query,
         "op9_quality_classifier": quality.op9_query,
         "op10_decontaminate": decontaminate.op10_query,
+        "op11_conversation_repair": conversations.op11_query,
+        "op12_exact_dedup": exact.op12_query,
+        "op13_merkle_manifest": merkle.op13_query,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": urls.OP6_SQL,
         "op7_quality_rules": rules.OP7_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
+        "op11_conversation_repair": conversations.OP11_SQL,
+        "op12_exact_dedup": exact.OP12_SQL,
+        "op13_merkle_manifest": merkle.OP13_SQL,
     }
