@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixspark.plans import kernel_queries, registry, strand_queries, table_queries  # noqa: F401
+from helixspark.plans import kernel_queries, path_queries, registry, strand_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict:

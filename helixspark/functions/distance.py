@@ -76,6 +76,70 @@ def edit_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(distances(pa.concat_arrays([a.cast(pa.string()), b.cast(pa.string())]), i, i + len(a)), pa.int32())
 
 
+#: Bytes of working space for a chunk of banded pairs.
+_SPACE = 32 << 20
+
+
+def _points(strings: list[str], before: int, width: int, fill: int) -> np.ndarray:
+    """Code points, a row a string, from column ``before`` on; ``fill`` elsewhere."""
+    out = np.full((len(strings), width), fill, np.uint32)
+    for row, x in zip(out, strings, strict=True):
+        row[before : before + len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    return out
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """The Levenshtein distance of each pair, or most + 1 where it is more than ``most``.
+
+    Only the cells within ``most`` of the diagonal are computed, and a pair ends as soon as all of them are above it. A
+    chunk of pairs of like bands advances one letter at a time; its size follows the bytes that its band takes.
+    """
+    n, m = (np.array([len(x) for x in s], np.int64) for s in (a, b))
+    out = most.astype(np.int64) + 1
+    todo = np.flatnonzero(np.abs(n - m) <= most)
+    most = np.minimum(most, np.maximum(n, m))  # no distance is larger
+    todo = todo[np.lexsort((n[todo], most[todo]))]
+    while len(todo):
+        band = int(most[todo[-1]])
+        size = max(1, _SPACE // (4 * int(max(n[todo].max(), m[todo].max())) * 2 + 24 * (2 * band + 3)))
+        now, todo = todo[-size:], todo[:-size]
+        rows, width = int(n[now].max()), int(max(n[now].max(), m[now].max())) + 2 * band + 2
+        x, y = _points([a[k] for k in now], 0, rows, 0xFFFFFFFE), _points([b[k] for k in now], band, width, 0xFFFFFFFF)
+        offset = np.arange(2 * band + 1)
+        far = np.int32(1 << 28)
+        first = np.where(offset >= band, offset - band, far).astype(np.int32)
+        d = np.where(offset - band <= m[now, None], first, far)
+        for i in range(rows + 1):
+            if i:
+                column = i + offset - band
+                cand = d + (x[:, i - 1 : i] != y[:, i - 1 : i + 2 * band])
+                cand[:, :-1] = np.minimum(cand[:, :-1], d[:, 1:] + 1)
+                cand[(column < 0) | (column > m[now, None])] = far
+                if i <= band:
+                    cand[:, band - i] = i
+                d = np.minimum.accumulate(cand - offset, axis=1) + offset
+                d[(column < 0) | (column > m[now, None])] = far
+            end = np.flatnonzero(n[now] == i)
+            if len(end):
+                got = d[end, m[now[end]] - i + band]
+                out[now[end]] = np.minimum(got, most[now[end]] + 1) if i else m[now[end]]
+            if len(end) or not i % 16:
+                keep = (n[now] > i) & (d.min(axis=1) <= most[now])
+                if not keep.all():
+                    now, x, y, d = now[keep], x[keep], y[keep], d[keep]
+                    if not len(now):
+                        break
+    return out
+
+
+@F.arrow_udf(IntegerType())
+def distance_within(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
+    """``within`` of two string columns and a column of bounds; null strings count as empty, a null bound gives null."""
+    bound = np.array(most.fill_null(0).to_pylist(), np.int64)
+    found = within(a.fill_null("").to_pylist(), b.fill_null("").to_pylist(), np.maximum(bound, 0))
+    return pa.array(found.astype(np.int32), mask=np.array(most.is_null()))
+
+
 def _rows(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The elements of a column of lists, and the first element of each row (with the total at the end)."""
     n = np.array(lists.value_lengths().fill_null(0).to_pylist(), np.int64)

@@ -31,6 +31,12 @@ def pairwise_distances(reads: DataFrame) -> DataFrame:
     return pairs.select(KEY, F.get("x", F.col("i")).alias("i"), F.get("x", F.col("j")).alias("j"), F.col("d").alias("distance"))
 
 
+def guess_distances(guesses: DataFrame, reads: DataFrame) -> DataFrame:
+    """(cluster_id, guess, distance) of each different guess of a cluster to each of its reads."""
+    once = guesses.select(KEY, "guess").distinct()
+    return together(reads).join(once, KEY).select(KEY, "guess", F.explode(center_distances(F.col("r.read"), F.col("guess"))).alias("distance"))
+
+
 def medoid_seed(reads: DataFrame, target: int, cap: float = 0.32) -> DataFrame:
     """(cluster_id, seed, cost, seed_read): the read closest to the others, each distance capped; longer or shorter reads
     pay a hundredth a base."""

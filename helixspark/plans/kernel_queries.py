@@ -33,12 +33,6 @@ def local_guide(spark, sf):
     return guided(spark, sf)[1]
 
 
-@query("channel_counts")
-def channel_counts(spark, sf):
-    clusters, guides = guided(spark, sf)
-    return reconstruct.channel_counts(clusters.join(guides.select("cluster_id", "sequence"), "cluster_id"))
-
-
 @query("channel_profile", """WITH p AS (SELECT substr(a.text, i, 1) = substr(b.text, i, 1) same FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1, LATERAL (SELECT CAST(unnest(range(1, least(length(a.text), length(b.text)) + 1)) AS INT) i))
 SELECT CAST(count(*) FILTER (WHERE same) AS DOUBLE) m, CAST(count(*) FILTER (WHERE NOT same) AS DOUBLE) s, round(count(*) FILTER (WHERE NOT same) / count(*), 9) sub, round(greatest(1e-6, 1 - count(*) FILTER (WHERE NOT same) / count(*)), 9) AS "match" FROM p""")
 def channel_profile(spark, sf):

@@ -53,8 +53,8 @@ def scan_clusters(spark, sf):
 def write_clusters(spark, sf):
     path = folder(spark, "clusters")
     text.write_clusters(fixture.reads(spark, sf), path)
-    blocks = text.numbered_lines(spark, path, f"{text.SEPARATOR}\n").where("line_no > 0")
-    return blocks.select(F.col("line_no").alias("cluster_id"), F.md5(F.concat(F.lit(f"{text.SEPARATOR}\n"), F.regexp_replace("value", "\n$", "")).cast("binary")).alias("block_md5"))
+    blocks = text.cluster_blocks(text.read_lines(spark, path, f"{text.SEPARATOR}\n"))
+    return blocks.select("cluster_id", F.md5(F.concat(F.lit(f"{text.SEPARATOR}\n"), F.regexp_replace("value", "\n$", "")).cast("binary")).alias("block_md5"))
 
 
 @query("scan_fasta", C + " SELECT 'c' || cluster_id AS name, center seq FROM centers")
@@ -233,14 +233,6 @@ def bbs_kmer_profile(spark, sf):
     return kmers.explode_kmers(r, 8, pad="$" * 8).groupBy("cluster_id", "kmer").agg(F.count("*").alias("n"))
 
 
-@query("bbs_select_k", R + """, t AS (SELECT cluster_id, read_idx, k, count(*) - count(DISTINCT substr(read, i, k)) dup FROM reads, (SELECT CAST(unnest(range(4, 63)) AS INT) k), LATERAL (SELECT CAST(unnest(range(1, length(read) - k + 2)) AS INT) i) GROUP BY ALL),
-m AS (SELECT cluster_id, k, max(dup) d FROM t GROUP BY ALL) SELECT cluster_id, coalesce(min(k) FILTER (WHERE d = 0), 63) + 1 k FROM m GROUP BY cluster_id""")
-def bbs_select_k(spark, sf):
-    from helixspark.operators.baselines import select_k
-
-    return select_k(fixture.reads(spark, sf))
-
-
 @query("coverage", R + " SELECT cluster_id, count(*) num_reads, count(*) FILTER (WHERE length(read) > 0) used_reads FROM reads GROUP BY cluster_id")
 def coverage(spark, sf):
     return clusters.coverage(fixture.reads(spark, sf))

@@ -63,44 +63,70 @@ def _below(h: Column, at: int, threshold: int) -> Column:
     return F.substring(h, at, 4) < f"{threshold:04x}"
 
 
-def mutate(strand: Column, key: Column, channel: Channel) -> Column:
-    """A noisy copy of a strand. Each base draws the same numbers whatever the rates, so higher rates only add errors.
+def _drawn(strand: Column, key: Column, channel: Channel, piece) -> Column:
+    """piece(own letter, what stands for it, what is inserted after it), of all bases, joined.
 
     The draws of base p are slices of md5(key:p): deletion first, a substitution only if the base stays, an insertion
-    in any case.
+    in any case. Each base draws the same numbers whatever the rates, so higher rates only add errors.
     """
     base = lambda i: F.substring(F.lit("ACGT"), i + 1, F.lit(1))
 
-    def piece(p: Column) -> Column:
+    def one(p: Column) -> Column:
         h = F.md5(F.concat(key, F.lit(":"), p.cast("string")).cast("binary"))
         own = F.substring(strand, p, F.lit(1))
         shifted = base((base_id(own) + 1 + _digit(h, 14) % 3) % 4)
         kept = F.when(_below(h, 1, channel.deletion), "").when(_below(h, 5, channel.substitution), shifted).otherwise(own)
-        return F.concat(kept, F.when(_below(h, 9, channel.insertion), base(_digit(h, 13) % 4)).otherwise(""))
+        return piece(own, kept, F.when(_below(h, 9, channel.insertion), base(_digit(h, 13) % 4)).otherwise(""))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(strand)), piece), "")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(strand)), one), "")
 
 
-def simulate_reads(strands: DataFrame, copies: Column, channel: Channel = Channel()) -> DataFrame:
-    """(cluster_id, read_idx, read) for strands(cluster_id, center, ...); the first copies of more copies are the same."""
+def mutate(strand: Column, key: Column, channel: Channel) -> Column:
+    """A noisy copy of a strand."""
+    return _drawn(strand, key, channel, lambda own, kept, more: F.concat(kept, more))
+
+
+def _copies(strands: DataFrame, copies: Column) -> tuple[DataFrame, Column]:
     # few bytes but much work: a given number of partitions is not coalesced
     n = int(strands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = strands.repartition(n, "cluster_id").withColumn("read_idx", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
-    key = F.concat(F.col("cluster_id").cast("string"), F.lit(":"), F.col("read_idx").cast("string"))
+    return each, F.concat(F.col("cluster_id").cast("string"), F.lit(":"), F.col("read_idx").cast("string"))
+
+
+def simulate_reads(strands: DataFrame, copies: Column, channel: Channel = Channel()) -> DataFrame:
+    """(cluster_id, read_idx, read) for strands(cluster_id, center, ...); the first copies of more copies are the same."""
+    each, key = _copies(strands, copies)
     return each.select("cluster_id", "read_idx", mutate(F.col("center"), key, channel).alias("read"))
 
 
+def simulate_aligned(strands: DataFrame, copies: Column, channel: Channel = Channel()) -> DataFrame:
+    """(cluster_id, read_idx, ref_row, read_row): the same reads with their strand, gaps where one of them has no letter."""
+    each, key = _copies(strands, copies)
+    gap = lambda x: F.when(x == "", "-").otherwise(x)
+    ref = _drawn(F.col("center"), key, channel, lambda own, kept, more: F.concat(own, F.when(more == "", "").otherwise("-")))
+    read = _drawn(F.col("center"), key, channel, lambda own, kept, more: F.concat(gap(kept), more))
+    return each.select("cluster_id", "read_idx", ref.alias("ref_row"), read.alias("read_row"))
+
+
 def reads(spark: SparkSession, sf_dir: str, channel: Channel = Channel()) -> DataFrame:
     """5 to 16 reads of each center, drawn once for all queries."""
     return stored(spark, ("reads", sf_dir, channel), lambda: simulate_reads(centers(spark, sf_dir), 5 + F.col("cluster_id") % 12, channel))
 
 
+def aligned_reads(spark: SparkSession, sf_dir: str, channel: Channel = Channel()) -> DataFrame:
+    """The reads of ``reads`` in rows with their strands, drawn once for all queries."""
+    return stored(spark, ("aligned", sf_dir, channel), lambda: simulate_aligned(centers(spark, sf_dir), 5 + F.col("cluster_id") % 12, channel))
+
+
 CENTERS_SQL = """centers AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, piece) cluster_id, doc_id, piece, rpad(substr(s, piece * 110 + 1, 110), 110, s) center
   FROM (SELECT doc_id, s, CAST(unnest(range(0, (length(s) - 1) // 110 + 1)) AS INT) piece FROM (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) s FROM documents) WHERE length(s) > 0))"""
 READS_SQL = CENTERS_SQL + """,
 draws AS (SELECT cluster_id, read_idx, p, substr(center, p, 1) b, md5(cluster_id || ':' || read_idx || ':' || p) h
   FROM (SELECT cluster_id, center, CAST(unnest(range(0, 5 + cluster_id % 12)) AS INT) read_idx FROM centers), LATERAL (SELECT CAST(unnest(range(1, 111)) AS INT) p)),
-pieces AS (SELECT cluster_id, read_idx, p, CASE WHEN ('0x' || substr(h, 1, 4))::INT < 1245 THEN '' WHEN ('0x' || substr(h, 5, 4))::INT < 1376
-   THEN substr('ACGT', CAST((instr('ACGT', b) - 1 + 1 + ('0x' || substr(h, 14, 1))::INT % 3) % 4 + 1 AS INT), 1) ELSE b END
-   || CASE WHEN ('0x' || substr(h, 9, 4))::INT < 1048 THEN substr('ACGT', ('0x' || substr(h, 13, 1))::INT % 4 + 1, 1) ELSE '' END piece FROM draws),
-reads AS MATERIALIZED (SELECT cluster_id, read_idx, string_agg(piece, '' ORDER BY p) read FROM pieces GROUP BY cluster_id, read_idx)"""
+pieces AS (SELECT cluster_id, read_idx, p, b, CASE WHEN ('0x' || substr(h, 1, 4))::INT < 1245 THEN '' WHEN ('0x' || substr(h, 5, 4))::INT < 1376
+   THEN substr('ACGT', CAST((instr('ACGT', b) - 1 + 1 + ('0x' || substr(h, 14, 1))::INT % 3) % 4 + 1 AS INT), 1) ELSE b END kept,
+   CASE WHEN ('0x' || substr(h, 9, 4))::INT < 1048 THEN substr('ACGT', ('0x' || substr(h, 13, 1))::INT % 4 + 1, 1) ELSE '' END more FROM draws)"""
+#: In DuckDB: pieces(cluster_id, read_idx, p, b, kept, more), each base with what stands for it and is inserted after it.
+PIECES_SQL = READS_SQL
+READS_SQL += """,
+reads AS MATERIALIZED (SELECT cluster_id, read_idx, string_agg(kept || more, '' ORDER BY p) read FROM pieces GROUP BY cluster_id, read_idx)"""

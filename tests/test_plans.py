@@ -161,14 +161,3 @@ def test_adaptive_route_follows_its_fractions(spark):
     for p, n, name in ((Params(), 40, "adaptive-bimodal-anomaly"), (Params(most_fraction=0.3), 30, "adaptive-bimodal-anomaly"), (Params(separation=1e9), 10, "sparse-10pct-fallback"), (Params(separation=1e9, least_fraction=0.05), 5, "sparse-5pct-fallback")):
         routed, got = decide(rows, ctx, p)
         assert got == name and routed.where("joint_active").count() == n
-
-
-def test_stream_of_text_clusters(spark, tmp_path):
-    from helixspark.sources.text import SEPARATOR
-    from helixspark.streaming.clusters import stream_text_guides
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text(f"{SEPARATOR}\nACGTACGTAC\nACGTACGTAC\n{SEPARATOR}\n{SEPARATOR}\nTTTTTTTTTT\n")
-    stream_text_guides(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 10).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(r.sequence for r in got) == ["ACGTACGTAC", "TTTTTTTTTT"]
