@@ -76,6 +76,12 @@ def read_channels(aligned: DataFrame) -> DataFrame:
     return ops.select(KEY, "read_idx", *((F.length("ops") - F.length(F.replace("ops", F.lit(x.upper()), F.lit("")))).cast("long").alias(x) for x in "msid"))
 
 
+def error_type(substitutions: Column, insertions: Column, deletions: Column) -> Column:
+    """The kind of a read's errors: none, substitutions only, no substitution, or both."""
+    gaps = insertions + deletions
+    return F.when(substitutions + gaps == 0, "None").when(gaps == 0, "Substitution-only").when(substitutions == 0, "Paired indel").otherwise("Mixed")
+
+
 def channel_counts(aligned: DataFrame, length: int, most: int = 24, delta: int = 35, reject: float = 0.42) -> DataFrame:
     """(cluster_id, reads, used, m, s, i, d): the counts of each cluster's reads that lie close to its reference.
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.functions.sequence import boundary_signature, kmer_code, safe_percent
-from helixspark.operators import calibrate, kmers, routing
+from helixspark.functions.sequence import boundary_signature, kmer_code, normalize_seq, safe_percent
+from helixspark.operators import aligned, calibrate, kmers, routing
 from helixspark.operators.kernels import align as A
 from helixspark.operators.kernels import decode as D
 from helixspark.operators.kernels import guide as G
@@ -76,9 +76,14 @@ def local_guides(clusters: DataFrame, length: int, deep: int = 40) -> DataFrame:
     return per_cluster(clusters, lambda row: [{"cluster_id": row["cluster_id"]} | G.local_guide(row["reads"], length, deep=deep)], GUIDE)
 
 
-def channel_counts(clusters: DataFrame) -> DataFrame:
-    """(cluster_id, m, s, i, d) for clusters(cluster_id, reads, sequence)."""
-    return per_cluster(clusters, lambda row: [{"cluster_id": row["cluster_id"]} | dict(zip("msid", G.channel_counts(row["sequence"], clean(row["reads"])).tolist(), strict=True))], "cluster_id long, m long, s long, i long, d long")
+def channel_counts(clusters: DataFrame, length: int, most: int = 24) -> DataFrame:
+    """(cluster_id, reads, used, m, s, i, d) for clusters(cluster_id, reads, sequence): up to ``most`` reads at even distances
+    are aligned to the guide, and those that lie close to it are counted."""
+    own = F.filter(F.transform("reads", normalize_seq), lambda x: x != "")
+    n = F.size("reads")
+    even = F.when(n <= most, F.col("reads")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get("reads", F.floor(i * n / most).cast("int"))))
+    picked = clusters.where("sequence <> ''").withColumn("reads", own).select("cluster_id", even.alias("reads"), F.col("sequence").alias("center"))
+    return aligned.channel_counts(alignments(picked), length, most)
 
 
 def alignments(pairs: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def context(clusters: DataFrame, guides: DataFrame, p: Params) -> dict:
     most = max(128, math.floor(4 * math.sqrt(n) + 0.5))
     numbered = guides.select("cluster_id", "sequence").withColumn("i", F.col("cluster_id") - 1)
     sample = routing.systematic_sample(numbered, "i", most)
-    profile = calibrate.channel_profile(channel_counts(clusters.join(sample.select("cluster_id", "sequence"), "cluster_id"))).first()
+    profile = calibrate.channel_profile(channel_counts(clusters.join(sample.select("cluster_id", "sequence"), "cluster_id"), p.length)).first()
     seqs = guides.select("cluster_id", F.col("sequence").alias("seq"))
     reuse = float(kmers.reuse_fraction(seqs).first().fraction)
     k = 11 if reuse >= p.high_reuse else 8

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixspark.functions import sequence as S
-from helixspark.operators import baselines, calibrate, evaluate, kmers, reconstruct
-from helixspark.operators.kernels import align
+from helixspark.operators import aligned, baselines, calibrate, evaluate, kmers, reconstruct
+from helixspark.plans.path_queries import P
 from helixspark.plans.registry import query
 from helixspark.plans.strand_queries import C, loo_sql
 from helixspark.sources import fixture
@@ -74,12 +74,6 @@ def reconstruct_query(spark, sf):
     return reconstruct.reconstruct(fixture.reads(spark, sf), guides=guided(spark, sf)[1])
 
 
-@query("trellis_decode")
-def trellis_decode(spark, sf):
-    """Decoding without the cross-cluster model, of every cluster."""
-    return reconstruct.reconstruct(fixture.reads(spark, sf), reconstruct.Params(decode_all=True, cross_weight=0.0), guides=guided(spark, sf)[1]).select("cluster_id", "sequence", "guide")
-
-
 @query("counterfactual_model")
 def counterfactual_model(spark, sf):
     """Guides decoded with the right context, with permuted counts, and with another dataset's strands."""
@@ -118,27 +112,24 @@ def boundary_decode(spark, sf):
 @query("error_type")
 def error_type(spark, sf):
     """What kind of errors each read has, by its alignment with the center."""
-    def kernel(row):
-        out = []
-        for i, r in enumerate(row["reads"]):
-            d, s, n, k = align.canonical_counts(row["center"], r)
-            out.append({"cluster_id": row["cluster_id"], "read_idx": i, "distance": d, "substitutions": s, "insertions": n, "deletions": k, "error_type": "None" if not d else "Substitution-only" if not n + k else "Paired indel" if not s else "Mixed"})
-        return out
-
     rows = reconstruct.clustered(fixture.reads(spark, sf)).join(strands(spark, sf), "cluster_id")
-    return reconstruct.per_cluster(rows, kernel, "cluster_id long, read_idx int, distance int, substitutions int, insertions int, deletions int, error_type string")
+    counts = aligned.read_channels(reconstruct.alignments(rows))
+    return counts.select("cluster_id", "read_idx", (F.col("s") + F.col("i") + F.col("d")).alias("distance"), F.col("s").alias("substitutions"), F.col("i").alias("insertions"), F.col("d").alias("deletions"), aligned.error_type(F.col("s"), F.col("i"), F.col("d")).alias("error_type"))
 
 
-@query("bbs_reconstruct")
-def bbs_reconstruct(spark, sf):
-    return baselines.reconstruct_with(fixture.reads(spark, sf), "beam", 110).withColumn("weight", F.round("weight", 4))
+@query("error_type_given", P + """, c AS (SELECT cluster_id, read_idx, count(*) FILTER (WHERE kept <> b AND kept <> '') s, count(*) FILTER (WHERE more <> '') i, count(*) FILTER (WHERE kept = '') d FROM pieces GROUP BY ALL)
+SELECT cluster_id, read_idx, CASE WHEN s + i + d = 0 THEN 'None' WHEN i + d = 0 THEN 'Substitution-only' WHEN s = 0 THEN 'Paired indel' ELSE 'Mixed' END error_type FROM c""")
+def error_type_given(spark, sf):
+    """The same of the aligned rows as the reads were drawn."""
+    c = aligned.read_channels(fixture.aligned_reads(spark, sf))
+    return c.select("cluster_id", "read_idx", aligned.error_type(F.col("s"), F.col("i"), F.col("d")).alias("error_type"))
 
 
 @query("cpl_reconstruct")
 def cpl_reconstruct(spark, sf):
-    return baselines.reconstruct_with(fixture.reads(spark, sf), "frequencies", 110).drop("weight")
+    return baselines.frequency_consensus(fixture.reads(spark, sf), 110)
 
 
 @query("trellis_bma")
 def trellis_bma(spark, sf):
-    return baselines.reconstruct_with(fixture.reads(spark, sf), "posteriors", 110).drop("weight")
+    return baselines.trace_posteriors(fixture.reads(spark, sf), 110)
