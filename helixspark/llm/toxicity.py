@@ -18,8 +18,8 @@ from helixspark.llm.runtime import id_text, sample_rows
 
 #: Words of a window, and words from one window's start to the next one's.
 WINDOW, STEP = 8, 4
-#: Bytes of a trained dictionary, and windows that it is trained on.
-DICTIONARY, TRAINED_ON = 16384, 60000
+#: Bytes of a trained dictionary.
+DICTIONARY = 16384
 #: Bytes of the pieces that a toxic dictionary is made of.
 PIECE = 6
 #: Counts of windows from here on have one score.
@@ -98,10 +98,10 @@ def _cut(text: bytes) -> np.ndarray:
     return windows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
 
 
-def _train(texts: list[bytes]) -> bytes:
-    """A dictionary of the windows of texts; evenly taken ones where there are more than ``TRAINED_ON``."""
+def _train(texts: list[bytes], most: int) -> bytes:
+    """A dictionary of the windows of texts; evenly taken ones where there are more than ``most``."""
     cut = [_cut(t) for t in texts]
-    every = max(1, -(-sum(map(len, cut)) // TRAINED_ON))
+    every = max(1, -(-sum(map(len, cut)) // most))
     own = [t[a : a + n] for t, c in zip(texts, cut, strict=True) for a, n in c[::every].tolist()]
     try:
         return zstandard.train_dictionary(DICTIONARY, own, k=24, d=6).as_bytes()
@@ -109,69 +109,106 @@ def _train(texts: list[bytes]) -> bytes:
         return b"\n".join(own)[-DICTIONARY:]
 
 
-def _pieces(content: bytes, toxic: list[bytes], ordinary: list[bytes], odds: float = 4.0, least: int = 8) -> bytes:
-    """The runs of a dictionary whose pieces toxic texts have far more often than ordinary ones, each once.
+def kinds(texts: list[bytes], most: int = 6, rounds: int = 10) -> np.ndarray:
+    """A number below ``most`` for each text: texts whose bytes are alike, as those of one language or script are.
 
-    A piece needs log odds over ``odds``, and ``least`` toxic texts that have it in surroundings not seen before, so a
-    passage in many copies counts once. What a trained dictionary has besides (ordinary words, entropy tables) goes.
+    Means of byte shares, from texts that lie far from each other; nothing but the texts is used.
     """
-    grams = [content[i : i + PIECE] for i in range(len(content) - PIECE + 1)]
-    wanted = set(grams)
+    share = np.zeros((len(texts), 256))
+    for row, t in zip(share, texts, strict=True):
+        row += np.sqrt(np.bincount(np.frombuffer(t, np.uint8), minlength=256) / max(1, len(t)))
+    if not len(texts):
+        return np.zeros(0, np.int64)
+    # of texts long enough to tell, the first, and then again and again the one farthest from all means so far
+    sure = share[[i for i, t in enumerate(texts) if len(t) >= 1000]] if sum(len(t) >= 1000 for t in texts) >= most else share
+    means = sure[:1]
+    while len(means) < min(most, len(sure)):
+        far = ((sure[:, None] - means[None]) ** 2).sum(axis=2).min(axis=1)
+        means = np.concatenate((means, sure[far.argmax()][None]))
+    for _ in range(rounds):
+        own = ((share[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
+        means = np.stack([share[own == k].mean(axis=0) if (own == k).any() else means[k] for k in range(len(means))])
+    return own
+
+
+def _pieces(contents: list[bytes], toxic: list[list[bytes]], ordinary: list[list[bytes]], odds: float = 3.5, near: float = 1.5, least: int = 8) -> bytes:
+    """The runs of dictionaries whose pieces the toxic texts of a kind have far more often than ordinary ones, each once.
+
+    The first content, with its texts, is that of all kinds. A piece needs log odds over ``odds`` against all ordinary
+    texts and over ``near`` against those of its kind, and ``least`` toxic texts that have it in surroundings not seen
+    before, so a passage in many copies counts once. What a trained dictionary has besides (ordinary words, entropy
+    tables) goes.
+    """
+    cut = lambda t: [t[i : i + PIECE] for i in range(len(t) - PIECE + 1)]
+    wanted = {g for c in contents for g in cut(c)}
 
     def count(texts: list[bytes]) -> Counter:
         out: Counter = Counter()
         for t in texts:
-            out.update(wanted.intersection(t[i : i + PIECE] for i in range(len(t) - PIECE + 1)))
+            out.update(wanted.intersection(cut(t)))
         return out
 
-    a, b = count(toxic), count(ordinary)
-    odd = {g for g, n in a.items() if n >= least and math.log((n + 0.5) / (len(toxic) + 1)) - math.log((b[g] + 0.5) / (len(ordinary) + 1)) > odds}
-    around: dict[bytes, set[bytes]] = {g: set() for g in odd}
-    fresh: Counter = Counter()
-    for t in toxic:
-        own: dict[bytes, set[bytes]] = {}
-        for i in range(len(t) - PIECE + 1):
-            if (g := t[i : i + PIECE]) in odd:
-                own.setdefault(g, set()).add(t[max(0, i - 2 * PIECE) : i + 3 * PIECE])
-        for g, seen in own.items():
-            fresh[g] += not seen <= around[g]
-            around[g] |= seen
-    marks = {g for g, n in fresh.items() if n >= least}
-    keep = np.zeros(len(content) + 1, np.int8)
-    for i, g in enumerate(grams):
-        if g in marks:
-            keep[i : i + PIECE] = 1
-    edges = np.flatnonzero(np.diff(keep, prepend=0)).tolist()
-    runs: list[bytes] = []
-    for lo, hi in sorted(zip(edges[::2], edges[1::2], strict=True), key=lambda x: x[0] - x[1]):
-        if not any(content[lo:hi] in r for r in runs):
-            runs.append(content[lo:hi])
-    return b"\n".join(reversed(runs))
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    runs, by_kind = [], [count(o) for o in ordinary]
+    everywhere, size = by_kind[0], len(ordinary[0])
+    for content, texts, others, own in zip(contents, toxic, ordinary, by_kind, strict=True):
+        a = count(texts)
+        more = lambda g, n, b, m, k=len(texts): math.log((n + 0.5) / (k + 1)) - math.log((b[g] + 0.5) / (m + 1))
+        odd = {g for g, n in a.items() if n >= least and more(g, n, everywhere, size) > odds and more(g, n, own, len(others)) > near}
+        around: dict[bytes, set[bytes]] = {g: set() for g in odd}
+        fresh: Counter = Counter()
+        for t in texts:
+            here: dict[bytes, set[bytes]] = {}
+            for i in range(len(t) - PIECE + 1):
+                if (g := t[i : i + PIECE]) in odd:
+                    here.setdefault(g, set()).add(t[max(0, i - 2 * PIECE) : i + 3 * PIECE])
+            for g, seen in here.items():
+                fresh[g] += not seen <= around[g]
+                around[g] |= seen
+        marks = {g for g, n in fresh.items() if n >= least}
+        keep = np.zeros(len(content) + 1, np.int8)
+        for i, g in enumerate(cut(content)):
+            if g in marks:
+                keep[i : i + PIECE] = 1
+        edges = np.flatnonzero(np.diff(keep, prepend=0)).tolist()
+        runs += [content[lo:hi] for lo, hi in zip(edges[::2], edges[1::2], strict=True)]
+    once: list[bytes] = []
+    for r in sorted(runs, key=lambda r: (-len(r), r)):
+        if not any(r in x for x in once):
+            once.append(r)
+    return b"\n".join(reversed(once))
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], most: int = 60000) -> tuple[bytes, bytes]:
     """The ordinary dictionary and the toxic one.
 
-    The toxic one is trained twice: on all toxic windows, and then on those that the ordinary dictionary shortens least.
+    Toxic dictionaries are trained for all texts, and by kind of text, so that a language with few toxic texts has one
+    too; each twice: on all toxic windows, and then on those that the ordinary texts' dictionary shortens least.
     """
-    plain = _train(ordinary)
-    first = _train(toxic)
+    plain = _train(ordinary, most)
     gains = Gains(plain, b"")
-    hard = []
-    for t in toxic:
-        spans = _cut(t)
-        rate = gains.lengths(np.frombuffer(t, np.uint8), spans, (0,))[0] / (spans[:, 1] + 8)
-        hard += [(r, t[a : a + n]) for r, (a, n) in zip(rate.tolist(), spans.tolist(), strict=True)]
-    hard.sort(key=lambda x: -x[0])
-    second = _train([w for _, w in hard[: max(len(hard) // 3, min(len(hard), 1000))]])
-    return plain, _pieces(first + b"\n" + second, toxic, ordinary)
-
-
-def fit(rows: list[tuple[str | None, int]]) -> Model:
+    of = kinds(toxic + ordinary)
+    group = lambda texts, at, k: [t for t, x in zip(texts, at, strict=True) if k is None or x == k]
+    contents, groups, others = [], [], []
+    for k in [None, *sorted(set(of[: len(toxic)].tolist()))]:
+        own = group(toxic, of[: len(toxic)], k)
+        hard = []
+        for t in own:
+            spans = _cut(t)
+            rate = gains.lengths(np.frombuffer(t, np.uint8), spans, (0,))[0] / (spans[:, 1] + 8)
+            hard += [(r, t[a : a + n]) for r, (a, n) in zip(rate.tolist(), spans.tolist(), strict=True)]
+        hard.sort(key=lambda x: -x[0])
+        second = _train([w for _, w in hard[: max(len(hard) // 3, min(len(hard), 1000))]], most)
+        contents.append(_train(own, most) + b"\n" + second)
+        groups.append(own)
+        others.append(group(ordinary, of[len(toxic) :], k))
+    return plain, _pieces(contents, groups, others)
+
+
+def fit(rows: list[tuple[str | None, int]], trained_on: int = 60000) -> Model:
     """Dictionaries from two thirds of the labelled texts; threshold and scores from the rest."""
     texts = [(textops.LOWER[np.frombuffer((t or "").encode(), np.uint8)].tobytes(), y == 1) for t, y in rows]
     build, hold = [x for i, x in enumerate(texts) if i % 3], [x for i, x in enumerate(texts) if not i % 3]
-    ordinary, toxic = dictionaries([t for t, y in build if y], [t for t, y in build if not y])
+    ordinary, toxic = dictionaries([t for t, y in build if y], [t for t, y in build if not y], trained_on)
     gains = Gains(ordinary, toxic)
     found = [gains.of(np.frombuffer(t, np.uint8), _cut(t)) for t, _ in hold]
     y = np.array([v for _, v in hold], dtype=float)
@@ -207,11 +244,12 @@ def _score(shared):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 3000, longest: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 3000, longest: int = 32768, trained_on: int = 60000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole texts for toxicity.
 
     The model is fitted on at most ``sample`` labelled texts of each class, of at most ``longest`` bytes each (so the
-    driver gets 2 x sample x longest bytes at most); all rows of ``labels`` may be used, so leave held-out rows out before
+    driver gets 2 x sample x longest bytes at most). Each dictionary is trained on at most ``trained_on`` windows of its
+    class's texts in that sample, evenly taken (every third ordinary window at sf0.1; all toxic ones). All rows of ``labels`` may be used, so leave held-out rows out before
     the call. Overlapping windows of eight words of the whole text are compressed with both dictionaries; windows that the
     toxic one shortens by at least the calibrated number of bytes more count, and the count gives the score.
 
@@ -220,7 +258,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
     bytes have equal scores; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     rows = sample_rows(docs, labels, label, sample, id_col, text_col, longest).collect()
-    model = fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))])
+    model = fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))], trained_on)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return id_text(docs, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double, windows long")
 

@@ -42,7 +42,7 @@ def operators(labels, bench):
         "lengths": tokens.length_histogram,
         "quality": lambda d: quality.classify_quality(d, labels),
         "decontaminate": lambda d: decontaminate.decontaminate(d, bench),
-        "decontaminate in blocks": lambda d: decontaminate.decontaminate(d, bench, block_bytes=16),
+        "decontaminate in blocks": lambda d: decontaminate.decontaminate(d, bench, block_bytes=800),
     }
 
 
@@ -305,7 +305,9 @@ def test_long_texts(spark, labels, bench):
     docs = table(spark, [(1, long), (2, long + " idiot"), (3, "x" * 3_000_000)])
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
     got = {r.doc_id: r for r in remove_repeats(docs, keep_bytes=False).collect()}
-    assert got[1].n_removed == 0 and got[2].n_removed == len(long) and got[3].n_removed == 3_000_000 - 100 + 99 or got[3].n_removed > 2_999_000
+    assert got[1].n_removed == 0
+    assert got[2].n_removed == len(long)
+    assert got[3].n_removed == 3_000_000 - 1  # all but the first letter is in a string that also starts earlier
     assert score_toxicity(docs, labels).count() == 3 and classify_quality(docs, labels).count() == 3
 
 

@@ -288,17 +288,37 @@ def test_decontaminate_blocks(spark, edge_texts):
     docs = frame(spark, edge_texts)
     bench = spark.createDataFrame([("i1", " ".join(words(120, 1, 10**6)[20:40])), ("i2", "the SAME line, of text"), ("i3", None), ("i4", "")], "item_id string, text string")
     one = {r.doc_id: (r.n_words, r.hit_words, r.items, r.span_starts, r.span_ends) for r in decontaminate(docs, bench).collect()}
-    many = {r.doc_id: (r.n_words, r.hit_words, r.items, r.span_starts, r.span_ends) for r in decontaminate(docs, bench, block_bytes=64).collect()}
+    many = {r.doc_id: (r.n_words, r.hit_words, r.items, r.span_starts, r.span_ends) for r in decontaminate(docs, bench, block_bytes=2000).collect()}
     assert one == many and one[5][2] == ["i1"] and len(one[5][1]) == 20 and one[9][2] == ["i2"]
     assert decontaminate(docs, bench.limit(0)).where("size(hit_words) > 0").count() == 0
 
 
+def test_window_table_is_small_and_whole():
+    """16 MiB of items, some of them repeated: their arrays stay under 300 MB, and every window is there with all its items."""
+    from helixspark.llm.decontaminate import window_table
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(5000)]
+    items = [(f"i{k}", " ".join(rng.choices(vocabulary, k=60))) for k in range(43_000)]
+    items += [("again", items[7][1]), (None, items[7][1]), ("short", "Two words"), ("empty", ""), (None, None), ("twice", "a b c d e f g h i j a b c d e f g h i j")]
+    assert sum(len(t or "") for _, t in items) > 16 << 20
+    table = window_table(items, 10)
+    assert table.nbytes() < 300_000_000
+    w = table.windows[10]
+    assert sorted(table.windows) == [2, 10] and (w.hashes[1:] >= w.hashes[:-1]).all()
+    at = {table.text[a : a + n].tobytes(): k for k, (a, n) in enumerate(zip(w.start.tolist(), w.size.tolist(), strict=True))}
+    own = lambda words: [table.names[i].as_py() for i in w.items[w.first[at[words]] : w.first[at[words] + 1]].tolist()]
+    seven = items[7][1].split()
+    assert all(own(" ".join(seven[k : k + 10]).encode()) == ["i7", "again", None] for k in range(51))
+    assert own(b"a b c d e f g h i j") == ["twice"] and len(at) == len(w.hashes) >= 43_000 * 51
+
+
 def test_decontaminate_null_item(spark, edge_texts):
     from helixspark.llm.decontaminate import decontaminate
 
     docs = frame(spark, edge_texts)
     bench = spark.createDataFrame([(None, " ".join(words(120, 1, 10**6)[20:40])), ("i2", "the same line of text"), (None, "of text again and")], "item_id string, text string")
-    for size in (32 << 20, 64):
+    for size in (32 << 20, 1000):
         got = {r.doc_id: r for r in decontaminate(docs, bench, block_bytes=size).collect()}
         assert len(got[5].hit_words) == 20 and got[5].items == [] and len(got[5].span_starts) == 1
         assert got[9].items == ["i2"] and len(got[9].hit_words) == 24 - 3
