@@ -165,6 +165,37 @@ def pair_distances(strings: pa.Array) -> pa.Array:
     return _lists(np.concatenate(([0], np.cumsum(pairs))), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (i, j, d)], names=["i", "j", "d"]))
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def distance_sums(strings: pa.Array, cap: pa.Array) -> pa.Array:
+    """Of each list of strings, each one's sum of distances to the others, over the longer one's length, and at most cap.
+
+    Pairs of a list come in parts of about a million, so that a long list takes no more space than a short one.
+    """
+    values, first = _rows(strings)
+    n, size = np.diff(first), np.array([len(x or "") for x in values.to_pylist()], np.int64)
+    out, limit = np.zeros(len(values)), np.array(cap.to_pylist(), float)
+
+    def add(left: list[np.ndarray], right: list[np.ndarray], bound: list[np.ndarray]) -> None:
+        i, j = np.concatenate(left), np.concatenate(right)
+        d = np.minimum(np.concatenate(bound), distances(values, i, j) / np.maximum(1, np.maximum(size[i], size[j])))
+        np.add.at(out, i, d)
+        np.add.at(out, j, d)
+
+    held, pairs = ([], [], []), 0
+    for k, m in enumerate(n.tolist()):
+        for i in range(m - 1):  # a string and those after it
+            held[0].append(np.full(m - 1 - i, first[k] + i))
+            held[1].append(np.arange(first[k] + i + 1, first[k] + m))
+            held[2].append(np.full(m - 1 - i, limit[k]))
+            pairs += m - 1 - i
+            if pairs > 1 << 20:
+                add(*held)
+                held, pairs = ([], [], []), 0
+    if pairs:
+        add(*held)
+    return _lists(first, pa.array(out))
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
 def center_distances(strings: pa.Array, center: pa.Array) -> pa.Array:
     """The distance of each string of a list from the row's center."""

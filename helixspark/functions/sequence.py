@@ -119,7 +119,8 @@ def seconds(text: Column) -> Column:
 def dense_index(df, key: str, out: str):
     """Number the rows 1, 2, ... by a unique whole-number key, without gathering them in one task.
 
-    Rows are counted in ranges of the key, and numbered within each; ranges follow the count, so none grows with it.
+    Rows are counted in ranges of the key, and numbered within each; ranges follow the count, so none grows with it. What
+    comes before a range is added up in two levels, so a task has the counts of 4,096 ranges, or one sum of each such group.
     """
     from pyspark.sql import Window
 
@@ -128,8 +129,10 @@ def dense_index(df, key: str, out: str):
         return df.withColumn(out, F.lit(None).cast("long"))
     width = max(1, (high - low + 1) * 4096 // n)
     ranged = df.withColumn("_range", F.floor((F.col(key) - low) / width))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col("_range") / 4096))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_m")).select("_group", before(Window.orderBy("_group"), "_m").alias("_above"))
+    counts = counts.select("_range", "_group", before(Window.partitionBy("_group").orderBy("_range"), "_n").alias("_before"))
+    counts = counts.join(groups, "_group").select("_range", (F.col("_before") + F.col("_above")).alias("_before"))
     within = Window.partitionBy("_range").orderBy(key)
     return ranged.withColumn("_row", F.row_number().over(within)).join(counts, "_range").withColumn(out, (F.col("_row") + F.col("_before")).cast("long")).drop("_range", "_row", "_before")

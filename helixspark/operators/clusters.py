@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.functions.distance import center_distances, pair_distances
+from helixspark.functions.distance import center_distances, distance_sums, pair_distances
 from helixspark.functions.sequence import kmers, stable_hash
 
 KEY = "cluster_id"
@@ -40,14 +40,9 @@ def guess_distances(guesses: DataFrame, reads: DataFrame) -> DataFrame:
 def medoid_seed(reads: DataFrame, target: int, cap: float = 0.32) -> DataFrame:
     """(cluster_id, seed, cost, seed_read): the read closest to the others, each distance capped; longer or shorter reads
     pay a hundredth a base."""
-    rows = together(reads)
-    p = rows.select(KEY, F.transform("r.read", F.length).alias("n"), F.col("r.read_idx").alias("x"), F.inline(pair_distances(F.col("r.read"))))
-    robust = F.least(F.lit(cap), F.col("d") / F.greatest(F.get("n", F.col("i")), F.get("n", F.col("j")), F.lit(1)))
-    # a read is its own pair, at no distance, so reads without others count as well
-    each = p.withColumn("d", robust).select(KEY, "x", "n", F.explode(F.array("i", "j")).alias("at"), "d").groupBy(KEY, "at").agg(F.sum("d").alias("d"), F.first(F.get("n", F.col("at"))).alias("n"), F.first(F.get("x", F.col("at"))).alias("seed"))
-    cost = F.round(F.col("d") + 0.010 * F.abs(F.col("n") - target), 9)
-    best = each.groupBy(KEY).agg(F.min(F.struct(cost.alias("cost"), "seed", "at")).alias("m"))
-    return best.join(rows, KEY).select(KEY, "m.seed", "m.cost", F.get("r.read", F.col("m.at")).alias("seed_read"))
+    rows = together(reads).withColumn("d", distance_sums(F.col("r.read"), F.lit(cap)))
+    cost = lambda x, d: F.struct(F.round(d + 0.010 * F.abs(F.length(x["read"]) - target), 9).alias("cost"), x["read_idx"].alias("seed"), x["read"].alias("read"))
+    return rows.select(KEY, F.array_min(F.zip_with("r", "d", cost)).alias("m")).select(KEY, "m.seed", "m.cost", F.col("m.read").alias("seed_read"))
 
 
 def centrality_seed(reads: DataFrame, target: int, k: int = 5) -> DataFrame:

@@ -54,11 +54,10 @@ def loo_transitions(seqs: DataFrame, k: int, key: str = "cluster_id", seq: str =
     n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = seqs.repartition(n, key).select(key, F.inline(window_counts(k + 1)(F.col(seq))))
     totals = windows.groupBy("edge").agg(F.count("*").alias("all_e"))
-    prefix, suffix = F.shiftright("edge", 2), F.col("edge").bitwiseAND((1 << 2 * k) - 1)
-    wide = lambda t: F.broadcast(t) if k <= BROADCAST_K else t
-    windows = windows.withColumns({"prefix": prefix, "suffix": suffix}).join(wide(totals), "edge")
-    for kind, code in (("prefix", prefix), ("suffix", suffix)):
-        windows = windows.join(wide(totals.groupBy(code.alias(kind)).agg(F.sum("all_e").alias(f"all_{kind[0]}"))), kind)
+    # sums of prefixes and suffixes go to the edges first, of which there are 4^(k + 1) at most, so windows meet one table
+    for kind, code in (("p", F.shiftright("edge", 2)), ("s", F.col("edge").bitwiseAND((1 << 2 * k) - 1))):
+        totals = totals.withColumn(f"all_{kind}", F.sum("all_e").over(Window.partitionBy(code)))
+    windows = windows.join(F.broadcast(totals) if k <= BROADCAST_K else totals, "edge")
     rest = {x: F.greatest(F.col(f"all_{x}") - F.col(x), F.lit(0)) for x in "eps"}
     return windows.select(key, "pos", "edge", ((rest["e"] + 0.5) / (rest["p"] + 2)).alias("forward"), ((rest["e"] + 0.5) / (rest["s"] + 2)).alias("reverse"))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.functions.sequence import boundary_signature, kmer_code, normalize_seq, safe_percent
@@ -135,15 +135,31 @@ def context(clusters: DataFrame, guides: DataFrame, p: Params) -> dict:
     seqs = guides.select("cluster_id", F.col("sequence").alias("seq"))
     reuse = float(kmers.reuse_fraction(seqs).first().fraction)
     k = 11 if reuse >= p.high_reuse else 8
-    trust, accepted = calibrate.choose_trust(calibrate.trust_gains(seqs, k).collect()) if n >= 16 else (0.0, False)
-    phase = p.length * (profile["ins"] + profile["del"])
-    low = phase < p.low_phase
-    high = reuse >= p.high_reuse
-    cross = (0.68 if high else 0.0 if low else 0.50) * trust * p.cross_scale if p.cross_weight is None else p.cross_weight
-    local = (0.0 if high else 0.80 if low else 0.40) if p.local_weight is None else p.local_weight
-    fallback = p.cross_weight is None and not accepted and reuse < 0.10 and p.low_phase <= phase < p.high_phase
+    trusted = calibrate.chosen_trust(calibrate.trust_gains(seqs, k)).first() if n >= 16 else None
+    trust, accepted = (trusted.trust, trusted.accepted) if trusted else (0.0, False)
+    phase = phase_load(profile["ins"], profile["del"], p.length)
     rates = {x: profile[x] for x in ("match", "sub", "ins", "del")}
-    return {"rates": rates, "phase": phase, "total_error": rates["sub"] + rates["ins"] + rates["del"], "reuse": reuse, "k": k, "trust": trust, "accepted": accepted, "cross": 0.0 if p.disable_cross else cross, "local": local, "band": 6 if high or not low else 3, "states": 4 if fallback else 8, "fallback": fallback, "most": 60 if not high and not low else 36, "n": n}
+    one = guides.sparkSession.range(1)
+    own = one.select(*(v.alias(c) for c, v in weights(F.lit(reuse), F.lit(phase), F.lit(accepted), F.lit(trust), p).items())).first()
+    return {"rates": rates, "phase": phase, "total_error": rates["sub"] + rates["ins"] + rates["del"], "reuse": reuse, "trust": trust, "accepted": accepted, "n": n} | own.asDict()
+
+
+def phase_load(insertions, deletions, length: int):
+    """Letters by which a strand is expected to lose its frame."""
+    return length * (insertions + deletions)
+
+
+def weights(reuse: Column, phase: Column, accepted: Column, trust: Column, p: Params) -> dict[str, Column]:
+    """What decoding is set to, from four numbers of the data set.
+
+    fallback: nothing is learned from other clusters, and all are decoded; k of the model; cross and local: weights of the
+    other clusters and of a cluster's own reads; band and states of the trellis; most: reads that it looks at.
+    """
+    high, low = reuse >= p.high_reuse, phase < p.low_phase
+    fallback = F.lit(p.cross_weight is None) & ~accepted & (reuse < 0.10) & ~low & (phase < p.high_phase)
+    cross = F.lit(0.0 if p.disable_cross else p.cross_weight) if p.disable_cross or p.cross_weight is not None else F.when(high, 0.68).when(low, 0.0).otherwise(0.50) * trust * p.cross_scale
+    local = F.lit(p.local_weight) if p.local_weight is not None else F.when(high, 0.0).when(low, 0.80).otherwise(0.40)
+    return {"k": F.when(high, 11).otherwise(8), "cross": cross, "local": local, "band": F.when(high | ~low, 6).otherwise(3), "states": F.when(fallback, 4).otherwise(8), "fallback": fallback, "most": F.when(~high & ~low, 60).otherwise(36)}
 
 
 def route(reads: DataFrame, guides: DataFrame, ctx: dict, p: Params) -> tuple[DataFrame, str]:

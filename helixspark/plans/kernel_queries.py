@@ -43,14 +43,35 @@ def channel_profile(spark, sf):
     return calibrate.channel_profile(pair).select("m", "s", F.round("sub", 9).alias("sub"), F.round("match", 9).alias("match"))
 
 
-@query("cross_trust", C + loo_sql(8) + """, n AS (SELECT count(*) n, least(count(*), 512) m FROM centers), s AS (SELECT CAST(s * n // m + 1 AS BIGINT) cluster_id, s FROM n, LATERAL (SELECT unnest(range(0, m)) s)),
-g AS (SELECT loo.cluster_id, s.s, trust, avg(ln(((1 - trust) * 0.25 + trust * forward) / 0.25) + ln(((1 - trust) * 0.25 + trust * reverse) / 0.25)) g FROM loo JOIN s ON loo.cluster_id = s.cluster_id, (SELECT unnest(range(0, 9)) / 8 trust) GROUP BY ALL)
-SELECT CASE WHEN s % 2 = 0 THEN 'train' ELSE 'validation' END part, trust, count(*) guides, round(avg(g), 6) gain, round(coalesce(stddev_samp(g), 0) / sqrt(count(*)), 6) se FROM g GROUP BY ALL""")
+GAINS = loo_sql(8) + """, n AS (SELECT count(*) n, least(count(*), 512) m FROM centers), s AS (SELECT CAST(s * n // m + 1 AS BIGINT) cluster_id, s FROM n, LATERAL (SELECT unnest(range(0, m)) s)),
+g AS (SELECT loo.cluster_id, s.s, trust, avg(ln(((1 - trust) * 0.25 + trust * forward) / 0.25) + ln(((1 - trust) * 0.25 + trust * reverse) / 0.25)) g FROM loo JOIN s ON loo.cluster_id = s.cluster_id, (SELECT unnest(range(0, 9)) / 8 trust) GROUP BY ALL),
+gains AS (SELECT CASE WHEN s % 2 = 0 THEN 'train' ELSE 'validation' END part, trust, count(*) guides, avg(g) gain, coalesce(stddev_samp(g), 0) / sqrt(count(*)) se FROM g GROUP BY ALL)"""
+
+
+@query("cross_trust", C + GAINS + " SELECT part, trust, guides, round(gain, 6) gain, round(se, 6) se FROM gains")
 def cross_trust(spark, sf):
     seqs = strands(spark, sf).withColumnRenamed("center", "seq")
     return calibrate.trust_gains(seqs, 8).select("part", "trust", "guides", F.round("gain", 6).alias("gain"), F.round("se", 6).alias("se"))
 
 
+@query("choose_trust", C + GAINS + """, best AS (SELECT coalesce(first(trust ORDER BY gain DESC, trust) FILTER (WHERE trust > 0 AND gain > 1e-12), 0) trust FROM gains WHERE part = 'train'),
+ok AS (SELECT best.trust, best.trust > 0 AND guides >= 8 AND gain > greatest(0.005, 2 * se) accepted FROM best LEFT JOIN gains ON part = 'validation' AND gains.trust = best.trust)
+SELECT CAST(CASE WHEN accepted THEN trust ELSE 0 END AS DOUBLE) trust, coalesce(accepted, false) accepted FROM ok""")
+def choose_trust(spark, sf):
+    seqs = strands(spark, sf).withColumnRenamed("center", "seq")
+    return calibrate.chosen_trust(calibrate.trust_gains(seqs, 8))
+
+
+@query("effective_weights", """WITH s AS (SELECT l_orderkey, l_linenumber, l_discount * 10 reuse, l_quantity / 7.0::DOUBLE phase, l_returnflag = 'N' accepted, l_tax * 10 trust FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN reuse >= 0.5 THEN 11 ELSE 8 END AS INT) k, round(CASE WHEN reuse >= 0.5 THEN 0.68 WHEN phase < 3 THEN 0 ELSE 0.5 END * trust, 9) "cross", CAST(CASE WHEN reuse >= 0.5 THEN 0 WHEN phase < 3 THEN 0.8 ELSE 0.4 END AS DOUBLE) "local",
+CAST(CASE WHEN reuse < 0.5 AND phase < 3 THEN 3 ELSE 6 END AS INT) band, CAST(CASE WHEN NOT accepted AND reuse < 0.1 AND phase >= 3 AND phase < 6 THEN 4 ELSE 8 END AS INT) states, NOT accepted AND reuse < 0.1 AND phase >= 3 AND phase < 6 fallback, CAST(CASE WHEN reuse < 0.5 AND phase >= 3 THEN 60 ELSE 36 END AS INT) most FROM s""")
+def effective_weights(spark, sf):
+    """Fallback and weights for each line item, whose numbers stand for those of a data set."""
+    n = F.col
+    found = reconstruct.weights(n("l_discount").cast("double") * 10, n("l_quantity").cast("double") / 7.0, n("l_returnflag") == "N", n("l_tax").cast("double") * 10, reconstruct.Params())
+    return fixture.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *((F.round(v, 9) if c == "cross" else v).alias(c) for c, v in found.items()))
+
+
 @query("anomaly_mixture")
 def anomaly_mixture(spark, sf):
     """Each cluster's score and group, by two means."""

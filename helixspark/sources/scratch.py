@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_tables: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -26,7 +27,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def frozen(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it again, so that later steps see the same rows whatever happens to executors."""
-    path = scratch_path(df.sparkSession, name)
+    """Write a table and read it again, so that later steps see the same rows whatever happens to executors.
+
+    The table is deleted when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if not _tables:
+        atexit.register(_clear, spark)
+    _tables.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return  # the session is gone: the folder's owner clears it
+    for path in _tables:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

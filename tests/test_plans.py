@@ -39,10 +39,16 @@ VALUES = {
 }
 
 
+@pytest.mark.parametrize("small", [0, 1 << 20])
 @pytest.mark.parametrize("name", sorted(VALUES))
-def test_ranks(spark, name):
+def test_ranks(spark, name, small, monkeypatch):
+    """In ranges, and in one where rows are few."""
+    from helixspark.functions import ranges
     from helixspark.operators import routing
 
+    monkeypatch.setattr(ranges, "SMALL", small)
+    monkeypatch.setattr(ranges, "EACH", 4)
+
     rows = list(enumerate(VALUES[name]))
     random.Random(2).shuffle(rows)
     kind = {"longs": "long", "decimals": "decimal(10,2)"}.get(name, "double")
@@ -58,6 +64,36 @@ def test_ranks(spark, name):
     assert routing.global_rank(df.limit(0), "score", "cluster_id").count() == 0 and routing.topk(df.limit(0), 3).count() == 0
 
 
+def test_many_different_values(spark):
+    """More rows than one range has: two million, nearly all different, and a third of them equal."""
+    from helixspark.functions import ranges
+    from helixspark.functions.sequence import dense_index
+    from helixspark.operators import routing
+
+    df = spark.range(2_000_000).select(F.col("id").alias("cluster_id"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double")).alias("score"))
+    sizes = [r["count"] for r in ranges.ranged(df, "score", "g").groupBy("g").count().collect()]
+    assert len(sizes) > 10 and sorted(sizes)[-2] < 400_000
+    ranked = routing.global_rank(df, "score", "cluster_id")
+    assert ranked.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first() == (0, 1_999_999, 2_000_000)
+    assert ranked.where("score = 7.0").agg(F.max("rank") - F.min("rank")).first()[0] == df.where("score = 7.0").count() - 1
+    spaced = df.where("cluster_id % 7 < 2").select((F.col("cluster_id") * 1000 + 5).alias("key"))
+    got = dense_index(spaced, "key", "n").agg(F.min("n"), F.max("n"), F.count_distinct("n"), F.corr("key", "n")).first()
+    assert got[0] == 1 and got[1] == got[2] == spaced.count() and got[3] > 0.999999
+
+
+def test_medoid_of_a_deep_cluster(spark):
+    """A cluster whose pairs come in many parts, beside small ones and one read alone."""
+    from helixspark.operators import clusters
+
+    r = random.Random(12)
+    rows = [(c, i, "".join(r.choices("ACGT", k=r.randint(3, 9)))) for c, n in ((1, 1), (2, 3), (3, 60)) for i in range(n)]
+    got = {x.cluster_id: x for x in clusters.medoid_seed(spark.createDataFrame(rows, "cluster_id long, read_idx int, read string"), 6).collect()}
+    for c in (1, 2, 3):
+        own = [x[2] for x in rows if x[0] == c]
+        cost = [(round(sum(min(0.32, edits(a, b) / max(len(a), len(b))) for j, b in enumerate(own) if j != i) + 0.01 * abs(len(a) - 6), 9), i) for i, a in enumerate(own)]
+        assert (got[c].cost, got[c].seed) == min(cost) and got[c].seed_read == own[got[c].seed]
+
+
 def test_auc_with_ties_and_outlier(spark):
     from helixspark.operators import evaluate
 
