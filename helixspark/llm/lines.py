@@ -91,6 +91,8 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
+    """Windows of two lines, the smallest that ``dedup_lines`` takes: the shortest run that goes has two lines, so two thirds
+    of all lines are fingerprints and a match extends by one neighbour to each side."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "line_stats.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -311,6 +311,27 @@ def test_long_texts(spark, labels, bench):
     assert score_toxicity(docs, labels).count() == 3 and classify_quality(docs, labels).count() == 3
 
 
+def test_long_texts_by_lines_and_tokens(spark):
+    """One text of 2 MB in a single line, one of 60,000 lines, and one of a million equal characters."""
+    from helixspark.llm import decontaminate, lines, packing, rules, tokens
+
+    many = "\n".join(f"line {k} of a long text" for k in range(60_000))
+    one = " ".join(words(250_000, 3, 10**7))
+    docs = table(spark, [(1, many), (2, "first\n" + many), (3, one), (4, "x" * 1_000_000)])
+    got = {r.doc_id: r.line_stats for r in lines.dedup_lines(docs).select("doc_id", "line_stats").collect()}
+    assert [(got[i].n_lines, got[i].n_removed) for i in (1, 2, 3, 4)] == [(60_000, 0), (60_001, 60_000), (1, 0), (1, 0)]
+    pieces = packing.pack(docs).collect()
+    lengths = {i: sum(r.length for r in pieces if r.doc_id == i) for i in (1, 2, 3, 4)}
+    assert all(r.length <= 1024 for r in pieces) and all(sorted((r.start, r.length) for r in pieces if r.doc_id == i)[-1][0] > 1024 for i in (1, 2, 3))
+    hist = {r.length: r.n_docs for r in tokens.length_histogram(docs).collect()}
+    assert sum(hist.values()) == 4 and {n - 1 for n in lengths.values()} == set(hist)  # packing adds an end id
+    kept = {r.doc_id: r.quality for r in rules.cascade(docs).select("doc_id", "quality").collect()}
+    assert kept[3].n_words == 250_000 and kept[4].n_words == 1 and kept[1].n_words == 360_000
+    bench = spark.createDataFrame([("b", " ".join(one.split()[-30:]))], "item_id string, text string")
+    hits = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert len(hits[3].hit_words) == 30 and hits[3].hit_words[-1] == 249_999 and not hits[1].hit_words and hits[4].n_words == 1
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     return pytest.importorskip("corpus_pipeline")
