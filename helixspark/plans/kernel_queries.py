@@ -100,7 +100,7 @@ def counterfactual_model(spark, sf):
     """Guides decoded with the right context, with permuted counts, and with another dataset's strands."""
     reads = fixture.reads(spark, sf)
     clusters, guides = guided(spark, sf)
-    wrong = strands(spark, sf).select("cluster_id", F.reverse("center").alias("sequence"))
+    wrong = fixture.other_strands(spark, sf).select("cluster_id", F.col("center").alias("sequence"))
     out = None
     for name, setting in (("correct", {}), ("permuted", {"permute": 1}), ("wrong", {"other": wrong})):
         r = reconstruct.reconstruct(reads, reconstruct.Params(), guides=guides, **setting)

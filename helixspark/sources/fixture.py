@@ -38,20 +38,28 @@ def stored(spark: SparkSession, key: tuple, make) -> DataFrame:
     return _stored[key]
 
 
-def centers(spark: SparkSession, sf_dir: str, length: int = 110) -> DataFrame:
-    """(cluster_id, doc_id, piece, center): the letters of each whole text in strands of ``length``.
+def strands_of(texts: DataFrame, length: int) -> DataFrame:
+    """(cluster_id, doc_id, piece, center) of texts(doc_id, text): the letters of each whole text in strands of ``length``.
 
     The last strand of a text goes on with the text's letters from its start until it is full; texts without letters have
     no strand.
     """
-    def make():
-        letters = table(spark, sf_dir, "documents").select("doc_id", normalize_seq(F.col("text")).alias("s")).where(F.length("s") > 0)
-        strands = letters.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / length).cast("int"))).alias("piece"))
-        cut = F.rpad(F.substring(F.col("s"), F.col("piece") * length + 1, F.lit(length)), F.lit(length), F.col("s"))
-        key = F.shiftleft(F.col("doc_id").cast("long"), 25) + F.col("piece")  # a text has fewer than 2^25 strands
-        return dense_index(strands.select("doc_id", "piece", cut.alias("center"), key.alias("_key")), "_key", "cluster_id").select("cluster_id", "doc_id", "piece", "center")
-
-    return stored(spark, ("centers", sf_dir, length), make)
+    letters = texts.select("doc_id", normalize_seq(F.col("text")).alias("s")).where(F.length("s") > 0)
+    strands = letters.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / length).cast("int"))).alias("piece"))
+    cut = F.rpad(F.substring(F.col("s"), F.col("piece") * length + 1, F.lit(length)), F.lit(length), F.col("s"))
+    key = F.shiftleft(F.col("doc_id").cast("long"), 25) + F.col("piece")  # a text has fewer than 2^25 strands
+    return dense_index(strands.select("doc_id", "piece", cut.alias("center"), key.alias("_key")), "_key", "cluster_id").select("cluster_id", "doc_id", "piece", "center")
+
+
+def centers(spark: SparkSession, sf_dir: str, length: int = 110) -> DataFrame:
+    """The strands of ``documents``."""
+    return stored(spark, ("centers", sf_dir, length), lambda: strands_of(table(spark, sf_dir, "documents"), length))
+
+
+def other_strands(spark: SparkSession, sf_dir: str, length: int = 110) -> DataFrame:
+    """Strands of another data set: those of the texts of ``conversations``."""
+    number = F.shiftleft(F.col("conv_id").cast("long"), 12) + F.col("turn")
+    return stored(spark, ("other", sf_dir, length), lambda: strands_of(table(spark, sf_dir, "conversations").select(number.alias("doc_id"), "text"), length))
 
 
 def _digit(h: Column, at: int) -> Column:
