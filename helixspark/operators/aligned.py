@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.functions.sequence import read_weight
+
 KEY = "cluster_id"
 #: Log probabilities are whole billionths, so that sums and ties do not depend on the order of additions.
 MICRO = 1e9
+#: Fixed value: the weight of a read whose distance does not matter.
+FULL_VOTE = 256
 
 
 def micro(x: Column) -> Column:
@@ -106,12 +110,27 @@ def channel_counts(aligned: DataFrame, length: int, most: int = 24, delta: int =
     return by.select(KEY, "reads", F.size("r").cast("long").alias("used"), *(F.aggregate(f"r.{x}", F.lit(0).cast("long"), lambda a, v: a + v).alias(x) for x in "msid"))
 
 
-def edit_vectors(aligned: DataFrame) -> DataFrame:
+def _entries(pieces: Column) -> Column:
+    entry = lambda x, i: F.when(i == F.size(pieces) - 1, F.array(_inserted(x, F.lit(True)))).otherwise(F.array(_inserted(x, F.lit(False)), F.replace(F.right(x, F.lit(1)), F.lit("-"), F.lit(""))))
+    return F.flatten(F.transform(pieces, entry))
+
+
+def edit_vectors(aligned: DataFrame, *others: str) -> DataFrame:
     """(cluster_id, read_idx, v): 2m + 1 entries for a reference of m letters; entry 2s is what the read has before letter
-    s, entry 2s + 1 what it has in its place ('' for nothing), the last one what follows."""
-    rows = aligned.select(KEY, "read_idx", _pieces(F.col("ref_row"), F.col("read_row")).alias("p"))
-    entry = lambda x, i: F.when(i == F.size("p") - 1, F.array(_inserted(x, F.lit(True)))).otherwise(F.array(_inserted(x, F.lit(False)), F.replace(F.right(x, F.lit(1)), F.lit("-"), F.lit(""))))
-    return rows.select(KEY, "read_idx", F.flatten(F.transform("p", entry)).alias("v"))
+    s, entry 2s + 1 what it has in its place ('' for nothing), the last one what follows. ``others`` are kept beside them."""
+    rows = aligned.select(KEY, "read_idx", *others, _pieces(F.col("ref_row"), F.col("read_row")).alias("p"))
+    return rows.select(KEY, "read_idx", *others, _entries(F.col("p")).alias("v"))
+
+
+def votes(aligned: DataFrame, length: int, uniform: bool = True, delta: int = 35, reject: float = 0.42) -> DataFrame:
+    """The rows with norm, the normalised distance of each read to its reference, and vote, a read's weight in a consensus:
+    null for reads that are not within ``delta`` of the length or whose distance is over ``reject``."""
+    rows = aligned.select(KEY, "read_idx", "ref_row", "read_row", operations(F.col("ref_row"), F.col("read_row")).alias("ops"))
+    without = lambda x: F.length(F.replace("ops", F.lit(x), F.lit("")))
+    rows = rows.withColumns({"size": without("D"), "norm": without("M") / F.greatest(without("D"), without("I"), F.lit(1))})
+    near = (F.abs(F.col("size") - length) <= delta) & (F.col("norm") <= reject)
+    vote = F.lit(FULL_VOTE) if uniform else read_weight(F.col("norm"))
+    return rows.withColumn("vote", F.when(near, vote)).drop("ops", "size")
 
 
 def conditional_frequencies(aligned: DataFrame) -> DataFrame:

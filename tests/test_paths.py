@@ -232,3 +232,68 @@ def test_banded_distance(spark):
     assert within([long, long, long], ["G" + long[:-2], long[::-1], long], np.array([5, 5, 0])).tolist() == [3, 6, 0]
     df = spark.createDataFrame([("ab", "b", 5), (None, "abc", 1), ("x", "y", None)], "a string, b string, m int")
     assert [r[0] for r in df.select(distance_within(F.col("a"), F.col("b"), F.col("m"))).collect()] == [1, 2, None]
+
+
+def plain_consensus(rows, length, weights, delta=35, reject=0.42):
+    """All ways through the options, for short references."""
+    ref = rows[0][0].replace("-", "")
+    slots, bases, norms, total = defaultdict(Counter), defaultdict(Counter), [], 0
+    for a, b in rows:
+        pairs = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != ("-", "-")]
+        size, edits = sum(y != "-" for _, y in pairs), sum(x != y for x, y in pairs)
+        norm = edits / max(size, len(ref), 1)
+        if abs(size - length) > delta or norm > reject:
+            continue
+        w = weights(norm)
+        norms.append(norm)
+        total += w
+        ins, state = plain_slots(a, b)
+        for i, x in enumerate(ins):
+            slots[i][x[:5]] += w
+        for i, x in enumerate(state):
+            bases[i][x if x in "ACGT" else ""] += w
+    if not norms:
+        return "", 0, 0
+    steps, weak = [], 0
+    for i in range(len(ref) + 1):
+        best = sorted((x for x in slots[i] if x), key=lambda x: (-slots[i][x], len(x), x))[:2]
+        kinds = len({*slots[i], ""})
+        steps.append([(x, micro(math.log((slots[i][x] + 0.35) / (total + 0.35 * kinds)))) for x in ["", *best]])
+        if i < len(ref):
+            weak += max(bases[i][x] for x in "ACGT") / total < 0.72
+            steps.append([(x, micro(math.log((bases[i][x] + 0.35) / (total + 5 * 0.35)))) for x in ("", *"ACGT") if bases[i][x] or x == ref[i]])
+    ways = {("", 0)}
+    for options in steps:
+        ways = {(p + x, s + w) for p, s in ways for x, w in options if len(p + x) <= length}
+    own = [s for p, s in ways if len(p) == length]
+    return (max(own) if own else None), weak, len(norms)
+
+
+@pytest.mark.parametrize("uniform", [True, False])
+@pytest.mark.parametrize("length", [5, 7, 9])
+def test_consensus_pass(spark, uniform, length):
+    from helixspark.functions.sequence import READ_WEIGHT_REST, READ_WEIGHTS
+
+    def weights(norm):
+        return 256 if uniform else next((w for bound, w in READ_WEIGHTS if norm <= bound), READ_WEIGHT_REST)
+
+    rows = [*alignments(seed=3, clusters=8, letters=7, reads=6), (50, 0, "", ""), (51, 0, "--", "AC")]
+    got = {r.cluster_id: r for r in P.consensus_pass(spark.createDataFrame(rows, SCHEMA).repartition(3), length, uniform).collect()}
+    found = by_cluster(rows)
+    assert set(got) == set(found)
+    for c, own in found.items():
+        score, weak, n = plain_consensus(own, length, weights)
+        r = got[c]
+        assert (r.aligned_reads, r.rejected_reads, r.weak_positions) == (n, len(own) - n, weak)
+        if n and score is not None:
+            assert len(r.sequence) == length and r.score == score
+        else:
+            assert r.sequence == "" and r.score is None and r.mean_chosen_conf == 0.0
+
+
+def test_consensus_ties(spark):
+    # two reads, each with another letter at one place: the first letter; each with another insertion: the shorter one first
+    rows = [(1, 0, "AAAA", "ACAA"), (1, 1, "AAAA", "AGAA"), (2, 0, "A-A--A", "ATA--A"), (2, 1, "A-A--A", "A-ACCA")]
+    got = {r.cluster_id: r.sequence for r in P.consensus_pass(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    assert got == {1: "ACAA", 2: "ATAA"}
+    assert P.consensus_pass(spark.createDataFrame([], SCHEMA), 4).count() == 0
