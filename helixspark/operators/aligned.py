@@ -125,12 +125,13 @@ def edit_vectors(aligned: DataFrame, *others: str) -> DataFrame:
 def votes(aligned: DataFrame, length: int, uniform: bool = True, delta: int = 35, reject: float = 0.42) -> DataFrame:
     """The rows with norm, the normalised distance of each read to its reference, and vote, a read's weight in a consensus:
     null for reads that are not within ``delta`` of the length or whose distance is over ``reject``."""
-    rows = aligned.select(KEY, "read_idx", "ref_row", "read_row", operations(F.col("ref_row"), F.col("read_row")).alias("ops"))
-    without = lambda x: F.length(F.replace("ops", F.lit(x), F.lit("")))
-    rows = rows.withColumns({"size": without("D"), "norm": without("M") / F.greatest(without("D"), without("I"), F.lit(1))})
+    without = lambda o, x: F.length(F.replace(o, F.lit(x), F.lit("")))
+    sizes = lambda o: F.struct(without(o, "D").alias("size"), (without(o, "M") / F.greatest(without(o, "D"), without(o, "I"), F.lit(1))).alias("norm"))
+    # a generator, so that operations are found once a read and not for each condition
+    rows = aligned.select(KEY, "read_idx", "ref_row", "read_row", F.inline(F.transform(F.array(operations(F.col("ref_row"), F.col("read_row"))), sizes)))
     near = (F.abs(F.col("size") - length) <= delta) & (F.col("norm") <= reject)
     vote = F.lit(FULL_VOTE) if uniform else read_weight(F.col("norm"))
-    return rows.withColumn("vote", F.when(near, vote)).drop("ops", "size")
+    return rows.withColumn("vote", F.when(near, vote)).drop("size")
 
 
 def conditional_frequencies(aligned: DataFrame) -> DataFrame:
