@@ -197,3 +197,16 @@ def test_adaptive_route_follows_its_fractions(spark):
     for p, n, name in ((Params(), 40, "adaptive-bimodal-anomaly"), (Params(most_fraction=0.3), 30, "adaptive-bimodal-anomaly"), (Params(separation=1e9), 10, "sparse-10pct-fallback"), (Params(separation=1e9, least_fraction=0.05), 5, "sparse-5pct-fallback")):
         routed, got = decide(rows, ctx, p)
         assert got == name and routed.where("joint_active").count() == n
+
+
+def test_supports_are_not_broadcast(spark):
+    """Windows and supports of sequences whose files are small meet by an exchange of both, however small they look."""
+    from helixspark.operators import kmers
+
+    seqs = spark.createDataFrame([(1, "ACGTACGTACGTACGT"), (2, "TTACGTACGTACGTTT"), (3, "ACG"), (4, "GGGGGGGGGGGGGGG")], "cluster_id long, seq string")
+    by, whole = kmers.reuse_by_sequence(seqs, 12), kmers.reuse_fraction(seqs, 12)
+    assert sorted(map(tuple, by.collect())) == [(1, 5, 3), (2, 5, 2), (4, 4, 0)]
+    assert tuple(whole.first())[:2] == (14, 5)
+    for df in (by, whole):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
