@@ -55,3 +55,16 @@ def test_strands_of(spark):
         s = "".join(c for c in t or "" if c in "ACGTacgt").upper()
         want += [(d, p // 110, (s[p : p + 110] + s * 110)[:110]) for p in range(0, len(s), 110)]
     assert [(r.doc_id, r.piece, r.center) for r in got] == want and [r.cluster_id for r in got] == list(range(1, len(want) + 1))
+
+
+def test_alignments_are_dealt(spark):
+    """Clusters that a join left in one partition are aligned by several tasks, pairs of several clusters together."""
+    from helixspark.operators import reconstruct
+
+    rows = [(c, ["ACGTACGT"[: c % 9], "ACGGT"], "ACGTACG" + "T" * (c % 3)) for c in range(300)]
+    out = reconstruct.alignments(spark.createDataFrame(rows, "cluster_id long, reads array<string>, center string").coalesce(1))
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1 and len(got) == 600
+    for r in got:
+        assert r.ref_row.replace("-", "") == rows[r.cluster_id][2] and r.read_row.replace("-", "") == rows[r.cluster_id][1][r.read_idx]
+        assert r.distance == sum(x != y for x, y in zip(r.ref_row, r.read_row, strict=True))

@@ -135,3 +135,36 @@ def test_stream(spark, tmp_path):
     stream_guides(spark, str(tmp_path / "in/*"), str(tmp_path / "out"), str(tmp_path / "state"), 110).awaitTermination()
     got = {x.cluster_id: x.sequence for x in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == dict(enumerate(strands))
+
+
+def test_boundaries_of_several_rows():
+    """Rows of different lengths, with reads of none, one and many letters, against each insertion tried on its own."""
+    import random
+
+    from helixspark.operators.kernels.decode import boundaries
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            diag, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    left, right, rows = "ACG", "TG", []
+    for k in range(24):
+        true = left + "".join(rng.choice("ACGT") for _ in range(rng.choice((6, 9)))) + right
+        gone = rng.randrange(3, len(true) - 2)
+        guide = "T" + true[:gone] + true[gone + 1 :]
+        reads = [true[: rng.randrange(len(true) + 1)] if rng.random() < 0.4 else true for _ in range(rng.randrange(5))]
+        rows.append((guide, reads if k else ["", "A"], rng.choice((0, len(guide) - 1))))
+    want = []
+    for guide, reads, position in rows:
+        short = guide[:position] + guide[position + 1 :]
+        options = [short[:p] + b + short[p:] for p in range(3, min(len(guide) - 1, len(short) + 1)) for b in "ACGT"]
+        best = min(options, key=lambda o: sum(distance(o, r) for r in reads))
+        gain = sum(distance(guide, r) - distance(best, r) for r in reads) + (3 if position == 0 else 2)
+        want.append(best if reads and best != guide and gain > 0 else guide)
+    assert boundaries(rows, left, right) == want
+    assert [boundaries([row], left, right)[0] for row in rows] == want
