@@ -68,3 +68,17 @@ def test_alignments_are_dealt(spark):
     for r in got:
         assert r.ref_row.replace("-", "") == rows[r.cluster_id][2] and r.read_row.replace("-", "") == rows[r.cluster_id][1][r.read_idx]
         assert r.distance == sum(x != y for x, y in zip(r.ref_row, r.read_row, strict=True))
+
+
+def test_centrality_and_least_k(spark):
+    """Short, empty and repetitive reads; neither query explodes k-mers or runs over letters in an expression."""
+    from helixspark.operators import baselines, clusters
+
+    reads = {1: ["ACGTACGTAC", "ACGTACGTCC", "ACG"], 2: [""], 3: ["A" * 80], 4: ["ACGTTGCA", "ACGTTGCA"]}
+    df = spark.createDataFrame([(c, i, r) for c, x in reads.items() for i, r in enumerate(x)], "cluster_id long, read_idx int, read string")
+    seeds, sizes = clusters.centrality_seed(df, 10), baselines.select_k(df)
+    assert sorted((r.cluster_id, r.seed, r.score) for r in seeds.collect()) == [(1, 0, 2.0), (2, 0, -0.55), (3, 0, -2.85), (4, 0, 1.89)]
+    assert dict(map(tuple, sizes.select("cluster_id", "k").collect())) == {1: 8, 2: 5, 3: 64, 4: 5}
+    for made in (seeds, sizes):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "aggregate(" not in plan
