@@ -82,3 +82,21 @@ def test_centrality_and_least_k(spark):
     for made in (seeds, sizes):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "aggregate(" not in plan
+
+
+def test_clusters_are_drawn_in_rows(spark, monkeypatch):
+    """A cluster's row has the reads that are drawn one by one; strands are numbered over many ranges, without a window over them."""
+    strands = {1: "ACGT" * 30, 2: "A", 5: "", 12345678901: "TTGCA" * 9}
+    df = spark.createDataFrame(list(strands.items()), "cluster_id long, center string")
+    channel, copies = fixture.Channel(9000, 9000, 9000), F.when(F.col("cluster_id") == 2, 0).otherwise(F.col("cluster_id") % 4 + 1)
+    for aligned, one in ((False, fixture.simulate_reads), (True, fixture.simulate_aligned)):
+        rows = fixture.simulate_clusters(df, copies, channel, aligned)
+        assert rows.count() == 4 and rows.where("size(r) > 1 and r[1].read_idx <> 1").count() == 0
+        got, want = (sorted(map(tuple, x.collect())) for x in (rows.select("cluster_id", F.inline("r")), one(df.where("cluster_id <> 2"), copies, channel)))
+        assert got == want
+    texts = spark.range(3000).select((F.col("id") * 977 - 5000).alias("doc_id"), F.repeat(F.lit("ACGTA"), (F.col("id") * 31 % 90).cast("int")).alias("text"))
+    made = fixture.strands_of(texts, 110)
+    assert "center" not in "".join(x for x in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x)
+    got = [(r.doc_id, r.piece) for r in made.orderBy("cluster_id").collect()]
+    assert got == sorted(got) and len(got) == sum(-(-(i * 31 % 90) * 5 // 110) for i in range(3000))
+    assert made.agg(F.min("cluster_id"), F.max("cluster_id"), F.count_distinct("cluster_id")).first() == (1, len(got), len(got))
