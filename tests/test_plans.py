@@ -210,3 +210,29 @@ def test_supports_are_not_broadcast(spark):
     for df in (by, whole):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_ranks_within_clusters(spark):
+    """Samples, copies, budgets and cores of rows that are together need no exchange, and are those of loose reads."""
+    from helixspark.operators import clusters, routing
+
+    r = random.Random(3)
+    rows = [(c, i, "".join(r.choices("ACGT", k=r.randint(3, 30)))) for c, n in ((1, 1), (2, 2), (3, 12), (4, 40), (5, 5)) for i in range(n)]
+    loose = spark.createDataFrame(rows, "cluster_id long, read_idx int, read string").repartition(3)
+    stored = spark.createDataFrame(clusters.together(loose).collect(), "cluster_id long, r array<struct<read_idx:int,read:string>>")
+    ways = {
+        "nested": lambda d: routing.nested_samples(d, [1, 2], [2, 5]),
+        "budget": lambda d: routing.context_budget(d, 6, 60),
+        "copies": lambda d: clusters.max_copies(d, 3, 1),
+        "core": lambda d: clusters.coherent_core(clusters.with_seeds(d, 20)),
+    }
+    for name, f in ways.items():
+        made = f(stored)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString(), name
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, f(loose).collect())), name
+    core = clusters.coherent_core(loose, clusters.medoid_seed(loose, 20))
+    assert sorted(map(tuple, core.collect())) == sorted(map(tuple, ways["core"](stored).collect()))
+    samples = routing.nested_samples(stored, [1, 2], [2, 5, 4])
+    gone = samples.where("not (coverage = 4 and rank = 1 and cluster_id = 3) and not (coverage = 5 and seed = 2)")
+    assert sorted(map(tuple, routing.nested_violations(samples).collect())) == [(s, a, b, 0) for s in (1, 2) for a, b in ((2, 4), (4, 5))]
+    assert sorted(map(tuple, routing.nested_violations(gone).collect())) == [(1, 2, 4, 1), (1, 4, 5, 0), (2, 2, 4, 1), (2, 4, 5, 11)]
