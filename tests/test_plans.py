@@ -236,3 +236,21 @@ def test_ranks_within_clusters(spark):
     gone = samples.where("not (coverage = 4 and rank = 1 and cluster_id = 3) and not (coverage = 5 and seed = 2)")
     assert sorted(map(tuple, routing.nested_violations(samples).collect())) == [(s, a, b, 0) for s in (1, 2) for a, b in ((2, 4), (4, 5))]
     assert sorted(map(tuple, routing.nested_violations(gone).collect())) == [(1, 2, 4, 1), (1, 4, 5, 0), (2, 2, 4, 1), (2, 4, 5, 11)]
+
+
+def test_leave_one_out_in_batches(spark):
+    """Chances and scores from broadcast counts are those of the exchange, windows of other letters left out; windows meet no join."""
+    from helixspark.operators import kmers
+
+    r = random.Random(4)
+    seqs = {c: "".join(r.choices("ACGT", k=n)) for c, n in enumerate((0, 2, 3, 5, 30, 30, 41, 110))} | {20: "ACGNACGTTACG", 21: "ACGT" * 20}
+    guides = spark.createDataFrame(list(seqs.items()), "cluster_id long, seq string")
+    reads = spark.createDataFrame([(c, i, s[i : i + 25]) for c, s in seqs.items() for i in range(3) if c != 5], "cluster_id long, read_idx int, read string")
+    made = kmers.loo_transitions(guides, 2)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    found = []
+    for most in (9, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(kmers, "BROADCAST_K", most)
+            found.append([sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in d.collect()) for d in (kmers.loo_transitions(guides, 2), kmers.anomaly_scores(guides, reads, 2, top=7))])
+    assert found[0] == found[1] and len(found[0][1]) == 8 and len(found[0][0]) > 200
