@@ -254,3 +254,33 @@ def test_leave_one_out_in_batches(spark):
             m.setattr(kmers, "BROADCAST_K", most)
             found.append([sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in d.collect()) for d in (kmers.loo_transitions(guides, 2), kmers.anomaly_scores(guides, reads, 2, top=7))])
     assert found[0] == found[1] and len(found[0][1]) == 8 and len(found[0][0]) > 200
+
+
+def test_evidence_and_choices_within_rows(spark):
+    """Windows are added up without being rows, letters beyond four, short and missing reads included; guesses need no exchange."""
+    from collections import Counter
+
+    from helixspark.operators import clusters, kmers, paths
+
+    r = random.Random(5)
+    reads = {c: ["".join(r.choices("ACGT" + "Né漢" * (c % 2), k=r.choice((0, 2, 3, 4, 12, 15, 90)))) for _ in range(c % 7 + 1)] for c in range(150)}
+    reads[7] += [None, ""]
+    df = spark.createDataFrame([(c, i, x) for c, xs in reads.items() for i, x in enumerate(xs)], "cluster_id long, read_idx int, read string")
+    for k, layers in ((3, 10), (20, 30)):
+        want = Counter()
+        for c, xs in reads.items():
+            for x in (x or "" for x in xs):
+                for p in range(len(x) - k + 1):
+                    at = int(p * (layers - 1) / max(len(x) - k, 1) + 0.5)
+                    for d in range(-2, 3):
+                        if 0 <= at + d < layers:
+                            want[c, at + d, x[p : p + k]] += 3 - abs(d)
+        for rows in (df, clusters.together(df)):
+            made = kmers.positional_kmers(rows, layers + k - 1, k)
+            assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+            assert {(x.cluster_id, x.layer, x.kmer): x.evidence for x in made.collect()} == want and made.count() == len(want)
+    full = clusters.together(df.where("cluster_id <> 7"))
+    guesses = [(F.array_max("r.read"), 2.0), (F.array_min("r.read"), 3.0), (F.array_min("r.read"), 1.0)]
+    loose = full.select("cluster_id", F.explode(F.array(*(F.struct(g.alias("guess"), F.lit(s).alias("score")) for g, s in guesses))).alias("x")).select("cluster_id", "x.*")
+    want = paths.least_sum_choice(loose, clusters.guess_distances(loose, df.where("cluster_id <> 7")))
+    assert sorted(map(tuple, paths.least_sum_in_rows(full, guesses).collect())) == sorted(map(tuple, want.collect()))
