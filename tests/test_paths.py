@@ -136,6 +136,27 @@ def test_frequencies_and_paths(spark):
     assert P.exact_length_path(edges.limit(0), 4).count() == P.heaviest_path(edges.limit(0)).count() == 0
 
 
+def whole_clusters(spark, rows):
+    """Rows (cluster_id, r), as clusters are stored."""
+    own = defaultdict(list)
+    for c, i, a, b in rows:
+        own[c].append((i, a, b))
+    return spark.createDataFrame(list(own.items()), "cluster_id long, r array<struct<read_idx:int,ref_row:string,read_row:string>>")
+
+
+def test_frequencies_of_whole_clusters(spark):
+    """Entries of stored clusters are neither rows nor exchanged; clusters may be deep, and rows missing or of no letters."""
+    rows = [*alignments(seed=5, clusters=150, letters=9), *((200, i, "AC-G", "A-TG" if i % 3 else "ACTG") for i in range(900)), (201, 0, None, "A"), (201, 1, "AA", "AC"), (202, 0, "", ""), (203, 0, "--", "AC")]
+    edges = A.conditional_frequencies(whole_clusters(spark, rows))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {(r.cluster_id, r.slot, r.a, r.b): (r.n, r.total) for r in edges.collect()}
+    want = plain_edges([r for r in rows if r[2] is not None])
+    assert got == {(c, s, *k): v for c, e in want.items() for s, own in e.items() for k, v in own.items()}
+    assert got[200, 4, "T", "G"] == (900, 900) and got[200, 2, "", "C"] == (300, 900)
+    assert A.conditional_frequencies(whole_clusters(spark, rows).limit(0)).count() == 0
+
+
 def test_phase_chain(spark):
     rng, evidence = random.Random(3), {}
     for c in range(12):
