@@ -318,3 +318,15 @@ def test_consensus_ties(spark):
     got = {r.cluster_id: r.sequence for r in P.consensus_pass(spark.createDataFrame(rows, SCHEMA), 4).collect()}
     assert got == {1: "ACAA", 2: "ATAA"}
     assert P.consensus_pass(spark.createDataFrame([], SCHEMA), 4).count() == 0
+
+
+def test_consensus_of_whole_clusters(spark):
+    """Votes of stored clusters are neither rows nor exchanged, and give what loose reads give."""
+    rows = [*alignments(seed=8, clusters=140, letters=8, reads=7), *((200, i, "AC-G", "A-TG" if i % 3 else "ACTG") for i in range(400)), (201, 0, "", "")]
+    by = P.consensus_pass(whole_clusters(spark, rows), 8)
+    plan = by._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    plain = lambda df: sorted(tuple(-1 if x is None else x for x in r[:-1]) + (round(r[-1], 9),) for r in df.collect())
+    assert plain(by) == plain(P.consensus_pass(spark.createDataFrame(rows, SCHEMA).repartition(3), 8)) and by.count() == 142
+    missing = P.consensus_pass(whole_clusters(spark, [(1, 0, "ACG", "ACG"), (1, 1, None, "A")]), 3).first()
+    assert (missing.sequence, missing.aligned_reads, missing.rejected_reads) == ("ACG", 1, 1)
