@@ -330,3 +330,30 @@ def test_consensus_of_whole_clusters(spark):
     assert plain(by) == plain(P.consensus_pass(spark.createDataFrame(rows, SCHEMA).repartition(3), 8)) and by.count() == 142
     missing = P.consensus_pass(whole_clusters(spark, [(1, 0, "ACG", "ACG"), (1, 1, None, "A")]), 3).first()
     assert (missing.sequence, missing.aligned_reads, missing.rejected_reads) == ("ACG", 1, 1)
+
+
+def test_beam_of_whole_clusters(spark):
+    """K-mers of stored clusters are neither rows nor exchanged; clusters of several k, and one whose beams end early."""
+    from helixspark.operators.baselines import least_k
+
+    rng, own = random.Random(9), {}
+    for c in range(300):
+        center = "".join(rng.choices("ACGT", k=30))
+        own[c] = [(i, "".join("" if rng.random() < 0.05 else x for x in center)) for i in range(1 + c % 5)]
+    own[400], own[401] = [(0, "ACG"), (1, None)], [(0, "A" * 300), (1, "")]
+    df = spark.createDataFrame(list(own.items()), "cluster_id long, r array<struct<read_idx:int,read:string>>")
+    by = P.beam_consensus(df, least_k(F.col("r.read")), 30)
+    plan = by._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    found = {r.cluster_id: r for r in by.collect()}
+    assert set(found) == set(own) and found[400].k == 64 and found[401].k == 64
+    for c in range(0, 300, 5):  # one read of no errors, or of a few letters less
+        (read,) = (r for _, r in own[c])
+        repeat = max((n for n in range(len(read)) if len({read[i : i + n] for i in range(len(read) - n + 1)}) < len(read) - n + 1), default=0)
+        assert found[c].k == max(repeat + 1, 4) + 1
+        assert found[c].sequence == read
+    loose = df.select("cluster_id", F.inline("r"))
+    from helixspark.operators.baselines import select_k
+
+    again = {r.cluster_id: r for r in P.beam_consensus(loose, select_k(loose), 30).collect()}
+    assert {c: r[:4] for c, r in again.items()} == {c: r[:4] for c, r in found.items()}
