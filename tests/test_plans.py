@@ -284,3 +284,22 @@ def test_evidence_and_choices_within_rows(spark):
     loose = full.select("cluster_id", F.explode(F.array(*(F.struct(g.alias("guess"), F.lit(s).alias("score")) for g, s in guesses))).alias("x")).select("cluster_id", "x.*")
     want = paths.least_sum_choice(loose, clusters.guess_distances(loose, df.where("cluster_id <> 7")))
     assert sorted(map(tuple, paths.least_sum_in_rows(full, guesses).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_kmers_are_counted_before_they_are_rows(spark):
+    """Counts by code in batches, and texts for other letters and long k-mers; windows never meet their supports."""
+    from collections import Counter
+
+    from helixspark.operators import kmers
+
+    seqs = ["ACGTACGTAC", "ACGTA", "", "AC", "ACGNNACGTA", "acgta", "éACGTACGT", "ACGTACGTAC" * 5] + [None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "cluster_id long, seq string").repartition(3)
+    for k in (1, 4, 12, 24, 30):
+        own = [[x[i : i + k] for i in range(len(x) - k + 1)] for x in seqs if x]
+        n, s = Counter(w for x in own for w in x), Counter(w for x in own for w in set(x))
+        assert {r.kmer: (r.n, r.sequences) for r in kmers.kmer_counts(df, k).collect()} == {w: (n[w], s[w]) for w in n}
+        assert {r.kmer: r.support for r in kmers.support(df, k).collect()} == dict(s)
+        row = kmers.reuse_fraction(df, k).first()
+        assert (row.windows, row.shared) == (sum(n.values()), sum(v for w, v in n.items() if s[w] > 1))
+    plan = kmers.reuse_fraction(df, 12)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
