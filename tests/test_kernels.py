@@ -168,3 +168,40 @@ def test_boundaries_of_several_rows():
         want.append(best if reads and best != guide and gain > 0 else guide)
     assert boundaries(rows, left, right) == want
     assert [boundaries([row], left, right)[0] for row in rows] == want
+
+
+def test_distances_of_many_letters_and_lengths():
+    """Words of a column at their borders, chunks of any size, and sums that are taken where a string ends."""
+    import numpy as np
+    import pyarrow as pa
+
+    import helixspark.functions.distance as D
+
+    rng = random.Random(12)
+    texts = ["", "A", "A" * 63, "A" * 64, "C" * 65, "G" * 128, "é🦆x"] + ["".join(rng.choices("ACGTN", k=rng.randint(0, 140))) for _ in range(25)]
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    want = [plain(texts[a], texts[b]) for a, b in zip(i, j, strict=True)]
+    assert D.distances(pa.array(texts), i, j).tolist() == want
+
+
+def test_space_of_distances_follows_a_chunk(monkeypatch):
+    """Long strings take small chunks, whatever the number of pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    import helixspark.functions.distance as D
+
+    sizes = []
+    monkeypatch.setattr(D, "_columns", lambda *x: sizes.append(len(x[-1])) or np.zeros(len(x[-1])))
+    same = np.zeros(3000, np.int64)
+    D.distances(pa.array(["ACGT" * 5000]), same, same)
+    assert sum(sizes) == 3000 and max(sizes) * 20000 <= D._CELLS
