@@ -44,3 +44,33 @@ def test_histogram_takes_distances_within_rows(spark):
     from helixspark import catalog
 
     assert "levenshtein" not in plan(catalog.queries()["ed_histogram"](spark, "/root/testdata/sf0.001"))
+
+
+def test_alignments_of_many_pairs(spark, monkeypatch):
+    """Rows of batches are those of the steps one by one, for words at their borders, small chunks and letters of any kind."""
+    import numpy as np
+    import pyarrow as pa
+
+    from helixspark.operators.kernels import align as A
+    from helixspark.operators.reconstruct import alignments
+
+    r, pairs = random.Random(2), [("", ""), ("A", ""), ("", "AC")]
+    for n in (1, 3, 10, 63, 64, 65, 110, 130):
+        for p in (0.0, 0.05, 0.3, 1.0):
+            ref = "".join(r.choices("ACGT"[: r.choice((2, 4))], k=n))
+            pairs += [(ref, "".join("" if r.random() < p else x if r.random() > p else r.choice("ACGTN") + "A" * (r.random() < 0.3) for x in ref)) for _ in range(4)]
+    _, steps = A.align([a for a, _ in pairs], [b for _, b in pairs])
+    want = [A.left_normalize(*A.rows(a, b, s)) for (a, b), s in zip(pairs, steps, strict=True)]
+    both, i = pa.array([a for a, _ in pairs] + [b for _, b in pairs]), np.arange(len(pairs))
+    for space in (1, 1 << 24):
+        monkeypatch.setattr(A, "_SPACE", space)
+        found = [(part, x, y, letters) for part, _, x, y, letters in A.gapped(both, i, i + len(pairs))]
+        assert len(found) == (len(pairs) if space == 1 else 1)
+        assert [v for _, x, y, letters in found for v in zip(A.texts(x, letters).to_pylist(), A.texts(y, letters).to_pylist(), strict=True)] == want
+    df = spark.createDataFrame([(k, [b, a, "é🦆" + b], a) for k, (a, b) in enumerate(pairs)], "cluster_id long, reads array<string>, center string")
+    rows = alignments(df).collect()
+    assert {(x.cluster_id, x.ref_row, x.read_row) for x in rows if x.read_idx == 0} == {(k, *w) for k, w in enumerate(want)}
+    assert all(x.read_row.replace("-", "") == df_reads and x.distance == sum(a != b for a, b in zip(x.ref_row, x.read_row, strict=True)) for x in rows for df_reads in [[pairs[x.cluster_id][1], pairs[x.cluster_id][0], "é🦆" + pairs[x.cluster_id][1]][x.read_idx]])
+    counts = {(x.cluster_id, x.read_idx): tuple(x[2:]) for x in alignments(df, counts=True).collect()}
+    kind = lambda a, b: "i" if a == "-" else "d" if b == "-" else "m" if a == b else "s"
+    assert counts == {(x.cluster_id, x.read_idx): tuple("".join(map(kind, x.ref_row, x.read_row)).count(k) for k in "msid") for x in rows}
