@@ -74,3 +74,21 @@ def test_alignments_of_many_pairs(spark, monkeypatch):
     counts = {(x.cluster_id, x.read_idx): tuple(x[2:]) for x in alignments(df, counts=True).collect()}
     kind = lambda a, b: "i" if a == "-" else "d" if b == "-" else "m" if a == b else "s"
     assert counts == {(x.cluster_id, x.read_idx): tuple("".join(map(kind, x.ref_row, x.read_row)).count(k) for k in "msid") for x in rows}
+
+
+def test_guides_of_many_clusters_together():
+    """Guides of a batch are those one by one: clusters of none, one, few, many and deep reads, and other letters."""
+    from helixspark.operators.kernels import guide
+
+    r, raw = random.Random(3), []
+    for n in (0, 1, 2, 3, 4, 5, 9, 16, 20, 21, 30, 45):
+        c = "".join(r.choices("ACGT", k=110))
+        raw.append(["".join("" if r.random() < 0.03 else x if r.random() > 0.03 else r.choice("ACGT") for x in c) for _ in range(n)])
+    raw += [["", "NN"], ["acgtN" * 22, "ACGT" * 27], ["A"], ["A" * 300, "ACGT"]]
+    got = guide.local_guides(raw, 110)
+    assert got == [guide.local_guide(x, 110) for x in raw]
+    assert [len(g["sequence"]) for g in got] == [110 if guide.cleaned(x) else 0 for x in raw]
+    assert [g["seed_read_index"] for g in got][:2] == [-1, 0] and [g["num_reads"] for g in got][12:] == [0, 2, 1, 2]
+    # of letters that as many reads have the first one counts
+    tie = guide.local_guides([["ACGT" * 10 + "C" + "ACGT" * 10, "ACGT" * 10 + "G" + "ACGT" * 10]], 81)[0]
+    assert tie["sequence"] == "ACGT" * 10 + "C" + "ACGT" * 10 and tie["weak_positions"] == 1
