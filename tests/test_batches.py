@@ -92,3 +92,16 @@ def test_guides_of_many_clusters_together():
     # of letters that as many reads have the first one counts
     tie = guide.local_guides([["ACGT" * 10 + "C" + "ACGT" * 10, "ACGT" * 10 + "G" + "ACGT" * 10]], 81)[0]
     assert tie["sequence"] == "ACGT" * 10 + "C" + "ACGT" * 10 and tie["weak_positions"] == 1
+
+
+def test_traces_of_many_clusters_together():
+    """Posteriors of a batch are those one by one: traces off the diagonal, clusters of none, and strands that come back."""
+    from helixspark.operators.kernels.baselines import trace_posteriors
+
+    r = random.Random(4)
+    strands = ["".join(r.choices("ACGT", k=110)) for _ in range(6)]
+    rows = [["".join("" if r.random() < 0.02 else x for x in c) for _ in range(9)] for c in strands]
+    rows += [[], [""], ["A"], ["ACGT" * 40, "ACGT" * 27], [strands[0][:94], strands[0][:95], strands[0] + "A" * 17]]
+    got = trace_posteriors(rows, 110)
+    assert got == [trace_posteriors([x], 110)[0] for x in rows] and got[:6] == strands
+    assert [len(x) for x in got[6:]] == [0, 0, 110, 110, 110]
