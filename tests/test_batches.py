@@ -105,3 +105,53 @@ def test_traces_of_many_clusters_together():
     got = trace_posteriors(rows, 110)
     assert got == [trace_posteriors([x], 110)[0] for x in rows] and got[:6] == strands
     assert [len(x) for x in got[6:]] == [0, 0, 110, 110, 110]
+
+
+def stored(spark, own, kind):
+    return spark.createDataFrame(list(own.items()), f"cluster_id long, r array<struct<read_idx:int,{kind}>>")
+
+
+def test_chains_within_rows(spark):
+    """Chains of reads are those of evidence and edges as rows; nothing is exploded or exchanged for stored clusters."""
+    from helixspark.operators import aligned, kmers, paths
+
+    r, reads, pairs = random.Random(5), {}, {}
+    for c in range(300):
+        ref = "".join(r.choices("ACGT"[: 2 + c % 3], k=c % 12))
+        reads[c] = [(i, "".join("" if r.random() < 0.1 else x for x in ref * 2)) for i in range(c % 9 + 1)]
+        pairs[c] = []
+        for i in range(c % 9 + 1):
+            x = y = ""
+            for letter in [*ref, ""]:
+                more = "".join(r.choices("ACN", k=r.choice((1, 2, 25)))) if r.random() < 0.15 else ""
+                x, y = x + "-" * len(more) + letter, y + more + (r.choice((letter, letter, letter, "-", "G")) if letter else "")
+            pairs[c].append((i, x, y))
+    evidence = kmers.positional_kmers(stored(spark, reads, "read:string"), 14, 3)
+    found = paths.phase_chain_of_reads(stored(spark, reads, "read:string"), 14, 3)
+    assert "Exchange" not in plan(found) and "Generate" not in plan(found)
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, paths.phase_chain(evidence.repartition(3), 12).collect())) and len(got) > 100
+    rows = stored(spark, pairs, "ref_row:string,read_row:string")
+    edges = aligned.conditional_frequencies(rows).repartition(3).persist()
+    both = paths.paths_of_reads(rows, {"heaviest": None, "exact": 9})
+    assert "Exchange" not in plan(both) and "Generate" not in plan(both)
+    both = both.collect()
+    for name, whole in (("heaviest", paths.heaviest_path(edges)), ("exact", paths.exact_length_path(edges, 9))):
+        got = sorted((x.cluster_id, x[name], x[f"{name}_score"]) for x in both if x[name] is not None)
+        assert got == sorted(map(tuple, whole.collect())) and len(got) > 50
+    # equal costs at each of two places: the first in A to Z counts, whole paths being compared
+    tie = {1: [(0, "AAA", "ACA"), (1, "AAA", "AGA"), (2, "AAA", "A-A")], 2: [(0, "-AG", "CAG"), (1, "A-G", "AAG")]}
+    assert sorted(tuple(x) for x in paths.paths_of_reads(stored(spark, tie, "ref_row:string,read_row:string"), {"path": None}).select("cluster_id", "path").collect()) == [(1, "AA"), (2, "AAG")]
+
+
+def test_guesses_of_least_sum_need_no_exchange(spark):
+    from helixspark.operators.baselines import frequency_consensus
+
+    r, own = random.Random(6), {}
+    for c in range(40):
+        x = "".join(r.choices("ACGT", k=60))
+        own[c] = [(i, "".join("" if r.random() < 0.03 else b for b in x)) for i in range(1 + c % 11)]
+    made = frequency_consensus(stored(spark, own, "read:string"), 60)
+    assert "Exchange" not in plan(made)
+    loose = spark.createDataFrame([(c, i, x) for c, xs in own.items() for i, x in xs], "cluster_id long, read_idx int, read string")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, frequency_consensus(loose.repartition(3), 60).collect()))
