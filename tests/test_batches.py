@@ -155,3 +155,44 @@ def test_guesses_of_least_sum_need_no_exchange(spark):
     assert "Exchange" not in plan(made)
     loose = spark.createDataFrame([(c, i, x) for c, xs in own.items() for i, x in xs], "cluster_id long, read_idx int, read string")
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, frequency_consensus(loose.repartition(3), 60).collect()))
+
+
+def test_counts_within_rows(spark):
+    """Pileups, insertions and windows of stored clusters are neither rows nor exchanged, and are those of loose reads and of
+    plain code: letters of any kind, missing reads and clusters of no letters."""
+    from collections import Counter
+
+    from helixspark.operators import aligned, kmers, paths
+
+    r, pairs, reads = random.Random(7), {}, {}
+    for c in range(150):
+        ref = "".join(r.choices("ACGT", k=c % 9))
+        pairs[c] = []
+        for i in range(c % 8 + 1):
+            x = y = ""
+            for letter in [*ref, ""]:
+                more = "".join(r.choices("AC漢", k=r.choice((1, 2, 7)))) if r.random() < 0.3 else ""
+                x, y = x + "-" * len(more) + letter, y + more + (r.choice((letter, "-", "N")) if letter else "")
+            pairs[c].append((i, x, y))
+        reads[c] = [(i, y.replace("-", "")) for i, _, y in pairs[c]]
+    reads[7].append((99, None))
+    pairs[7].append((99, None, "A"))
+    rows, own = stored(spark, pairs, "ref_row:string,read_row:string"), stored(spark, reads, "read:string")
+    loose, read_rows = (d.select("cluster_id", F.inline("r")).repartition(3) for d in (rows, own))
+    ways = {
+        "pileup": (aligned.pileup(rows), aligned.pileup(loose)),
+        "options": (aligned.options_of_reads(rows), aligned.insertion_options(aligned.insertions(loose))),
+        "local": (kmers.local_markov(own, 2), kmers.local_markov(read_rows, 2)),
+        "profile": (paths.bbs_profile(own, 3), paths.bbs_profile(read_rows, 3)),
+    }
+    for name, (made, whole) in ways.items():
+        assert "Exchange" not in plan(made) and "Generate" not in plan(made), name
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, whole.collect())), name
+    for k, got in ((3, ways["local"][0].select("cluster_id", F.col("edge").alias("kmer"), "n")), (3, ways["profile"][0])):
+        pad = "$" * k if got is ways["profile"][0] else ""
+        want = Counter((c, s[i : i + k]) for c, xs in reads.items() for _, x in xs if x is not None for s in (pad + x + pad,) for i in range(len(s) - k + 1))
+        assert {(x.cluster_id, x.kmer): x.n for x in got.collect()} == want
+    n = {(x.cluster_id, x.edge): x.n for x in ways["local"][0].collect()}
+    for x in ways["local"][0].collect():
+        before, after = (sum(v for (c, e), v in n.items() if c == x.cluster_id and part(e) == part(x.edge)) for part in (lambda e: e[:2], lambda e: e[1:]))
+        assert (x.forward, x.reverse) == ((x.n + 0.5) / (before + 2), (x.n + 0.5) / (after + 2))
