@@ -196,3 +196,21 @@ def test_counts_within_rows(spark):
     for x in ways["local"][0].collect():
         before, after = (sum(v for (c, e), v in n.items() if c == x.cluster_id and part(e) == part(x.edge)) for part in (lambda e: e[:2], lambda e: e[1:]))
         assert (x.forward, x.reverse) == ((x.n + 0.5) / (before + 2), (x.n + 0.5) / (after + 2))
+
+
+def test_short_pairs_are_compared_by_bits(monkeypatch):
+    """With and without the band, at its border and beyond the bound; and one comparison serves both bounds of the query."""
+    import numpy as np
+
+    from helixspark.functions import distance as D
+
+    r = random.Random(8)
+    a = ["".join(r.choices("ACG", k=r.choice((0, 1, 20, 255, 256, 257)))) for _ in range(80)]
+    b = [x[r.randrange(3) :] + "T" * r.randrange(4) if r.random() < 0.7 else y for x, y in zip(a, a[1:] + a[:1], strict=True)]
+    most, found, bits = np.array([r.choice((0, 1, 5, 40)) for _ in a]), [], []
+    own = D.distances
+    monkeypatch.setattr(D, "distances", lambda s, i, j: bits.append(len(i)) or own(s, i, j))
+    for short in (256, -1, 10**6):
+        monkeypatch.setattr(D, "_SHORT", short)
+        found.append(D.within(a, b, most).tolist())
+    assert found[0] == found[1] == found[2] and len(bits) == 2 and 0 < bits[0] < bits[1]
